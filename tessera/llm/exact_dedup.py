@@ -56,7 +56,7 @@ def name_documents(
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    hashes = F.transform(_blocks(F.col("text"), block_bytes), hasher)
+    hashes = F.transform(_blocks(F.col("text"), block_bytes), lambda b: hasher(b))
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.sha2("text", 256).alias("sha"), hashes.alias("hashes"))
     keyed = scratch.write(keyed, "keyed")
     blocks = rows.select(F.explode(_blocks(F.col("text"), block_bytes)).alias("block")).select(hasher(F.col("block")).alias("hash"), "block")
