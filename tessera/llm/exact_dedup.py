@@ -112,9 +112,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any other; keep_id is null where all ids of a group are. A null text equals an empty one. An empty table gives no
     rows. Columns of docs other than the two named are ignored.
     """
-    named = Scratch(docs.sparkSession, "exact-dedup").write(name_documents(docs, id_col, text_col, block_bytes), "named")
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    named = scratch.write(name_documents(docs, id_col, text_col, block_bytes), "named")
     best = F.max(F.struct(F.col(id_col).alias("id"), F.col("row").alias("row")))
     groups = named.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
+    # Written, so that both sides of the join are dealt anew and it can split a group that holds many of all rows.
+    groups = scratch.write(groups, "groups")
     return named.join(groups, ["level", "name"]).select(
         id_col,
         F.col("best.id").alias("keep_id"),
