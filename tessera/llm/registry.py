@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import exact_dedup, sentence_pieces
 
 _MODULES = {
     "op5_exact_dedup": exact_dedup,
+    "op10_sentencepiece": sentence_pieces,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
