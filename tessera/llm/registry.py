@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, sentence_pieces
+from tessera.llm import exact_dedup, sentence_pieces, simhash_dedup, warc
 
 _MODULES = {
+    "op2_warc": warc,
     "op5_exact_dedup": exact_dedup,
+    "op9_simhash": simhash_dedup,
     "op10_sentencepiece": sentence_pieces,
 }
 
