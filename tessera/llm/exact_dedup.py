@@ -59,11 +59,11 @@ def name_documents(
     hashes = F.transform(_blocks(F.col("text"), block_bytes), lambda b: hasher(b))
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.sha2("text", 256).alias("sha"), hashes.alias("hashes"))
     keyed = scratch.write(keyed, "keyed")
-    blocks = rows.select(F.explode(_blocks(F.col("text"), block_bytes)).alias("block")).select(hasher(F.col("block")).alias("hash"), "block")
+    blocks = rows.select(F.explode_outer(_blocks(F.col("text"), block_bytes)).alias("block")).select(hasher(F.col("block")).alias("hash"), "block")
     distinct = blocks.groupBy("hash", "block").agg(F.count("*").alias("n"))
     names = scratch.write(_numbered(distinct, "block").select("hash", "name"), "names")
 
-    tokens = keyed.select("row", F.posexplode("hashes").alias("pos", "hash"))
+    tokens = keyed.select("row", F.posexplode_outer("hashes").alias("pos", "hash"))
     clashing = _clashing(names, blocks, scratch)
     if clashing is None:
         named = tokens.join(names, "hash").select("row", "pos", "name")
@@ -100,7 +100,7 @@ def _with_clashes(rows: DataFrame, tokens: DataFrame, names: DataFrame, clashing
     """Names by hash where the hash has one block, else by the block itself."""
     shared = clashing.select("hash").distinct()
     plain = tokens.join(names.join(shared, "hash", "left_anti"), "hash").select("row", "pos", "name")
-    whole = rows.select(F.monotonically_increasing_id().alias("row"), F.posexplode(_blocks(F.col("text"), block_bytes)).alias("pos", "block"))
+    whole = rows.select(F.monotonically_increasing_id().alias("row"), F.posexplode_outer(_blocks(F.col("text"), block_bytes)).alias("pos", "block"))
     whole = whole.withColumn("hash", hasher(F.col("block"))).join(clashing, ["hash", "block"])
     return plain.unionByName(whole.select("row", "pos", "name"))
 

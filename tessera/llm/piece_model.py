@@ -15,6 +15,8 @@ from operator import add
 
 import numpy as np
 
+from tessera.llm.memo import Memo
+
 SPACE = "▁"
 # Fixed values of the file format: types of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -76,24 +78,6 @@ class CharacterMap:
         return found[0], self.texts[start : self.texts.index(b"\0", start)]
 
 
-class Memo(dict):
-    """Results by key, for at most about twice `limit` keys; the ones in use stay."""
-
-    def __init__(self, compute, limit: int):
-        super().__init__()
-        self.compute, self.limit, self.older = compute, limit, {}
-
-    def __missing__(self, key):
-        value = self.older.pop(key, None)
-        if value is None:
-            value = self.compute(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class PieceModel:
     """Encoding and decoding of one model file's contents."""
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, sentence_pieces, simhash_dedup, warc
+from tessera.llm import exact_dedup, quality_rules, sentence_pieces, simhash_dedup, token_counts, warc
 
 _MODULES = {
     "op2_warc": warc,
+    "op3_token_counts": token_counts,
+    "op4_quality_rules": quality_rules,
     "op5_exact_dedup": exact_dedup,
     "op9_simhash": simhash_dedup,
     "op10_sentencepiece": sentence_pieces,
