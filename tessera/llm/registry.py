@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, quality_rules, sentence_pieces, simhash_dedup, token_counts, warc
+from tessera.llm import exact_dedup, language_id, quality_rules, sentence_pieces, simhash_dedup, source_mix, token_counts, warc
 
 _MODULES = {
     "op2_warc": warc,
     "op3_token_counts": token_counts,
     "op4_quality_rules": quality_rules,
     "op5_exact_dedup": exact_dedup,
+    "op6_language_id": language_id,
+    "op7_source_mix": source_mix,
     "op9_simhash": simhash_dedup,
     "op10_sentencepiece": sentence_pieces,
 }
