@@ -9,6 +9,8 @@ All of it is DataFrame expressions. What goes to the driver is one integer for e
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,12 +80,16 @@ def _covered(repeats: Column) -> Column:
     return F.aggregate(repeats, start, step, lambda acc: acc.n)
 
 
-def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words (lower-cased) for each row."""
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), _words(F.col(text_col)).alias("raw_words"))
+def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """The columns carry (by default id_col), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    words (lower-cased) for each row."""
+    carry = [*(carry or [id_col])]
+    held = [F.col(f"`{c}`") for c in carry]
+    text = F.col(text_col)
+    rows = docs.select(F.struct(*held).alias("_held"), text.alias("_text"), _words(text).alias("raw_words"))
     rows = rows.select(
-        id_col,
-        *(c.alias(n) for n, c in _base(F.col("text"), F.col("raw_words")).items()),
+        "_held",
+        *(c.alias(n) for n, c in _base(F.col("_text"), F.col("raw_words")).items()),
         F.transform("raw_words", lambda w: F.lower(w)).alias("words"),
         F.when(
             F.size("raw_words") >= _WINDOW,
@@ -101,7 +107,7 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeats = F.array_sort(F.filter(places, lambda i: i.isNotNull()))
     rows = rows.withColumn("n_repeat_words", F.coalesce(_covered(repeats), F.lit(0)).cast("long"))
     return rows.select(
-        id_col,
+        "_held",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -112,22 +118,33 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, n_grams, score_sum.
+def quality_rules(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """One row per row of docs: id_col (or the columns of docs named in carry), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    kept, n_grams, score_sum. A carried column with one of these names is replaced.
 
     kept is false where base_failed, else whether the mean log ratio, score_sum / n_grams in millionths, is at least
     the threshold. A null or empty text has no words and fails the base rules. Null and repeated ids are kept as rows.
-    labels has id_col, quality and toxic; without trusted rows every ratio is one of smoothing only. Other columns are
-    ignored; an empty table gives no rows. Windows of 8 words are told apart by 64-bit hashes within their text.
+    labels has id_col, quality and toxic; without trusted rows every ratio is one of smoothing only. _row numbers
+    the rows of the scan. Other columns are ignored; an empty table gives no rows. Windows of 8 words are told apart by 64-bit hashes within their text.
     """
     weights = F.expr(f"array({','.join(map(str, fit_weights(docs, labels, id_col, text_col)))})")  # folded to one literal
-    rows = rule_counts(docs, id_col, text_col).withColumn("grams", _grams(F.col("words"))).drop("words")
+    rows = rule_counts(docs, id_col, text_col, carry).withColumn("grams", _grams(F.col("words"))).drop("words")
     score = F.aggregate("grams", F.lit(0).cast("long"), lambda acc, g: acc + F.get(weights, g))
     rows = rows.withColumn("n_grams", F.size("grams").cast("long")).withColumn("score_sum", score).drop("grams")
     passed = F.col("score_sum") >= F.lit(round(threshold * _UNIT)) * F.col("n_grams")
-    return rows.withColumn("kept", ~F.col("base_failed") & passed)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_grams", "score_sum"]
+    held = [F.col(f"_held.`{c}`") for c in carry or [id_col] if c not in names]
+    # The row number keeps a later filter on `kept` above this step; pushed below, it would work the rules out again.
+    judged = rows.withColumn("kept", ~F.col("base_failed") & passed).withColumn("_row", F.monotonically_increasing_id())
+    return judged.select(*held, *names, "_row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("_row")

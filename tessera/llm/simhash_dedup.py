@@ -143,5 +143,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.join(ids, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Up to this many dropped rows their numbers are broadcast; more are joined by a shuffle.
+_BROADCAST_ROWS = 500_000
+
+
+def simhash_dedup(docs: DataFrame, text_col: str = "text", radius: int = 2, shingle_words: int = 3) -> DataFrame:
+    """The rows of docs but those that a row of their group precedes in the scan; all columns, whatever their names.
+
+    Groups are those of simhash_groups(); rows with null texts are one group with other texts without words.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = Scratch(docs.sparkSession, "simhash-dedup").write(simhash_groups(numbered, "_row", text_col, radius, shingle_words), "groups")
+    gone = groups.where("_row != component_id").select("_row")
+    gone = F.broadcast(gone) if gone.count() <= _BROADCAST_ROWS else gone
+    return numbered.join(gone, "_row", "left_anti").drop("_row")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
