@@ -14,14 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import Scratch
 from tessera.llm.words import WORD
 
 BUCKETS = 1 << 14
 #: Documents that the trusted multinomial is fitted to, at most: those of the least hashes of their ids.
 TRUSTED = 20_000
 #: Documents with a lower mean log ratio are rejected.
-THRESHOLD = -0.1
-_SMOOTHING = 1.0
+THRESHOLD = -0.11
+#: N-grams of the corpus that the trusted multinomial holds from the start: with few trusted texts, ratios stay near 0.
+PRIOR = 20_000.0
 _UNIT = 1_000_000
 _WINDOW = 8
 _SPACES = " \t\n\x0b\x0c\r"
@@ -46,20 +48,19 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", limit: int = TRUSTED)
 
 
 def fit_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """The log ratio of each bucket in millionths: trusted documents against all rows of docs, smoothed by one."""
+    """The log ratio of each bucket in millionths: trusted documents against all rows of docs."""
     trusted = F.broadcast(trusted_ids(labels, id_col))  # TRUSTED rows at most
     rows = docs.select(F.col(id_col).alias("id"), F.transform(_words(F.col(text_col)), lambda w: F.lower(w)).alias("words"))
     rows = rows.join(trusted, F.col("id") == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().alias("good"), _grams(F.col("words")).alias("grams"))
     counts = rows.select("good", F.explode_outer("grams").alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("target"))
-    counts = F.broadcast(counts)  # BUCKETS rows at most
-    table = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    table = table.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
-    total = table.agg(F.sum("raw").alias("raw_total"), F.sum("target").alias("target_total"))
-    share = lambda n, of: F.ln((F.col(n) + _SMOOTHING) / (F.col(of) + _SMOOTHING * BUCKETS))
-    weight = F.round((share("target", "target_total") - share("raw", "raw_total")) * _UNIT).cast("int")
-    whole = table.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("t"))
-    both = whole.join(F.broadcast(total), F.lit(True)).select(F.explode("t").alias("t"), "raw_total", "target_total")
-    return [r[0] for r in both.select("t.*", "raw_total", "target_total").orderBy("bucket").select(weight).collect()]
+    counts = Scratch(docs.sparkSession, "quality").write(counts, "counts")
+    totals = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    raw = F.coalesce("raw", F.lit(0)) / F.lit(float(totals["raw"] or 1))
+    target = (F.coalesce("target", F.lit(0)) + PRIOR * raw) / F.lit(PRIOR + (totals["target"] or 0))
+    weight = F.when(raw > 0, F.round(F.ln(target / raw) * _UNIT)).otherwise(0).cast("int")
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    table = every.join(F.broadcast(counts), "bucket", "left")  # BUCKETS rows at most
+    return [r["weight"] for r in table.select("bucket", weight.alias("weight")).orderBy("bucket").collect()]
 
 
 def _base(text: Column, words: Column) -> dict[str, Column]:
@@ -131,7 +132,7 @@ def quality_rules(
 
     kept is false where base_failed, else whether the mean log ratio, score_sum / n_grams in millionths, is at least
     the threshold. A null or empty text has no words and fails the base rules. Null and repeated ids are kept as rows.
-    labels has id_col, quality and toxic; without trusted rows every ratio is one of smoothing only. _row numbers
+    labels has id_col, quality and toxic; without trusted rows every ratio is 0. _row numbers
     the rows of the scan. Other columns are ignored; an empty table gives no rows. Windows of 8 words are told apart by 64-bit hashes within their text.
     """
     weights = F.expr(f"array({','.join(map(str, fit_weights(docs, labels, id_col, text_col)))})")  # folded to one literal
@@ -141,10 +142,17 @@ def quality_rules(
     passed = F.col("score_sum") >= F.lit(round(threshold * _UNIT)) * F.col("n_grams")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_grams", "score_sum"]
     held = [F.col(f"_held.`{c}`") for c in carry or [id_col] if c not in names]
-    # The row number keeps a later filter on `kept` above this step; pushed below, it would work the rules out again.
+    # A filter on both `kept` and the row number stays above this step; pushed below it, the rules would be worked out
+    # again for every place where they are named.
     judged = rows.withColumn("kept", ~F.col("base_failed") & passed).withColumn("_row", F.monotonically_increasing_id())
     return judged.select(*held, *names, "_row")
 
 
+def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, with the columns of docs."""
+    judged = quality_rules(docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), labels.withColumnRenamed(id_col, "_id"), "_id", "_text", threshold, carry=["_doc"])
+    return judged.where("kept and _row >= 0").select("_doc.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("_row")

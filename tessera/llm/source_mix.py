@@ -47,15 +47,15 @@ def mix_rates(docs: DataFrame, weights: dict[str, float], default_weight: float
     sources that have rows. total_rows is the expected output, by default the number of input rows.
     """
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("rows"))
+    counts = Scratch(docs.sparkSession, "mix-rates").write(counts, "counts")
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else None
     given = F.element_at(table, F.col("source")) if weights else F.lit(None)
     weight = F.coalesce(F.when(F.col("source").isNotNull(), given), F.lit(float(default_weight))).cast("double")
     weighted = counts.withColumn("weight", weight)
-    sums = weighted.agg(F.sum("weight").alias("weights"), F.sum("rows").alias("all_rows"))
-    both = weighted.join(F.broadcast(sums), F.lit(True))  # one row
-    wanted = F.lit(total_rows) if total_rows is not None else F.col("all_rows")
-    rate = F.coalesce(F.try_divide(F.col("weight") * wanted, F.col("weights") * F.col("rows")), F.lit(0.0))
-    return both.select("source", "rows", rate.alias("rate"))
+    sums = weighted.agg(F.sum("weight").alias("weights"), F.sum("rows").alias("rows")).first()
+    wanted = F.lit(total_rows if total_rows is not None else sums["rows"] or 0)
+    rate = F.coalesce(F.try_divide(F.col("weight") * wanted, F.lit(sums["weights"] or 0.0) * F.col("rows")), F.lit(0.0))
+    return weighted.select("source", "rows", rate.alias("rate"))
 
 
 def mix_sources(
