@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def condition(test: Column | str) -> Column:
+    """A condition given as a column or as SQL."""
+    return F.expr(test) if isinstance(test, str) else test
+
+
 def doubles(vector: str | Column) -> Column:
     """The vector's elements as doubles."""
     return (F.col(vector) if isinstance(vector, str) else vector).cast("array<double>")

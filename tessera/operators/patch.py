@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import add, dot, doubles, minus, norm, scale
+from tessera.functions.vectors import add, condition, dot, doubles, minus, norm, scale
 
 
 def _lit(v: Sequence[float]) -> Column:
@@ -58,8 +58,9 @@ def residual_path(values: Column, donor: Column, source: Column, weight: float,
     return add(values, scale(minus(donor, source), weight * strength))
 
 
-def pair_cases(rows: DataFrame, case: str, target: Column, donor: Column) -> DataFrame:
+def pair_cases(rows: DataFrame, case: str, target: Column | str, donor: Column | str) -> DataFrame:
     """case, target_key, donor_key, status, reason: cases with one target and one donor are ok, others are skipped."""
+    target, donor = condition(target), condition(donor)
     counted = rows.groupBy(case).agg(
         F.count_if(target).alias("t"),
         F.count_if(donor).alias("d"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import cosine, dot, doubles
+from tessera.functions.vectors import condition, cosine, dot, doubles
 
 SUMMARIES = ("mean", "min", "max", "std", "trend", "first_last_delta")
 
@@ -50,8 +50,8 @@ def assign_band(rows: DataFrame, thresholds: Column, score: str) -> DataFrame:
     return rows.withColumn("band", F.size(F.filter(thresholds, lambda t: F.col(score) > t)))
 
 
-def gap_by_layer(rows: DataFrame, positive: Column, negative: Column, score: str = "score") -> DataFrame:
+def gap_by_layer(rows: DataFrame, positive: Column | str, negative: Column | str, score: str = "score") -> DataFrame:
     """layer, gap (mean of one side less that of the other), rank by absolute gap, the lower layer first of equal ones."""
-    gaps = rows.groupBy("layer").agg((F.avg(F.when(positive, F.col(score))) - F.avg(F.when(negative, F.col(score)))).alias("gap"))
+    gaps = rows.groupBy("layer").agg((F.avg(F.when(condition(positive), F.col(score))) - F.avg(F.when(condition(negative), F.col(score)))).alias("gap"))
     rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.abs("gap"), 9)), "layer"))
     return gaps.where("gap is not null").withColumn("rank", rank)  # one row for each layer

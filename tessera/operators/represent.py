@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import doubles, mean_vectors, minus, norm, unit
+from tessera.functions.vectors import condition, doubles, mean_vectors, minus, norm, unit
 
 
-def _side_means(rows: DataFrame, keys: list[str], positive: Column, negative: Column) -> DataFrame:
+def _side_means(rows: DataFrame, keys: list[str], positive: Column | str, negative: Column | str) -> DataFrame:
     """keys, pos, neg (mean vectors of the two sides), n_pos, n_neg; a side without rows is null."""
-    sided = rows.withColumn("_side", F.when(positive, "pos").when(negative, "neg")).where("_side is not null")
+    sided = rows.withColumn("_side", F.when(condition(positive), "pos").when(condition(negative), "neg")).where("_side is not null")
     means = mean_vectors(sided, [*keys, "_side"], "values")
     pick = lambda side, column: F.max_by(column, F.col("_side") == side)
     has = lambda side: F.max(F.col("_side") == side)
@@ -22,7 +22,7 @@ def _side_means(rows: DataFrame, keys: list[str], positive: Column, negative: Co
     )
 
 
-def direction(rows: DataFrame, positive: Column, negative: Column, keys: list[str] = ()) -> DataFrame:
+def direction(rows: DataFrame, positive: Column | str, negative: Column | str, keys: list[str] = ()) -> DataFrame:
     """keys, raw_vector (difference of the sides' means), vector (over its length), norm, n_pos, n_neg.
 
     Groups without both sides go.
@@ -32,20 +32,20 @@ def direction(rows: DataFrame, positive: Column, negative: Column, keys: list[st
     return raw.select(*keys, "raw_vector", unit(F.col("raw_vector")).alias("vector"), norm(F.col("raw_vector")).alias("norm"), "n_pos", "n_neg")
 
 
-def mixed_groups(rows: DataFrame, group: str, positive: Column, negative: Column) -> DataFrame:
+def mixed_groups(rows: DataFrame, group: str, positive: Column | str, negative: Column | str) -> DataFrame:
     """Groups with rows of both sides, which a grouped direction must not have."""
-    sides = rows.groupBy(group).agg(F.coalesce(F.max(positive), F.lit(False)).alias("p"), F.coalesce(F.max(negative), F.lit(False)).alias("n"))
+    sides = rows.groupBy(group).agg(F.coalesce(F.max(condition(positive)), F.lit(False)).alias("p"), F.coalesce(F.max(condition(negative)), F.lit(False)).alias("n"))
     return sides.where("p and n").select(group)
 
 
-def grouped_direction(rows: DataFrame, group: str, positive: Column, negative: Column) -> DataFrame:
+def grouped_direction(rows: DataFrame, group: str, positive: Column | str, negative: Column | str) -> DataFrame:
     """The direction of group means: a group with a row of a side counts for it with the mean of all its rows."""
-    sides = rows.groupBy(group).agg(F.coalesce(F.max(positive), F.lit(False)).alias("_p"), F.coalesce(F.max(negative), F.lit(False)).alias("_n"))
+    sides = rows.groupBy(group).agg(F.coalesce(F.max(condition(positive)), F.lit(False)).alias("_p"), F.coalesce(F.max(condition(negative)), F.lit(False)).alias("_n"))
     means = mean_vectors(rows, [group], "values").join(sides.where("_p or _n"), group)
     return direction(means, F.col("_p"), F.col("_n"))
 
 
-def pair_delta(rows: DataFrame, case: str, positive: Column, negative: Column) -> DataFrame:
+def pair_delta(rows: DataFrame, case: str, positive: Column | str, negative: Column | str) -> DataFrame:
     """case, values: for each case with both sides, the difference of their means."""
     means = _side_means(rows, [case], positive, negative).where("pos is not null and neg is not null")
     return means.select(case, minus(F.col("pos"), F.col("neg")).alias("values"))

@@ -10,7 +10,7 @@ from tessera.operators import patch, project, represent, routing, tokens
 from tessera.plans.registry import query, table
 
 _LAYERS, _DIMS, _TOKENS, _TOKEN_DIMS = 4, 16, 8, 8
-_POS, _NEG = F.col("label") == 0, F.col("label") == 1
+_POS, _NEG = "label = 0", "label = 1"
 
 #: Elements of the vectors for SQL: d counts from 0.
 _E = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)"

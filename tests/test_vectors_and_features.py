@@ -11,7 +11,7 @@ def rows(spark):
     return spark.createDataFrame(data, "example_key string, pair string, side string, values array<double>")
 
 
-POS, NEG = F.col("side") == "pos", F.col("side") == "neg"
+POS, NEG = "side = 'pos'", "side = 'neg'"
 
 
 def test_direction(spark):
@@ -32,7 +32,7 @@ def test_mixed_groups(spark):
 
 
 def test_centroid_names_null(spark):
-    data = rows(spark).withColumn("label", F.when(POS, F.lit("p")))
+    data = rows(spark).withColumn("label", F.when(F.expr(POS), F.lit("p")))
     assert {r["label"]: (r["values"], r["count"]) for r in represent.centroids(data, "label").collect()} == {"p": ([2.5, -0.5], 2), "None": ([0.5, -0.5], 2)}
 
 
