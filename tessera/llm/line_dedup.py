@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,27 @@ _BLOCK_BITS = 64 // _BLOCKS
 _FP_TILE, _TEXT_TILE = 2048, 256
 #: Rows with candidate lines up to this number are broadcast to fetch their texts; more are joined by a shuffle.
 _BROADCAST_ROWS = 200_000
-#: Words whose bits are summed at once.
-_PASS = 1 << 14
+
+#: Texts whose lines are hashed at once.
+_ROWS = 256
 
 _TOKEN = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
 
 
+def _tokens(word: str) -> list[str]:
+    return [word.lower()] if word.isalpha() else [_DIGITS.sub("0", t) for t in _TOKEN.findall(word.lower())]
+
+
+@cache
+def _word_hashes() -> Memo:
+    """For each word, the 64-bit hashes of its tokens; kept by a Python worker from task to task."""
+    return Memo(lambda word: b"".join([xxhash.xxh64_digest(t)[::-1] for t in _tokens(word)]), 300_000)
+
+
 def normalise(line: str) -> str:
     """Lower case, runs of digits as 0, words joined by single spaces; empty for a line without letters and digits."""
-    plain = " ".join(_TOKEN.findall(line.lower()))
-    return _DIGITS.sub("0", plain) if plain and not plain.isalpha() else plain
+    return " ".join(t for word in line.split() for t in _tokens(word))
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -66,46 +77,68 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def _same_start(a: str, b: str) -> int:
+    """Characters of the common beginning, by bisection."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def similar(a: str, b: str, similarity: float) -> bool:
     """Whether 1 - distance / longer length is at least similarity."""
     most = (1 - similarity) * max(len(a), len(b)) + 1e-9
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
-
-
-def _fingerprints(lines: list[list[int]]) -> np.ndarray:
-    """A 64-bit SimHash for each list of word hashes."""
-    found, start = np.zeros(len(lines), np.uint64), 0
-    while start < len(lines):
-        end, words = start, 0
-        while end < len(lines) and (end == start or words + len(lines[end]) <= _PASS):
-            words += len(lines[end])
-            end += 1
-        sizes = np.array([len(x) for x in lines[start:end]])
-        hashes = np.fromiter((h for x in lines[start:end] for h in x), "<u8", words)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-        ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-        found[start:end] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-        start = end
-    return found
+    if abs(len(a) - len(b)) > most:
+        return False
+    start = _same_start(a, b)
+    a, b = a[start:][::-1], b[start:][::-1]
+    end = _same_start(a, b)
+    return max(len(a), len(b)) - end <= most or edit_distance(a[end:], b[end:]) <= most
+
+
+#: For each byte, its eight bits in lanes of eight bits: sums of up to 255 such numbers count bits.
+_SPREAD = np.array([sum(1 << (8 * bit) for bit in range(8) if value >> bit & 1) for value in range(256)], np.uint64)
+
+
+def _fingerprints(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """The SimHash of each line, from the 64-bit hashes of all lines' words, one line after the other."""
+    sizes = np.array(sizes, np.int64)
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    # Sums of at most 255 words, then of these.
+    parts = -(-sizes // 255)
+    first = np.cumsum(parts) - parts
+    nth = np.arange(parts.sum()) - np.repeat(first, parts)
+    starts = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * nth
+    lanes = np.add.reduceat(_SPREAD[hashes.view(np.uint8).reshape(-1, 8)], starts, axis=0)
+    ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64).astype(np.int32), first, axis=0)
+    bits = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little")
+    return np.ascontiguousarray(bits).view("<u8").reshape(-1)
 
 
 def line_table(rows: DataFrame) -> DataFrame:
-    """(row, line, key, fp) for each line of (row, text) with a letter or digit: its place, 128-bit hash and SimHash."""
+    """(row, line, key, fp) for each line of (row, text) with a letter or digit: its place, a 128-bit hash and SimHash of
+    its words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: xxhash.xxh64_intdigest(w), 300_000)
-        for batch in batches:
-            rows, places, keys, words = [], [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for place, line in enumerate((text.as_py() or "").split("\n")):
-                    if plain := normalise(line):
-                        rows.append(row)
-                        places.append(place)
-                        keys.append(xxhash.xxh3_128_digest(plain))
-                        words.append([memo[w] for w in plain.split(" ")])
-            fps = _fingerprints(words).view(np.int64)
-            columns = [pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(keys, pa.binary()), pa.array(fps)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "line", "key", "fp"])
+        memo = _word_hashes()
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                rows, places, lines = [], [], []
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    for place, line in enumerate((text.as_py() or "").split("\n")):
+                        if words := b"".join([memo[w] for w in line.split()]):
+                            rows.append(row)
+                            places.append(place)
+                            lines.append(words)
+                fps = _fingerprints(np.frombuffer(b"".join(lines), "<u8"), [len(x) // 8 for x in lines]).view(np.int64)
+                keys = pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(places, pa.int32()), keys, pa.array(fps)], names=["row", "line", "key", "fp"])
 
     return rows.select("row", "text").mapInArrow(run, "row long, line int, key binary, fp long")
 
@@ -144,34 +177,41 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _links(table: pa.Table, radius: int, similarity: float | None) -> Iterator[tuple[int, int]]:
-    """Links of a pair of tiles between nodes that no earlier link connects; similarity None takes fingerprints only."""
+def _agree_first(difference: np.ndarray, block: int) -> np.ndarray:
+    """Whether fingerprints with this difference agree in the block, and in none before it."""
+    lane = lambda i: difference >> np.uint64(i * _BLOCK_BITS) & np.uint64((1 << _BLOCK_BITS) - 1)
+    found = lane(block) == 0
+    for i in range(block):
+        found &= lane(i) != 0
+    return found
+
+
+def _links(table: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of a pair of tiles between similar lines that no earlier link of the tiles connects."""
     fps, nodes, part = (table.column(c).to_numpy() for c in ("fp", "node", "part"))
-    fps, texts = fps.view(np.uint64), table.column("text").to_pylist() if similarity is not None else None
-    same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
-    left = np.arange(len(fps)) if same else np.flatnonzero(part == table.column("a")[0].as_py())
-    right = left if same else np.flatnonzero(part == table.column("b")[0].as_py())
+    bucket, a, b = (table.column(c)[0].as_py() for c in ("bucket", "a", "b"))
+    fps, texts = fps.view(np.uint64), table.column("text").to_pylist()
+    left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
     label = np.arange(len(fps))
-    for at in range(0, len(left), 512):
-        near = np.bitwise_count(fps[left[at : at + 512], None] ^ fps[None, right]) <= radius
+    for at in range(0, len(left), 256):
+        difference = fps[left[at : at + 256], None] ^ fps[None, right]
+        near = (np.bitwise_count(difference) <= RADIUS) & _agree_first(difference, bucket % _BLOCKS)
         for i in np.flatnonzero(near.any(axis=1)):
             one = left[at + i]
             for other in right[np.flatnonzero(near[i])]:
-                if (other <= one if same else False) or label[one] == label[other]:
-                    continue
-                if texts is None or similar(texts[one], texts[other], similarity):
+                if (a != b or other > one) and label[one] != label[other] and similar(texts[one], texts[other], similarity):
                     label[label == label[other]] = label[one]
                     yield int(nodes[one]), int(nodes[other])
 
 
-def _compare(items: DataFrame, tile: int, similarity: float | None) -> DataFrame:
-    """(src, dst): links between the rows of items (node, fp, and text if similarity is given)."""
+def _similar_pairs(items: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links between the lines of items (node, fp, text) that connect all similar ones of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
         for table in _runs(batches, 3):
             if table.num_rows > 1:
-                for one, other in _links(table, RADIUS, similarity):
+                for one, other in _links(table, similarity):
                     src.append(one)
                     dst.append(other)
             if len(src) > 10_000:
@@ -179,10 +219,40 @@ def _compare(items: DataFrame, tile: int, similarity: float | None) -> DataFrame
                 src, dst = [], []
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    sorted_rows = _bucketed(items, tile).repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    sorted_rows = _bucketed(items, _TEXT_TILE).repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
     return sorted_rows.mapInArrow(run, "src long, dst long").distinct()
 
 
+def _with_neighbour(fps: DataFrame) -> DataFrame:
+    """The fingerprints (column fp) that differ from another in at most RADIUS bits."""
+
+    def flagged(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+        """Fingerprints with a neighbour in their run of equal keys; each is compared with the next, the one after..."""
+        found, at, step = np.zeros(len(fps), bool), np.arange(len(fps)), 1
+        while True:
+            at = at[at + step < len(fps)]
+            at = at[(keys[at] == keys[at + step]).all(axis=1)]
+            if not len(at):
+                return fps[found]
+            near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= RADIUS]
+            found[near] = found[near + step] = True
+            step += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            keys = np.concatenate([keys, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)])
+            fps = np.concatenate([fps, batch.column(3).to_numpy().view(np.uint64)])
+            # The last run may go on in the next batch.
+            last = len(keys) - int((keys == keys[-1:]).all(axis=1)[::-1].argmin() or len(keys)) if len(keys) else 0
+            yield pa.RecordBatch.from_arrays([pa.array(flagged(keys[:last], fps[:last]).view(np.int64))], names=["fp"])
+            keys, fps = keys[last:], fps[last:]
+        yield pa.RecordBatch.from_arrays([pa.array(flagged(keys, fps).view(np.int64))], names=["fp"])
+
+    dealt = _bucketed(fps.select("fp", F.col("fp").alias("node")), _FP_TILE).select("bucket", "a", "b", "fp")
+    return dealt.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(run, "fp long").distinct()
+
+
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, fp, text): the normalised text of the lines in wanted (node, fp, row, line)."""
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("line", "node", "fp")).alias("lines"))
@@ -205,11 +275,10 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def _fuzzy_groups(rows: DataFrame, distinct: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) of the distinct lines that are similar to another, directly or by others."""
     fps = distinct.groupBy("fp").agg(F.count("*").alias("n"))
-    near = scratch.write(_compare(fps.select("fp", F.col("fp").alias("node")), _FP_TILE, None), "near-fingerprints")
-    close = near.select(F.col("src").alias("fp")).unionByName(near.select(F.col("dst").alias("fp"))).unionByName(fps.where("n > 1").select("fp")).distinct()
+    close = scratch.write(_with_neighbour(fps).unionByName(fps.where("n > 1").select("fp")).distinct(), "close")
     wanted = distinct.join(close, "fp", "left_semi").select("node", "fp", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
     texts = scratch.write(_texts(rows, scratch.write(wanted, "wanted")), "texts")
-    return connected_components(_compare(texts, _TEXT_TILE, similarity), scratch)
+    return connected_components(_similar_pairs(texts, similarity), scratch)
 
 
 def dropped_lines(rows: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
@@ -242,7 +311,8 @@ def line_dedup(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
     gone = scratch.write(dropped_lines(rows, scratch, similarity), "dropped").withColumnRenamed("row", "_gone")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    cut = whole.join(gone, F.col("_row") == F.col("_gone"), "left")
+    # Both sides are dealt by the row number at every size; broadcasting the places would end at some.
+    cut = whole.join(gone.hint("merge"), F.col("_row") == F.col("_gone"), "left")
     cut = cut.withColumn(text_col, F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(left))
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
