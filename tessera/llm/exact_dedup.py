@@ -68,6 +68,10 @@ def name_documents(
     if clashing is None:
         named = tokens.join(names, "hash").select("row", "pos", "name")
     else:
+        # Rows are read again with their texts, so that their numbers must be written beside these.
+        rows = scratch.numbered(rows, "row")
+        keyed = rows.select("row", "id", F.sha2("text", 256).alias("sha"), hashes.alias("hashes"))
+        tokens = keyed.select("row", F.posexplode_outer("hashes").alias("pos", "hash"))
         named = _with_clashes(rows, tokens, names, clashing, block_bytes, hasher)
     named = scratch.write(named.select("row", "pos", "name"), "level")
 
@@ -100,7 +104,7 @@ def _with_clashes(rows: DataFrame, tokens: DataFrame, names: DataFrame, clashing
     """Names by hash where the hash has one block, else by the block itself."""
     shared = clashing.select("hash").distinct()
     plain = tokens.join(names.join(shared, "hash", "left_anti"), "hash").select("row", "pos", "name")
-    whole = rows.select(F.monotonically_increasing_id().alias("row"), F.posexplode_outer(_blocks(F.col("text"), block_bytes)).alias("pos", "block"))
+    whole = rows.select("row", F.posexplode_outer(_blocks(F.col("text"), block_bytes)).alias("pos", "block"))
     whole = whole.withColumn("hash", hasher(F.col("block"))).join(clashing, ["hash", "block"])
     return plain.unionByName(whole.select("row", "pos", "name"))
 

@@ -132,7 +132,7 @@ def line_table(rows: DataFrame) -> DataFrame:
                 rows, places, lines = [], [], []
                 for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     for place, line in enumerate((text.as_py() or "").split("\n")):
-                        if words := b"".join([memo[w] for w in line.split()]):
+                        if words := b"".join(memo.of(line.split())):
                             rows.append(row)
                             places.append(place)
                             lines.append(words)
@@ -306,7 +306,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     docs = docs.drop("n_dropped")
-    whole = docs.withColumn("_row", F.monotonically_increasing_id())
+    whole = scratch.numbered(docs, "_row")
     rows = whole.select(F.col("_row").alias("row"), F.col(text_col).alias("text")).where("text is not null")
     gone = scratch.write(dropped_lines(rows, scratch, similarity), "dropped").withColumnRenamed("row", "_gone")
     lines = F.split(F.col(text_col), "\n", -1)

@@ -24,3 +24,12 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+    def of(self, keys: list) -> list:
+        """The results of keys: one pass of plain look-ups, and one over those that have to be computed."""
+        found = list(map(self.get, keys))
+        if None in found:
+            for i, value in enumerate(found):
+                if value is None:
+                    found[i] = self[keys[i]]
+        return found

@@ -234,8 +234,7 @@ class PieceModel:
         at byte 0 and the end id at the last, both empty.
         """
         normal, starts = self.normalize(text)
-        memo = self.memo
-        both = np.frombuffer(b"".join([memo[c] for c in self.chunks.findall(normal)]), "<u4").reshape(-1, 2)
+        both = np.frombuffer(b"".join(self.memo.of(self.chunks.findall(normal))), "<u4").reshape(-1, 2)
         ids, sizes = both[:, 0], both[:, 1]
         ends = np.cumsum(sizes, dtype=np.int64)
         begins = ends - sizes

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -48,6 +49,15 @@ class Scratch:
         table.scratch_path = path
         return table
 
+    def numbered(self, df: DataFrame, column: str) -> DataFrame:
+        """df with the number of each row, written, so that a row has one number however often the table is read."""
+        path = self.path("numbered")
+        df = df.withColumn(column, F.monotonically_increasing_id())
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        table.scratch_path = path
+        return table
+
     def delete(self, table: DataFrame) -> None:
         """Remove a table of write() that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)

@@ -152,8 +152,9 @@ def simhash_dedup(docs: DataFrame, text_col: str = "text", radius: int = 2, shin
 
     Groups are those of simhash_groups(); rows with null texts are one group with other texts without words.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = Scratch(docs.sparkSession, "simhash-dedup").write(simhash_groups(numbered, "_row", text_col, radius, shingle_words), "groups")
+    scratch = Scratch(docs.sparkSession, "simhash-dedup")
+    numbered = scratch.numbered(docs, "_row")
+    groups = scratch.write(simhash_groups(numbered, "_row", text_col, radius, shingle_words), "groups")
     gone = groups.where("_row != component_id").select("_row")
     gone = F.broadcast(gone) if gone.count() <= _BROADCAST_ROWS else gone
     return numbered.join(gone, "_row", "left_anti").drop("_row")

@@ -106,7 +106,7 @@ def token_counts(
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(1):
-                lists = [(len(w), sum(map(memo.__getitem__, w))) for w in word_blocks((text.as_py() or "").encode())]
+                lists = [(len(w), sum(memo.of(w))) for w in word_blocks((text.as_py() or "").encode())]
                 words.append(sum(n for n, _ in lists))
                 tokens.append(sum(n for _, n in lists))
             columns = [batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]

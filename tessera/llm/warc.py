@@ -77,7 +77,7 @@ def write_archives(
     payload, a null url leaves out the target header, a null id is smaller than any other.
     """
     data = F.encode(F.coalesce(html_col, F.lit("")), "UTF-8")
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), data.alias("payload"))
+    rows = scratch.numbered(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), data.alias("payload")), "row")
     rows = rows.withColumn("same", F.when(F.length("payload") >= min_bytes, F.sha2("payload", 256)))
     groups = rows.where("same is not null").groupBy("same").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("n"))
     groups = scratch.write(groups.where("n > 1").select("same", "best"), "groups")
