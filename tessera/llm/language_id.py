@@ -169,8 +169,8 @@ def learning_sample(docs: DataFrame, id_col="doc_id", text_col="text", lang_col=
 
 
 def _balanced(parts: list[str], share: int, limit: int) -> str:
-    """An equal share of each part, and more of the later ones where earlier ones are short."""
-    return "\n".join(p[: max(share, 1)] for p in parts)[:limit] if sum(map(len, parts)) > limit else "\n".join(parts)
+    """An equal share of each part, or all of them if they are short; `limit` characters, separators included."""
+    return "\n".join(p[: max(share, 1)] if sum(map(len, parts)) > limit else p for p in parts)[:limit]
 
 
 def _held_out(id_col: str):
