@@ -388,6 +388,18 @@ def test_substring_dedup(spark, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_finds_edited_passages(spark):
+    rng = random.Random(14)
+    rows, want = [], []
+    for step in (7, 8, 9):  # every step-th word changed: no eight words in a row are equal where step is 8 or less
+        passage = words(rng, 90).split()
+        edited = [words(rng, 1) + "zz" if i % step == step - 1 else w for i, w in enumerate(passage)]
+        rows += [(step, f"{words(rng, 30)} {' '.join(passage)} {words(rng, 30)}"), (step + 10, f"{words(rng, 20)} {' '.join(edited)} {words(rng, 20)}")]
+        want += [step, step + 10]
+    got = {r["doc_id"] for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == set(want)
+
+
 def test_sentence_pieces(spark, docs, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = sentence_pieces.default_model()
