@@ -18,8 +18,8 @@ from tessera.llm.scratch import Scratch
 #: Below this many sources their table is broadcast; beyond it, it is joined by shuffling salted keys.
 BROADCAST_SOURCES = 10_000
 _SALTS = 64
-#: A longer table of quantiles than any rate up to this needs; larger rates are split in a whole and a Poisson part.
-_MAX_RATE = 64.0
+#: Beyond this rate exp(-rate) is no longer a normal double, and cumulative probabilities begin nearer to the mode.
+_PLAIN_RATE = 700.0
 
 
 def uniform(*parts: Column | str | int) -> Column:
@@ -28,16 +28,28 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *columns)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def _first_count(rate: Column) -> Column:
+    """The count at which _quantiles() begins: less than it is less probable than a double's precision."""
+    return F.when(rate <= _PLAIN_RATE, F.lit(0)).otherwise(F.floor(rate - 12 * F.sqrt(rate) - 24).cast("int"))
+
+
 def _quantiles(rate: Column) -> Column:
-    """Cumulative Poisson probabilities for 0, 1, 2, ...; long enough that the rest is below a double's precision."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
+    """Cumulative Poisson probabilities from _first_count() on; long enough that the rest is below a double's precision.
+
+    Beyond _PLAIN_RATE they are summed up from 1 for the first count, and divided by their total.
+    """
+    first, last = _first_count(rate), F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
+    p = F.when(rate <= _PLAIN_RATE, F.exp(-rate)).otherwise(F.lit(1.0))
+    start = F.struct(p.alias("p"), p.alias("sum"), F.array(p).alias("all"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + p)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"])
+    def finish(acc: Column) -> Column:
+        return F.when(rate <= _PLAIN_RATE, acc["all"]).otherwise(F.transform(acc["all"], lambda q: q / acc["sum"]))
+
+    return F.aggregate(F.sequence(first + 1, last), start, step, finish)
 
 
 def mix_rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 0.0, total_rows: int | None = None, source_col: str = "source") -> DataFrame:
@@ -79,8 +91,7 @@ def mix_sources(
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     rates = scratch.write(mix_rates(docs, weights, default_weight, total_rows, source_col), "rates").where("rate > 0")
-    whole = F.floor(F.greatest(F.col("rate") - _MAX_RATE, F.lit(0.0)))
-    rates = rates.select(F.col("source").alias("_source"), whole.alias("_whole"), _quantiles(F.col("rate") - whole).alias("_quantiles"))
+    rates = rates.select(F.col("source").alias("_source"), _first_count(F.col("rate")).alias("_first"), _quantiles(F.col("rate")).alias("_quantiles"))
     docs = docs.drop("replica", "shuffle_key")
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     if few:
@@ -90,7 +101,7 @@ def mix_sources(
         left = docs.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(_SALTS)).cast("int"))
         joined = left.join(salted.withColumnRenamed("_salt", "_dealt"), F.expr("_salt = _dealt") & F.col(source_col).eqNullSafe(F.col("_source")))
     u = uniform(F.col(id_col), seed)
-    copies = F.col("_whole") + F.size(F.filter("_quantiles", lambda q: q <= F.col("_u")))
+    copies = F.col("_first") + F.size(F.filter("_quantiles", lambda q: q <= F.col("_u")))
     counted = joined.withColumn("_u", u).withColumn("_copies", copies.cast("int"))
     repeated = counted.where("_copies > 0").withColumn("replica", F.explode_outer(F.sequence(F.lit(0), F.col("_copies") - 1)))
     keyed = repeated.select(*[F.col(f"`{c}`") for c in docs.columns], "replica", uniform(F.col(id_col), F.col("replica"), seed, F.lit("order")).alias("shuffle_key"))

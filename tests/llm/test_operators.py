@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -276,6 +278,26 @@ def test_mix(spark, empty):
         source_mix.mix_sources(docs, {"a": -1.0})
 
 
+def test_mix_at_high_rates(spark):
+    # 21 sources of even weights; three of them have one or two rows: rates of 119 to 238, and of 571 to 1143 below.
+    rows = [(i, "t", None, f"src{4 + i % 18}", 1) for i in range(5000)] + [(6000 + i, "t", None, [None, "a", "b", "b"][i], 1) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    duck = duckdb.connect()
+    documents = docs.toPandas()
+    duck.register("documents", documents)
+    counts = lambda mixed: {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    got = counts(source_mix.mix_sources(docs, source_mix.QUERY_WEIGHTS, source_mix.QUERY_DEFAULT, seed=source_mix.QUERY_SEED))
+    assert got == dict(duck.execute(f"select doc_id, count(*) from ({source_mix.SQL}) group by doc_id").fetchall()) and got[6000] > 150
+    got = counts(source_mix.mix_sources(docs, {}, 1.0, total_rows=24_000, seed=5).where("doc_id >= 6000"))
+    rates = {6000: 24_000 / 21, 6001: 24_000 / 21, 6002: 24_000 / 42, 6003: 24_000 / 42}
+    for i, rate in rates.items():
+        u, k, q = int(hashlib.md5(f"{i}:5".encode()).hexdigest()[:13], 16) / (1 << 52), 0, math.exp(-rate) if rate < 700 else 0.0
+        while q <= u:
+            k += 1
+            q += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        assert got[i] == k
+
+
 def test_mix_with_many_sources(docs, monkeypatch):
     want = sorted(map(str, source_mix.mix_sources(docs, {}, 1.0, total_rows=60, seed=3).collect()))
     monkeypatch.setattr(source_mix, "BROADCAST_SOURCES", 1)
