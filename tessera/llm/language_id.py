@@ -4,9 +4,10 @@ For each language a suffix automaton of labelled text is built. A text is parsed
 match in the automaton, a symbol that does not occur is a phrase of its own. The language that needs the fewest
 phrases per symbol wins.
 
-The automaton is laid out as a table of (state, symbol) -> next state, where a missing transition begins a new phrase,
-and numpy advances all blocks of a batch of texts by one symbol at a time in all languages. Blocks have a fixed length
-and a phrase ends with its block, so a very long text costs its length and no more memory than others.
+Transitions are tables of (state, symbol) -> next state, dense for the commonest symbols and a sorted array for all
+others, so that every character of the samples is a symbol of its own, whatever the scripts; a missing transition begins
+a new phrase. numpy advances all blocks of a batch of texts by one symbol at a time in all languages. Blocks have a
+fixed length and a phrase ends with its block, so a very long text costs its length and no more memory than others.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each language that are read for fitting, at most, and the characters that are kept of them.
 FIT_DOCS, FIT_CHARS = 60, 12_000
-#: Symbols of a block, symbols of the alphabet, and symbols that one numpy pass holds.
-BLOCK, ALPHABET, _PASS = 512, 64, 1 << 22
+#: Symbols of a block, and symbols that one numpy pass holds.
+BLOCK, _PASS = 512, 1 << 22
+#: Symbols up to this many have a table of (state, symbol); more are looked up in a sorted array.
+_DENSE = 64
 UNKNOWN = "und"
 
 
@@ -62,32 +65,56 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         folded = {lang: samples[lang].lower() for lang in self.languages}
-        common = [c for c, _ in Counter("".join(folded.values())).most_common(ALPHABET - 2)]
-        #: Symbol of each code point: 0 fills the last block, 1 stands for all that is not in the alphabet.
-        self.symbols = np.ones(0x110000, np.uint8)
+        common = [c for c, _ in Counter("".join(folded.values())).most_common()]
+        #: Symbol of each code point: 0 fills the last block, 1 stands for all that is in no sample.
+        self.symbols = np.ones(0x110000, np.int32)
         for i, c in enumerate(common):
             self.symbols[ord(c)] = i + 2
-        self.tables, self.starts, base = [], [], 0
+        self.width = min(_DENSE, len(common) + 2)
+        self.tables, self.starts, self.firsts, rare, base = [], [], [], [], 0
         for lang in self.languages:
             follow = suffix_automaton(self._symbols(folded[lang]).tolist())
             # The last state is where no phrase is open: at the beginning, and after a symbol that does not occur.
             closed = len(follow)
-            table = np.full((closed + 1, ALPHABET), -1, np.int64)
+            table = np.full((closed + 1, self.width), -1, np.int64)
             for state, to in enumerate(follow):
-                table[state, list(to)] = list(to.values())
+                for symbol, target in to.items():
+                    if symbol < self.width:
+                        table[state, symbol] = target
+                    else:
+                        rare.append((base + state, symbol, base + target))
             # A missing transition begins a phrase, which the symbol opens, or is if it does not occur.
             missing = table < 0
-            table = (base + np.where(missing, np.where(table[0] < 0, closed, table[0]), table)) * ALPHABET * 2 + missing
-            table[:, 0] = (base + np.arange(closed + 1)) * ALPHABET * 2  # the filler changes nothing
+            table = (base + np.where(missing, np.where(table[0] < 0, closed, table[0]), table)) * 2 + missing
+            table[:, 0] = (base + np.arange(closed + 1)) * 2  # the filler changes nothing
             self.tables.append(table.astype(np.int32))
-            self.starts.append((base + closed) * ALPHABET)
+            self.starts.append(base + closed)
+            first = np.full(len(common) + 2, base + closed, np.int32)
+            first[list(follow[0])] = base + np.array(list(follow[0].values()), np.int32)
+            self.firsts.append(first)
             base += closed + 1
         self.table = np.concatenate(self.tables).reshape(-1)
         del self.tables
+        rare = np.array(rare, np.int64).reshape(-1, 3)
+        keys = rare[:, 0] << 21 | rare[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.targets = np.append(keys[order], 1 << 62), np.append(rare[order, 2], 0).astype(np.int32)
 
     def _symbols(self, folded: str) -> np.ndarray:
         return self.symbols[np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
+    def _step(self, state: np.ndarray, symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Twice the next state of each, and 1 more where a phrase begins."""
+        if self.width == len(first):
+            return self.table[state * self.width + symbol]
+        step = self.table[state * self.width + np.minimum(symbol, self.width - 1)]
+        at = np.flatnonzero(symbol >= self.width)
+        if len(at):
+            key = state[at].astype(np.int64) << 21 | symbol[at]
+            place = np.searchsorted(self.keys, key)
+            step[at] = np.where(self.keys[place] == key, self.targets[place] * 2, first[symbol[at]] * 2 + 1)
+        return step
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and the symbols of each text."""
         counts, sizes = np.zeros((len(texts), len(self.languages)), np.int64), np.zeros(len(texts), np.int64)
@@ -116,7 +143,7 @@ class CrossParser:
         """Phrases of each block in each language."""
         lengths = np.count_nonzero(blocks, axis=1)
         order = np.argsort(-lengths, kind="stable")
-        columns = np.ascontiguousarray(blocks[order].T).astype(np.int32)
+        columns = np.ascontiguousarray(blocks[order].T)
         # Blocks that have ended lie behind the others and are left out.
         running = np.searchsorted(-lengths[order], -np.arange(BLOCK), side="left")
         found = np.empty((len(blocks), len(self.languages)), np.int64)
@@ -127,7 +154,7 @@ class CrossParser:
                 n = running[at]
                 if not n:
                     break
-                step = self.table[state[:n] + columns[at, :n]]
+                step = self._step(state[:n], columns[at, :n], self.firsts[k])
                 total[:n] += step & 1
                 state[:n] = step >> 1
             found[order, k] = total

@@ -258,6 +258,25 @@ def test_cross_parse_counts_phrases():
         assert parser.phrases([text])[0][0].tolist() == want
 
 
+def test_language_id_tells_scripts_apart():
+    rng = random.Random(15)
+    latin, greek = "".join(map(chr, range(0x61, 0x7B))) + "".join(map(chr, range(0xE0, 0xF7))) + "".join(map(chr, range(0x101, 0x180, 2))), "αβγδεζηθικλμνξοπρστυφχψω"
+    cyrillic, kana = "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(map(chr, range(0x3041, 0x3097)))
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    samples = {"el": make(greek, 800), "ja": make(kana, 800), "la": make(latin, 9000), "ru": make(cyrillic, 800)}
+    parser = language_id.CrossParser(samples)
+    assert [p for p, _ in parser.predict([make(x, 200) for x in (greek, kana, latin, cyrillic)])] == ["el", "ja", "la", "ru"]
+    text = make(greek + kana[:20] + latin[:20] + cyrillic + "☃", 400)
+    for k, count in zip(parser.languages, parser.phrases([text])[0][0]):
+        n = i = 0
+        while i < len(text):
+            j = i + 1
+            while j <= len(text) and text[i:j] in samples[k]:
+                j += 1
+            n, i = n + 1, max(i + 1, j - 1)
+        assert count == n
+
+
 def test_mix(spark, empty):
     rows = [(i, "t", f"s{i % 3}" if i % 10 else None, 5) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, replica int")
