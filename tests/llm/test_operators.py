@@ -441,6 +441,25 @@ def test_substring_dedup_finds_edited_passages(spark):
     assert got == set(want)
 
 
+def test_substring_dedup_does_not_depend_on_anchors(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_SAMPLE", 1)
+    rng = random.Random(16)
+    rows = []
+    for case in range(8):  # passages of 50 words, each line of which an earlier row has in another place
+        lines = [words(rng, 10) for _ in range(5)]
+        rows += [(100 * case + i, f"{words(rng, 15)} {x} {words(rng, 15)}") for i, x in enumerate(lines)]
+        rows += [(100 * case + i, f"{words(rng, 20)} {' '.join(lines)} {words(rng, 20)}") for i in (50, 51)]
+    same = words(rng, 70)
+    rows += [(1000 + i, f"{words(rng, 5)} {same} {words(rng, 5)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for common in (20, 10**9):  # with the seeds of `same` dealt in parts, and in one
+        monkeypatch.setattr(substring_dedup, "_COMMON", common)
+        got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs).collect()}
+        assert {i for i in got if i < 1000} == {100 * case + i for case in range(8) for i in (50, 51)}
+        assert {i for i in got if i >= 1000} == set(range(1000, 1060))
+        assert [i for i in sorted(got) if got[i]["original"] and i >= 1000] == [1000]
+
+
 def test_sentence_pieces(spark, docs, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = sentence_pieces.default_model()
