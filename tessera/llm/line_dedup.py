@@ -1,60 +1,38 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence of each connected group.
 
-Lines are normalised, and equal ones collapse to one. Two fingerprints that differ in at most RADIUS bits agree in one
-of RADIUS + 1 blocks, so only lines of one block value are compared. That is done first with fingerprints alone; the
-text is fetched only of lines that have a neighbour, and compared in the same buckets by edit similarity. Buckets with
-many lines are cut in tiles and compared tile by tile; a pair of lines that others connect already is not compared.
+Lines are normalised, and equal ones collapse to one. Two of the others are compared if they agree in a whole block of
+their fingerprints (line_prints.py) and in the 16-bit tags of one or two others: a feature that differs touches one
+block, so long lines that differ in up to BLOCKS - 2 features, three words say, always are. Lines are dealt by one block at a time; a block
+value with many lines is dealt again by the tags of the other blocks, and where that leaves many, by pairs of tiles.
+Lines with a neighbour form sets, equal sets of several blocks collapse, and only then are their texts fetched and
+compared by edit similarity; a pair of lines that others of the set connect already is not compared.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.memo import Memo
+from tessera.llm.line_prints import BLOCKS, NEED, lines_of_texts, mix, normalise
 from tessera.llm.scratch import Scratch
 
-RADIUS = 3
 SIMILARITY = 0.8
-_BLOCKS = RADIUS + 1
-_BLOCK_BITS = 64 // _BLOCKS
-#: Fingerprints, and lines with their texts, of a tile.
-_FP_TILE, _TEXT_TILE = 2048, 256
-#: Rows with candidate lines up to this number are broadcast to fetch their texts; more are joined by a shuffle.
-_BROADCAST_ROWS = 200_000
+#: Lines of one block value that are compared at once; of one block value and tag; more are dealt further.
+_RUN, _TILE = 4096, 2048
+#: One line of so many is read for the block values that are very common, those of _COMMON lines there or more.
+_SAMPLE, _COMMON = 32, 512
+#: Candidate lines up to this number (some 20 bytes each) are broadcast to fetch their texts; more are joined by a shuffle.
+_BROADCAST_LINES = 500_000
 
-#: Texts whose lines are hashed at once.
-_ROWS = 256
 
-_TOKEN = re.compile(r"[^\W_]+")
-_DIGITS = re.compile(r"\d+")
-
-
-def _tokens(word: str) -> list[str]:
-    return [word.lower()] if word.isalpha() else [_DIGITS.sub("0", t) for t in _TOKEN.findall(word.lower())]
-
-
-@cache
-def _word_hashes() -> Memo:
-    """For each word, the 64-bit hashes of its tokens; kept by a Python worker from task to task."""
-    return Memo(lambda word: b"".join([xxhash.xxh64_digest(t)[::-1] for t in _tokens(word)]), 300_000)
-
-
-def normalise(line: str) -> str:
-    """Lower case, runs of digits as 0, words joined by single spaces; empty for a line without letters and digits."""
-    return " ".join(t for word in line.split() for t in _tokens(word))
-
-
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a row of the table at a time as the bits of a whole number."""
+def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
+    """Levenshtein distance, a row of the table at a time as the bits of a whole number; a number over `most` if it is."""
     if len(a) < len(b):
         a, b = b, a
     if not b:
@@ -64,12 +42,14 @@ def edit_distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
     up, down, score = full, 0, len(b)
-    for c in a:
+    for left, c in zip(range(len(a) - 1, -1, -1), a):
         equal = where.get(c, 0)
         diagonal = (((equal & up) + up) ^ up) | equal | down
         right_up = (down | ~(diagonal | up)) & full
         right_down = up & diagonal
         score += bool(right_up & top) - bool(right_down & top)
+        if score - left > most:  # it falls by one for each character that is left, at most
+            return score
         right_up = (right_up << 1 | 1) & full
         right_down = right_down << 1 & full
         up = (right_down | ~(diagonal | right_up)) & full
@@ -94,68 +74,183 @@ def similar(a: str, b: str, similarity: float) -> bool:
     most = (1 - similarity) * max(len(a), len(b)) + 1e-9
     if abs(len(a) - len(b)) > most:
         return False
+    one, other = a.split(" "), b.split(" ")
+    if len(one) == len(other) and sum(max(len(v), len(w)) for v, w in zip(one, other) if v != w) <= most:
+        return True  # the distance is no more than that of replacing these words
     start = _same_start(a, b)
     a, b = a[start:][::-1], b[start:][::-1]
     end = _same_start(a, b)
-    return max(len(a), len(b)) - end <= most or edit_distance(a[end:], b[end:]) <= most
+    return max(len(a), len(b)) - end <= most or edit_distance(a[end:], b[end:], most) <= most
 
 
-#: For each byte, its eight bits in lanes of eight bits: sums of up to 255 such numbers count bits.
-_SPREAD = np.array([sum(1 << (8 * bit) for bit in range(8) if value >> bit & 1) for value in range(256)], np.uint64)
+def line_table(rows: DataFrame) -> DataFrame:
+    """(row, line, key, kind, second, again, b0, b1, ...) for each line of (row, text) with a letter or digit.
 
+    line is its place, key a 128-bit hash of the normalised line, b0, ... are the blocks of its fingerprint and kind is
+    its kind. second marks the second fingerprint that some lines have, again that the text has an equal line before.
+    """
+    names = ["row", "line", "key", "kind", "second", "again", *_B]
 
-def _fingerprints(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """The SimHash of each line, from the 64-bit hashes of all lines' words, one line after the other."""
-    sizes = np.array(sizes, np.int64)
-    if not len(sizes):
-        return np.zeros(0, np.uint64)
-    # Sums of at most 255 words, then of these.
-    parts = -(-sizes // 255)
-    first = np.cumsum(parts) - parts
-    nth = np.arange(parts.sum()) - np.repeat(first, parts)
-    starts = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * nth
-    lanes = np.add.reduceat(_SPREAD[hashes.view(np.uint8).reshape(-1, 8)], starts, axis=0)
-    ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64).astype(np.int32), first, axis=0)
-    bits = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little")
-    return np.ascontiguousarray(bits).view("<u8").reshape(-1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, seen = None, set()
+            for rows, places, found in lines_of_texts(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))):
+                again = np.zeros(len(rows), bool)
+                for i, (row, key) in enumerate(zip(rows.tolist(), found.key)):
+                    if row != last:
+                        last, seen = row, set()
+                    again[i] = key in seen
+                    seen.add(key)
+                at = np.concatenate([np.arange(len(rows)), found.more])
+                prints = np.concatenate([found.prints, found.more_prints])
+                kind = np.concatenate([found.kind, found.kind[found.more] + 1]).astype(np.int32)
+                second = np.arange(len(at)) >= len(rows)
+                keys = pa.array(found.key, pa.binary()).take(pa.array(at))
+                blocks = [pa.array(prints[:, i].astype(np.int64)) for i in range(BLOCKS)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(places[at].astype(np.int32)), keys, pa.array(kind), pa.array(second), pa.array(again[at]), *blocks], names=names)
+
+    schema = "row long, line int, key binary, kind int, second boolean, again boolean, " + ", ".join(f"{b} long" for b in _B)
+    return rows.select("row", "text").mapInArrow(run, schema)
+
+
+_B = [f"b{i}" for i in range(BLOCKS)]
+_ROW = ["key", "node", "low", "high"]
+_MIX = 0x1E3779B1
+
+
+def _dealt(prints: DataFrame) -> DataFrame:
+    """(key, node, low, high): a row for each block of a line but the last ones, for of NEED equal blocks one is among the others.
+
+    The low five bits of the key are the kind and the number of the block. low and high are the 16-bit tags of four blocks each; a
+    block without features has the tag 0.
+    """
+    tag = lambda b, i: F.shiftleft(F.shiftright(F.col(b) * F.lit(_MIX), 16).bitwiseAND(F.lit(65535)), 16 * i)
+    low, high = (reduce(lambda a, b: a.bitwiseOR(b), (tag(b, i) for i, b in enumerate(part))) for part in (_B[:4], _B[4:]))
+    needed = F.element_at(F.array(*map(F.lit, NEED)), F.col("kind") + 1)
+    keys = F.array(*[F.when((F.col(b) != 0) & (needed <= BLOCKS - i), F.shiftleft(F.col(b), 5) + F.col("kind") * 8 + F.lit(i)) for i, b in enumerate(_B[: BLOCKS + 1 - min(NEED)])])
+    return prints.select("node", low.alias("low"), high.alias("high"), F.explode(keys).alias("key")).where("key is not null").select(*_ROW)
 
 
-def line_table(rows: DataFrame) -> DataFrame:
-    """(row, line, key, fp) for each line of (row, text) with a letter or digit: its place, a 128-bit hash and SimHash of
-    its words' hashes."""
+_NEED = np.array(NEED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _word_hashes()
-        for whole in batches:
-            for start in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(start, _ROWS)
-                rows, places, lines = [], [], []
-                for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for place, line in enumerate((text.as_py() or "").split("\n")):
-                        if words := b"".join(memo.of(line.split())):
-                            rows.append(row)
-                            places.append(place)
-                            lines.append(words)
-                fps = _fingerprints(np.frombuffer(b"".join(lines), "<u8"), [len(x) // 8 for x in lines]).view(np.int64)
-                keys = pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(places, pa.int32()), keys, pa.array(fps)], names=["row", "line", "key", "fp"])
-
-    return rows.select("row", "text").mapInArrow(run, "row long, line int, key binary, fp long")
-
-
-def _bucketed(items: DataFrame, tile: int) -> DataFrame:
-    """A row for each block of fp and pair of tiles: bucket, a, b (the tiles), part (the row's), then items' columns.
-
-    A bucket of at most `tile` rows has one pair, (0, 0).
+
+def _agree(key: np.ndarray, one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Whether tags, (low, high), agree in as many blocks as the keys' kind needs."""
+    return sum(((a ^ b).view(np.uint16).reshape(-1, 4) == 0).sum(axis=1) for a, b in zip(one, other)) >= _NEED[key >> 3 & 3]
+
+
+def _flagged(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which rows have another that agrees in their run of equal keys; each is compared with the next, the one after..."""
+    found, at, step = np.zeros(len(key), bool), np.arange(len(key)), 1
+    while True:
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            return found
+        near = at[_agree(key[at], [low[at], high[at]], [low[at + step], high[at + step]])]
+        found[near] = found[near + step] = True
+        step += 1
+
+
+def _sets(dealt: DataFrame, most: int | None) -> DataFrame:
+    """(set, key, node, low, high): the lines of each key that agree with another of it, and the name of their set.
+
+    Sets of the same lines have the same name. The rows of a key with more than `most` lines are returned as they are,
+    without a set.
     """
-    blocks = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", i * _BLOCK_BITS).bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).alias("value")) for i in range(_BLOCKS)]
-    rows = items.withColumn("bucket", F.explode(F.array(*blocks))).withColumn("bucket", F.expr(f"bucket.value * {_BLOCKS} + bucket.block"))
-    # At most 4 * 65,536 buckets, whatever the input.
-    large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(large), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", "node"), "parts").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select("bucket", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", *items.columns)
+
+    def compared(key: np.ndarray, node: np.ndarray, *tags: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(_flagged(key, *tags))
+        name = np.zeros(0, np.uint64)
+        if len(at):
+            starts = np.flatnonzero(np.append(True, key[at[1:]] != key[at[:-1]]))
+            sums = np.add.reduceat(mix(node[at].astype(np.uint64)), starts) + (key[at[starts]] & 24).astype(np.uint64)
+            name = np.repeat(mix(sums), np.diff(np.append(starts, len(at))))
+        return rows_of(pa.array(name.view(np.int64)), *(c[at] for c in (key, node, *tags)))
+
+    def rows_of(name: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([name, *map(pa.array, columns)], names=["set", *_ROW])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = [np.zeros(0, np.int64)] * 4, None  # the rows of the last key, which may go on, and the last large key
+        for batch in batches:
+            new = [c.to_numpy() for c in batch.columns]
+            rows = [np.concatenate(c) for c in zip(held, new)]
+            if not len(rows[0]):
+                continue
+            starts = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))
+            sizes = np.diff(np.append(starts, len(rows[0])))
+            big = (sizes > most) | (rows[0][starts] == large) if most else np.zeros(len(starts), bool)
+            whole, open_run = np.repeat(big, sizes), np.arange(len(rows[0])) >= starts[-1]
+            if whole.any():
+                yield rows_of(pa.nulls(int(whole.sum()), pa.int64()), *(c[whole] for c in rows))
+                large = rows[0][whole][-1]
+            yield compared(*(c[~whole & ~open_run] for c in rows))
+            held = [c[~whole & open_run] for c in rows]
+        yield compared(*held)
+
+    schema = "set long, key long, node long, low long, high long"
+    return dealt.select(*_ROW).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+
+
+def _subkey(*of: Column | str) -> Column:
+    """A hash of the key and more, with the key's low bits."""
+    return F.shiftleft(F.xxhash64("key", *of), 5).bitwiseOR(F.col("key").bitwiseAND(F.lit(31)))
+
+
+def candidate_sets(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(set, key, node, low, high): the lines (node, kind, b0, b1, ...) that agree with another, in sets of lines of one block value."""
+    sample = _dealt(prints.where(F.pmod(F.xxhash64("node"), F.lit(_SAMPLE)) == 0)).groupBy("key").count().where(F.col("count") >= _COMMON)
+    common = scratch.write(sample.select(F.col("key").alias("common")), "common")  # (BLOCKS - 1) / _COMMON of the sample's lines at most
+    rows = _dealt(prints)
+    if some := common.limit(1).count():
+        common = F.broadcast(common) if common.count() <= _BROADCAST_LINES else common
+        few = rows.join(common, F.col("key") == F.col("common"), "left_anti")
+    found = scratch.write(_sets(few if some else rows, _RUN), "candidates")
+    again = found.where("set is null").select(*_ROW)
+    again = again.unionByName(rows.join(common, F.col("key") == F.col("common"), "left_semi")) if some else again
+    parts = [found.where("set is not null")]
+    if again.limit(1).count():
+        tag = F.expr("shiftright(if(other < 4, low, high), 16 * (other & 3)) & 65535")
+        others = F.filter(F.array(*map(F.lit, range(BLOCKS))), lambda i: i != F.col("key").bitwiseAND(F.lit(7)))
+        finer = again.withColumn("other", F.explode(others)).select(_subkey("other", tag).alias("key"), *_ROW[1:])
+        finer = scratch.write(finer, "finer")
+        # A plain join with what is there more than _TILE times, which Spark splits where one key has many rows.
+        large = finer.groupBy("key").count().where(F.col("count") > _TILE).select("key", F.ceil(F.col("count") / _TILE).cast("int").alias("parts"))
+        large = scratch.write(large, "large")
+        if large.limit(1).count():
+            tiled = finer.join(large, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+            tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            tiled = tiled.select(_subkey(F.least("part", "other"), F.greatest("part", "other")).alias("key"), *_ROW[1:])
+            parts.append(scratch.write(_sets(tiled, None), "tiled"))
+            finer = finer.join(large, "key", "left_anti")
+        parts.append(scratch.write(_sets(finer, None), "small"))
+    # The key has no more to tell than the kind, so that sets which several blocks have collapse.
+    kind = F.col("key").bitwiseAND(F.lit(24)).alias("key")
+    return reduce(DataFrame.unionByName, (p.select("set", kind, *_ROW[1:]) for p in parts)).distinct()
+
+
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text): the normalised text of the lines in wanted (node, row, line)."""
+    few = wanted.count() <= _BROADCAST_LINES
+    lists = wanted.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("line", "node")).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, texts, size = [], [], 0
+            for text, lines in zip(batch.column(0), batch.column(1)):
+                parts = text.as_py().split("\n")
+                for x in lines.as_py():
+                    nodes.append(x["node"])
+                    texts.append(normalise(parts[x["line"]]))
+                    size += len(texts[-1])
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "text"])
+                    nodes, texts, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "text"])
+
+    joined = rows.join(F.broadcast(lists) if few else lists, F.col("row") == F.col("of")).select("text", "lines")
+    return joined.mapInArrow(run, "node long, text string")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -177,138 +272,76 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _agree_first(difference: np.ndarray, block: int) -> np.ndarray:
-    """Whether fingerprints with this difference agree in the block, and in none before it."""
-    lane = lambda i: difference >> np.uint64(i * _BLOCK_BITS) & np.uint64((1 << _BLOCK_BITS) - 1)
-    found = lane(block) == 0
-    for i in range(block):
-        found &= lane(i) != 0
-    return found
-
-
-def _links(table: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
-    """Links of a pair of tiles between similar lines that no earlier link of the tiles connects."""
-    fps, nodes, part = (table.column(c).to_numpy() for c in ("fp", "node", "part"))
-    bucket, a, b = (table.column(c)[0].as_py() for c in ("bucket", "a", "b"))
-    fps, texts = fps.view(np.uint64), table.column("text").to_pylist()
-    left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
-    label = np.arange(len(fps))
-    for at in range(0, len(left), 256):
-        difference = fps[left[at : at + 256], None] ^ fps[None, right]
-        near = (np.bitwise_count(difference) <= RADIUS) & _agree_first(difference, bucket % _BLOCKS)
-        for i in np.flatnonzero(near.any(axis=1)):
-            one = left[at + i]
-            for other in right[np.flatnonzero(near[i])]:
-                if (a != b or other > one) and label[one] != label[other] and similar(texts[one], texts[other], similarity):
-                    label[label == label[other]] = label[one]
-                    yield int(nodes[one]), int(nodes[other])
-
-
-def _similar_pairs(items: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): links between the lines of items (node, fp, text) that connect all similar ones of each bucket."""
+def _links(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[str], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between similar lines of a set that no earlier link connects."""
+    label = np.arange(len(node))
+    for i in range(len(node) - 1):
+        near = _agree(key[i + 1 :], [low[i], high[i]], [low[i + 1 :], high[i + 1 :]]) & (label[i + 1 :] != label[i])
+        for j in np.flatnonzero(near) + i + 1:
+            if label[i] != label[j] and similar(texts[i], texts[j], similarity):
+                label[label == label[j]] = label[i]
+                yield int(node[i]), int(node[j])
+
+
+def similar_pairs(sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links that connect all similar lines of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
-        for table in _runs(batches, 3):
-            if table.num_rows > 1:
-                for one, other in _links(table, similarity):
-                    src.append(one)
-                    dst.append(other)
+        for table in _runs(batches, 1):
+            columns = [table.column(c).to_numpy() for c in _ROW]
+            for one, other in _links(*columns, table.column("text").to_pylist(), similarity):
+                src.append(one)
+                dst.append(other)
             if len(src) > 10_000:
                 yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
                 src, dst = [], []
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    sorted_rows = _bucketed(items, _TEXT_TILE).repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return sorted_rows.mapInArrow(run, "src long, dst long").distinct()
-
-
-def _with_neighbour(fps: DataFrame) -> DataFrame:
-    """The fingerprints (column fp) that differ from another in at most RADIUS bits."""
-
-    def flagged(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
-        """Fingerprints with a neighbour in their run of equal keys; each is compared with the next, the one after..."""
-        found, at, step = np.zeros(len(fps), bool), np.arange(len(fps)), 1
-        while True:
-            at = at[at + step < len(fps)]
-            at = at[(keys[at] == keys[at + step]).all(axis=1)]
-            if not len(at):
-                return fps[found]
-            near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= RADIUS]
-            found[near] = found[near + step] = True
-            step += 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            keys = np.concatenate([keys, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)])
-            fps = np.concatenate([fps, batch.column(3).to_numpy().view(np.uint64)])
-            # The last run may go on in the next batch.
-            last = len(keys) - int((keys == keys[-1:]).all(axis=1)[::-1].argmin() or len(keys)) if len(keys) else 0
-            yield pa.RecordBatch.from_arrays([pa.array(flagged(keys[:last], fps[:last]).view(np.int64))], names=["fp"])
-            keys, fps = keys[last:], fps[last:]
-        yield pa.RecordBatch.from_arrays([pa.array(flagged(keys, fps).view(np.int64))], names=["fp"])
-
-    dealt = _bucketed(fps.select("fp", F.col("fp").alias("node")), _FP_TILE).select("bucket", "a", "b", "fp")
-    return dealt.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(run, "fp long").distinct()
-
-
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, fp, text): the normalised text of the lines in wanted (node, fp, row, line)."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("line", "node", "fp")).alias("lines"))
-    lists = F.broadcast(lists) if lists.count() <= _BROADCAST_ROWS else lists
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, fps, texts = [], [], []
-            for text, lines in zip(batch.column(0), batch.column(1)):
-                parts = text.as_py().split("\n")
-                for x in lines.as_py():
-                    nodes.append(x["node"])
-                    fps.append(x["fp"])
-                    texts.append(normalise(parts[x["line"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(texts, pa.string())], names=["node", "fp", "text"])
-
-    return rows.join(lists, "row").select("text", "lines").mapInArrow(run, "node long, fp long, text string")
+    whole = sets.join(texts, "node").select("set", *_ROW, "text")
+    return whole.repartition("set").sortWithinPartitions("set", "node").mapInArrow(run, "src long, dst long").distinct()
 
 
-def _fuzzy_groups(rows: DataFrame, distinct: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def _fuzzy_groups(rows: DataFrame, distinct: DataFrame, more: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) of the distinct lines that are similar to another, directly or by others."""
-    fps = distinct.groupBy("fp").agg(F.count("*").alias("n"))
-    close = scratch.write(_with_neighbour(fps).unionByName(fps.where("n > 1").select("fp")).distinct(), "close")
-    wanted = distinct.join(close, "fp", "left_semi").select("node", "fp", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
-    texts = scratch.write(_texts(rows, scratch.write(wanted, "wanted")), "texts")
-    return connected_components(_similar_pairs(texts, similarity), scratch)
+    prints = distinct.select("node", "kind", *_B).unionByName(more.join(distinct.select("key", "node"), "key").select("node", "kind", *_B))
+    sets = scratch.write(candidate_sets(prints, scratch), "sets")
+    close = scratch.write(sets.select("node").distinct(), "close")
+    wanted = scratch.write(distinct.select("node", "row", "line").join(close, "node", "left_semi"), "wanted")
+    texts = scratch.write(_texts(rows, wanted), "texts")
+    return connected_components(similar_pairs(sets, texts, similarity), scratch)
 
 
 def dropped_lines(rows: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
-    """(row, dropped): for each row of (row, text) that loses lines, their places."""
+    """(row, dropped): for each row of (row, text) that loses lines, their places; rows with lesser numbers keep theirs."""
     lines = scratch.write(line_table(rows), "lines")
-    place = F.struct("row", "line")
-    distinct = lines.groupBy("key").agg(F.min(place).alias("first"), F.min("fp").alias("fp"), F.count("*").alias("n"))
+    first = F.when(~F.col("again"), F.col("row"))
+    blocks = [F.max(b).alias(b) for b in ("kind", *_B)]
+    distinct = lines.where("not second").groupBy("key").agg(F.min(first).alias("row"), F.min_by("line", first).alias("line"), F.count("*").alias("n"), *blocks)
     distinct = scratch.write(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    roots = _fuzzy_groups(rows, distinct, similarity, scratch)
+    more = scratch.write(lines.where("second").groupBy("key").agg(*blocks), "more")
+    roots = _fuzzy_groups(rows, distinct, more, similarity, scratch)
     grouped = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = scratch.write(grouped.select("key", "first", "n", "root"), "grouped")
-    kept = grouped.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
-    kept = scratch.write(grouped.join(kept, "root").select("key", "kept"), "kept")
-    gone = lines.join(kept, "key").where(place != F.col("kept"))
+    grouped = scratch.write(grouped.select("key", "row", "line", "n", "root"), "grouped")
+    kept = grouped.groupBy("root").agg(F.min(F.struct("row", "line")).alias("kept"), F.sum("n").alias("total")).where("total > 1")
+    kept = scratch.write(grouped.join(kept, "root").select("key", "kept.*"), "kept").select("key", F.col("row").alias("kept_row"), F.col("line").alias("kept_line"))
+    gone = lines.where("not second").select("row", "line", "key").join(kept, "key").where("row != kept_row or line != kept_line")
     return gone.groupBy("row").agg(F.collect_list("line").alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def line_dedup(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
     """docs with its text without the lines that repeat an earlier one, and the column n_dropped.
 
     Lines are what \\n separates. A line without letters and digits stays. Of each connected group of similar lines,
-    the first occurrence in the order of the scan stays. One row per row of docs, also where no line is left (the text
-    is then empty) and where the text is null (it stays null, n_dropped is 0). A column named n_dropped is replaced;
-    other columns are kept as they are.
+    the first occurrence stays: in the text with the least id, of equal ids that with the least hash of the row; a null
+    id comes first. One row per row of docs, also where no line is left (the text is then empty) and where the text is
+    null (it stays null, n_dropped is 0). A column named n_dropped is replaced; other columns are kept as they are.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     docs = docs.drop("n_dropped")
-    whole = scratch.numbered(docs, "_row")
+    whole = scratch.ordered(docs, id_col, "_row")
     rows = whole.select(F.col("_row").alias("row"), F.col(text_col).alias("text")).where("text is not null")
-    gone = scratch.write(dropped_lines(rows, scratch, similarity), "dropped").withColumnRenamed("row", "_gone")
+    gone = scratch.last(dropped_lines(rows, scratch, similarity), "dropped").withColumnRenamed("row", "_gone")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
     # Both sides are dealt by the row number at every size; broadcasting the places would end at some.

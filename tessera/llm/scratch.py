@@ -35,7 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-        self._count = 0
+        self._count, self.tables = 0, []
 
     def path(self, name: str) -> str:
         self._count += 1
@@ -45,6 +45,7 @@ class Scratch:
         """Write df as Parquet and return it as read back."""
         path = self.path(name)
         df.write.parquet(path)
+        self.tables.append(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table.scratch_path = path
         return table
@@ -58,7 +59,31 @@ class Scratch:
         table.scratch_path = path
         return table
 
+    def ordered(self, df: DataFrame, id_col: str, column: str) -> DataFrame:
+        """df with a number for each row, which grows with the id; rows of one id are in the order of a hash of the row.
+
+        Whole ids that are unique and not null are such numbers themselves. Otherwise df is written in that order.
+        """
+        ids = df.select(F.col(id_col).alias("id"))
+        if ids.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+            if not ids.groupBy("id").count().where("id is null or count > 1").limit(1).count():
+                return df.withColumn(column, F.col(id_col).cast("long"))
+        order = [F.col(id_col), F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))]
+        return self.numbered(df.repartitionByRange(*order).sortWithinPartitions(*order), column)
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """write(), after which the other tables are removed: df is the last that reads them."""
+        old, self.tables = self.tables, []
+        table = self.write(df, name)
+        for path in old:
+            self._remove(path)
+        return table
+
     def delete(self, table: DataFrame) -> None:
         """Remove a table of write() that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        self.tables.remove(table.scratch_path)
+        self._remove(table.scratch_path)
+
+    def _remove(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

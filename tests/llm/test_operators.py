@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, language_id, line_dedup, quality_rules, sentence_pieces, simhash_dedup, source_mix, substring_dedup, token_counts, warc
+from tessera.llm import exact_dedup, language_id, line_dedup, line_prints, quality_rules, sentence_pieces, simhash_dedup, source_mix, substring_dedup, token_counts, warc
 from tessera.llm.components import connected_components
 from tessera.llm.piece_model import CharacterMap, PieceModel
 from tessera.llm.scratch import Scratch
@@ -346,45 +346,92 @@ def test_edit_distance():
         assert line_dedup.similar(a, b, 0.7) == (distance(a, b) <= 0.3 * longer + 1e-9)
 
 
-def test_line_dedup(spark, docs, empty, monkeypatch):
-    monkeypatch.setattr(line_dedup, "_FP_TILE", 3)
-    monkeypatch.setattr(line_dedup, "_TEXT_TILE", 2)
-    rng = random.Random(10)
-    base = words(rng, 80)
-    near = [f"{base} {base} tail{c}" for c in "abcdefg"]
-    # An odd number of words twice: the last word can't decide a bit, so these have one fingerprint.
-    odd = words(rng, 81)
-    close = [f"{odd} {odd} tail{c}" for c in "abcdefg"]
-    rows = [(50 + i, f"Head {i}!\n\n{t}\nHead  {i + 1}.", "keep") for i, t in enumerate(near + close)]
-    more = docs.select("doc_id", "text").withColumn("n_dropped", F.lit("x")).unionByName(spark.createDataFrame(rows, "doc_id long, text string, n_dropped string")).coalesce(1)
-    got = line_dedup.line_dedup(more).collect()
-    data = [(r["doc_id"], r["text"]) for r in more.collect()]
-    lines = [(i, k, line_dedup.normalise(x)) for i, (_, t) in enumerate(data) for k, x in enumerate((t or "").split("\n"))]
-    unique = list(dict.fromkeys(n for _, _, n in lines if n))
-    prints = []
-    for n in unique:
-        hashes = [xxhash.xxh64_intdigest(w) for w in n.split()]
-        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
-    parent = {n: n for n in unique}
+def meet(one, other):
+    """Whether two normalised lines are compared: the rule of line_dedup, from their fingerprints alone."""
+    tag = lambda b: b * line_dedup._MIX >> 16 & 65535
+    for kind in set(one) & set(other):
+        a, b = one[kind], other[kind]
+        need = line_prints.NEED[kind]
+        if sum(tag(x) == tag(y) for x, y in zip(a, b)) >= need and any(x == y != 0 for x, y in zip(a[: line_prints.BLOCKS + 1 - need], b)):
+            return True
+    return False
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for i, a in enumerate(unique):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3 and line_dedup.similar(a, unique[j], 0.8):
-                parent[find(a)] = find(unique[j])
-    seen, kept = set(), {}
-    for i, k, n in lines:
-        if not n or find(n) not in seen:
-            kept.setdefault(i, []).append((data[i][1] or "").split("\n")[k])
-        seen.add(find(n) if n else None)
-    want = sorted(((d, None if t is None else "\n".join(kept.get(i, [])), len((t or "").split("\n")) - len(kept.get(i, []))) for i, (d, t) in enumerate(data)), key=str)
-    assert sorted(((r["doc_id"], r["text"], r["n_dropped"]) for r in got), key=str) == want
-    assert len({find(line_dedup.normalise(t)) for t in close}) == 1
-    assert line_dedup.line_dedup(empty).count() == 0
+def prints_of(line):
+    found = line_prints.lines_of(line)
+    prints = {int(found.kind[0]): found.prints[0].tolist()}
+    if len(found.more):
+        prints[int(found.kind[0]) + 1] = found.more_prints[0].tolist()
+    return prints
+
+
+@pytest.mark.parametrize("run, tile, common", [(4096, 2048, 512), (3, 2, 1)])
+def test_line_dedup(spark, docs, empty, monkeypatch, run, tile, common):
+    for name, value in (("_RUN", run), ("_TILE", tile), ("_COMMON", common), ("_SAMPLE", 1)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = random.Random(10)
+    base, short, middle = words(rng, 80), words(rng, 5), words(rng, 14)
+    near = [base.replace(base.split()[i], "changed", 1) for i in range(0, 40, 5)] + [f"{base} tail{c}" for c in "abcdefg"]
+    near += [short + c for c in "abc"] + [middle.replace(middle.split()[i], "x", 1) for i in range(8)] + [words(rng, n) for n in (3, 9, 20, 28, 50)]
+    rows = [(1000 - i, f"Head {i}!\n\n{t}\nHead  {i + 1}.\n{t}", "keep") for i, t in enumerate(near)]
+    more = docs.select("doc_id", "text").withColumn("n_dropped", F.lit("x")).unionByName(spark.createDataFrame(rows, "doc_id long, text string, n_dropped string"))
+    unique = more.where("doc_id >= 900")  # whole ids that are unique and not null number the rows themselves
+    for table in (more, unique) if run == 4096 else (unique,):
+        data = [(r["doc_id"], r["text"], r["n_dropped"]) for r in table.collect()]
+        data.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+        lines = [(i, k, line_prints.normalise(x)) for i, (_, t, _) in enumerate(data) for k, x in enumerate((t or "").split("\n"))]
+        distinct = list(dict.fromkeys(n for _, _, n in lines if n))
+        prints = [prints_of(n) for n in distinct]
+        parent = {n: n for n in distinct}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, a in enumerate(distinct):
+            for j in range(i):
+                if find(a) != find(distinct[j]) and meet(prints[i], prints[j]) and line_dedup.similar(a, distinct[j], 0.8):
+                    parent[find(a)] = find(distinct[j])
+        seen, kept = set(), {}
+        for i, k, n in lines:
+            if not n or find(n) not in seen:
+                kept.setdefault(i, []).append((data[i][1] or "").split("\n")[k])
+            seen.add(find(n) if n else None)
+        want = sorted(((d, None if t is None else "\n".join(kept.get(i, [])), len((t or "").split("\n")) - len(kept.get(i, []))) for i, (d, t, _) in enumerate(data)), key=str)
+        got = sorted(((r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(table).collect()), key=str)
+        # Repeated texts of no id are in any order among themselves: what stays of them together is the same.
+        assert [x for x in got if x[0] is not None] == [x for x in want if x[0] is not None] and sum(x[2] for x in got) == sum(x[2] for x in want)
+        assert len({find(line_prints.normalise(t)) for t in near}) == 3 + 5
+    if run == 4096:
+        again = line_dedup.line_dedup(unique.repartition(5)).select("doc_id", "text").collect()
+        assert sorted(map(tuple, again)) == sorted((d, t) for d, t, _ in got)
+        assert line_dedup.line_dedup(empty).count() == 0
+
+
+def test_lines_of_texts(monkeypatch):
+    rng = random.Random(20)
+    letters = "abcABC  \t\n\n.,-_0123456789éßİΣ😀日本_\xa0"
+    for piece in (1 << 18, 40):  # the second cuts within texts and within lines
+        monkeypatch.setattr(line_prints, "PIECE", piece)
+        for _ in range(60):
+            texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 30, 200, 900]))) for _ in range(4)] + [None]
+            got = {(r, p): k for rows, places, found in line_prints.lines_of_texts(range(5), texts) for r, p, k in zip(rows.tolist(), places.tolist(), found.key)}
+            lines = {(r, i): line_prints.normalise(x) for r, t in enumerate(texts) for i, x in enumerate((t or "").split("\n"))}
+            assert got == {place: xxhash.xxh3_128_digest(n.encode("utf-32-le")) for place, n in lines.items() if n}
+
+
+@pytest.mark.parametrize("count, changed, least", [(10, 1, 0.99), (20, 2, 0.85), (40, 2, 0.99), (40, 4, 0.9), (80, 3, 0.99), (80, 5, 0.75), (200, 4, 0.9)])
+def test_lines_with_changed_words_meet(count, changed, least):
+    rng = random.Random(21)
+    met = 0
+    for _ in range(200):
+        line = words(rng, count).split()
+        other = line[:]
+        for i in rng.sample(range(count), changed):
+            other[i] = words(rng, 1) + "z"
+        met += meet(prints_of(" ".join(line)), prints_of(" ".join(other)))
+    assert met >= least * 200
 
 
 def test_minimizers_meet():
