@@ -161,3 +161,16 @@ def text_baseline(rows: DataFrame, text: str, label: str, positive, reg: float =
     data = rows.withColumn("_y", (F.col(label) == F.lit(positive)).cast("double"))
     scored = Pipeline(stages=stages).fit(data.where("_y is not null")).transform(data)
     return scored.select(*rows.columns, vector_to_array("_p")[1].alias("probability"))
+
+
+def predicted_counts(rows: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Per predicted concept: rows, those that are right, and the chance of a right guess.
+
+    A row's prediction is the concept (concept, vector) of the greatest score, the first of equal ones.
+    """
+    from tessera.operators.project import scores
+
+    best = F.max_by("concept", F.round("score", 9) - F.col("concept") * 1e-12)
+    hits = scores(rows, concepts).groupBy("example_key", "label").agg(best.alias("predicted"))
+    chance = 1.0 / max(1, rows.select("label").distinct().count())
+    return hits.groupBy("predicted").agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("label")).alias("n_right"), F.lit(chance).alias("chance"))

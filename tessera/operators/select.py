@@ -97,3 +97,22 @@ def _all(tests: Sequence[Column]) -> Column:
     for t in tests:
         out = out & t
     return out
+
+
+def text_filter(rows: DataFrame, text: str, min_chars: int, among: Mapping[str, Sequence], test: Column | None = None) -> DataFrame:
+    """Rows whose text has min_chars characters or more, with the columns of `among` in their lists and the test true."""
+    tests = [F.length(text) >= min_chars, *(F.col(c).isin(*values) for c, values in among.items())]
+    return rows.where(_all(tests if test is None else [*tests, test]))
+
+
+def scored_roles(rows: DataFrame, role: str, default: str, score: str, values: Sequence[str]) -> DataFrame:
+    """Rows of roles other than the default whose score, as text, is one of the values."""
+    return rows.where((F.col(role) != default) & F.col(score).isin(*values))
+
+
+def coerced_sections(given: Column) -> Column:
+    """Section records (name, index, token_positions) from a JSON list: section_name and positions are other names of the
+    first and the last; records without positions go."""
+    schema = "array<struct<name:string,section_name:string,index:int,token_positions:array<int>,positions:array<int>>>"
+    of = lambda s: F.struct(F.coalesce(s["name"], s["section_name"]).alias("name"), s["index"].alias("index"), F.coalesce(s["token_positions"], s["positions"]).alias("token_positions"))
+    return F.filter(F.transform(F.from_json(given, schema), of), lambda s: F.coalesce(F.size(s["token_positions"]) > 0, F.lit(False)))
