@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.line_prints import BLOCKS, NEED, lines_of_texts, mix, normalise
+from tessera.llm.line_prints import BLOCKS, NEED, lines_of_texts, normalise
 from tessera.llm.scratch import Scratch
+from tessera.llm.words import mix
 
 SIMILARITY = 0.8
 #: Lines of one block value that are compared at once; of one block value and tag; more are dealt further.
@@ -69,14 +70,31 @@ def _same_start(a: str, b: str) -> int:
     return low
 
 
+#: Steps past a difference, in words of either side, the shortest first.
+_STEPS = sorted(((i, j) for i in range(5) for j in range(5) if i + j), key=lambda s: (sum(s), abs(s[0] - s[1])))
+
+
+def _replaced(a: list[str], b: list[str], most: float) -> int:
+    """Characters of the words that differ where both lists are read side by side: at least the edit distance of the
+    texts. Stops beyond `most`."""
+    i, j, cost = 0, 0, 0
+    while i < len(a) and j < len(b) and cost <= most:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        di, dj = next(((di, dj) for di, dj in _STEPS if i + di < len(a) and j + dj < len(b) and a[i + di] == b[j + dj]), (1, 1))
+        cost += max(sum(map(len, a[i : i + di])) + di, sum(map(len, b[j : j + dj])) + dj)
+        i, j = i + di, j + dj
+    return cost + max(sum(map(len, a[i:])) + len(a) - i, sum(map(len, b[j:])) + len(b) - j)
+
+
 def similar(a: str, b: str, similarity: float) -> bool:
     """Whether 1 - distance / longer length is at least similarity."""
     most = (1 - similarity) * max(len(a), len(b)) + 1e-9
     if abs(len(a) - len(b)) > most:
         return False
-    one, other = a.split(" "), b.split(" ")
-    if len(one) == len(other) and sum(max(len(v), len(w)) for v, w in zip(one, other) if v != w) <= most:
-        return True  # the distance is no more than that of replacing these words
+    if _replaced(a.split(" "), b.split(" "), most) <= most:
+        return True  # the distance is no more than that
     start = _same_start(a, b)
     a, b = a[start:][::-1], b[start:][::-1]
     end = _same_start(a, b)
@@ -274,6 +292,10 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def _links(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[str], similarity: float) -> Iterator[tuple[int, int]]:
     """Links between similar lines of a set that no earlier link connects."""
+    if len(node) == 2:  # they agree, else there were no set
+        if similar(texts[0], texts[1], similarity):
+            yield int(node[0]), int(node[1])
+        return
     label = np.arange(len(node))
     for i in range(len(node) - 1):
         near = _agree(key[i + 1 :], [low[i], high[i]], [low[i + 1 :], high[i + 1 :]]) & (label[i + 1 :] != label[i])
@@ -287,19 +309,24 @@ def similar_pairs(sets: DataFrame, texts: DataFrame, similarity: float) -> DataF
     """(src, dst): links that connect all similar lines of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, dst = [], []
-        for table in _runs(batches, 1):
-            columns = [table.column(c).to_numpy() for c in _ROW]
-            for one, other in _links(*columns, table.column("text").to_pylist(), similarity):
-                src.append(one)
-                dst.append(other)
-            if len(src) > 10_000:
-                yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
-                src, dst = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+        held, texts = [np.zeros(0, np.int64)] * 5, []  # the rows of the last set, which may go on
+
+        def linked(columns: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
+            starts = np.append(np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])), len(columns[0])) if len(texts) else []
+            found = [x for a, b in zip(starts, starts[1:]) if b - a > 1 for x in _links(*(c[a:b] for c in columns[1:]), texts[a:b], similarity)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["src", "dst"])
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+                texts += batch.column(5).to_pylist()
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                yield linked([c[:last] for c in rows], texts[:last])
+                held, texts = [c[last:] for c in rows], texts[last:]
+        yield linked(held, texts)
 
     whole = sets.join(texts, "node").select("set", *_ROW, "text")
-    return whole.repartition("set").sortWithinPartitions("set", "node").mapInArrow(run, "src long, dst long").distinct()
+    return whole.repartition("set").sortWithinPartitions("set", "key", "node").mapInArrow(run, "src long, dst long").distinct()
 
 
 def _fuzzy_groups(rows: DataFrame, distinct: DataFrame, more: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -333,8 +360,8 @@ def line_dedup(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
     """docs with its text without the lines that repeat an earlier one, and the column n_dropped.
 
     Lines are what \\n separates. A line without letters and digits stays. Of each connected group of similar lines,
-    the first occurrence stays: in the text with the least id, of equal ids that with the least hash of the row; a null
-    id comes first. One row per row of docs, also where no line is left (the text is then empty) and where the text is
+    the first occurrence stays: in the text with the least id, of equal ids that with the least hash of the row; rows
+    without an id come last. One row per row of docs, also where no line is left (the text is then empty) and where the text is
     null (it stays null, n_dropped is 0). A column named n_dropped is replaced; other columns are kept as they are.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")

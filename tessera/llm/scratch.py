@@ -60,7 +60,8 @@ class Scratch:
         return table
 
     def ordered(self, df: DataFrame, id_col: str, column: str) -> DataFrame:
-        """df with a number for each row, which grows with the id; rows of one id are in the order of a hash of the row.
+        """df with a number for each row, which grows with the id; rows of one id are in the order of a hash of the row,
+        those without an id come last.
 
         Whole ids that are unique and not null are such numbers themselves. Otherwise df is written in that order.
         """
@@ -68,7 +69,7 @@ class Scratch:
         if ids.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
             if not ids.groupBy("id").count().where("id is null or count > 1").limit(1).count():
                 return df.withColumn(column, F.col(id_col).cast("long"))
-        order = [F.col(id_col), F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))]
+        order = [F.col(id_col).asc_nulls_last(), F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))]
         return self.numbered(df.repartitionByRange(*order).sortWithinPartitions(*order), column)
 
     def last(self, df: DataFrame, name: str) -> DataFrame:
