@@ -1,6 +1,8 @@
 """WARC archives: writing pages with one gzip member per record, and a sequential reader.
 
-The reader inflates each member as its bytes arrive, frames the block by Content-Length and verifies both digests.
+The reader inflates each member as its bytes arrive, frames the block by Content-Length and verifies both digests on the
+way, so that a record takes no more memory than its payload, and that only where the payload is wanted. Each record has
+an id of its own, to which revisits refer.
 Archives lie in a folder that all executors share and are opened through pyarrow's file systems, so that folder may be
 local, HDFS or an object store. Tasks write under names of their own; a manifest names the files of the attempts that
 counted, so a lost executor leaves at most a file that nothing reads.
@@ -26,17 +28,22 @@ from tessera.llm.scratch import Scratch
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_ID = "<urn:page-id:{}>"
+#: Record ids: that of the page, and the number of its row.
+_ID = "<urn:page:{}:{}>"
 _CHUNK = 1 << 18
+#: A header of more bytes is none.
+_HEAD = 1 << 20
+_END = b"\r\n\r\n"
 #: Rows and payload bytes of one batch that the reader yields.
 _ROWS, _BYTES = 1024, 8 << 20
 
-_RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+_RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, number long, refers_number long"
 
 
 class Record(NamedTuple):
     headers: dict[str, str]
-    block: bytes
+    size: int  # of the payload
+    payload: bytes | None
 
 
 def digest(data: bytes) -> str:
@@ -44,21 +51,30 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _sha1(sha: bytes) -> str:
+    return f"sha1:{base64.b32encode(sha).decode()}"
+
+
 # Writing -----------------------------------------------------------------------------------------------------------
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, revisit: bool, level: int) -> bytes:
-    """One record as a gzip member; a revisit has the digest of its payload, but not the payload."""
+def record_id(page_id: int | None, number: int) -> str:
+    return _ID.format("" if page_id is None else page_id, number)
+
+
+def record_bytes(own_id: str, url: str | None, payload: bytes, refers_to: str | None, date: str, level: int) -> bytes:
+    """One record as a gzip member; one that refers to another is a revisit, with the digest of its payload only."""
+    revisit = refers_to is not None
     block = _HTTP if revisit else _HTTP + payload
     headers = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": _ID.format("" if page_id is None else page_id),
+        "WARC-Record-ID": own_id,
         "WARC-Date": date,
         "WARC-Target-URI": None if url is None else quote(url, safe="%/:=&?~#+!$,;'@()*[]"),
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
         "WARC-Block-Digest": f"sha1:{digest(block)}",
         "WARC-Profile": _PROFILE if revisit else None,
-        "WARC-Refers-To": _ID.format("" if refers_to is None else refers_to) if revisit else None,
+        "WARC-Refers-To": refers_to,
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
@@ -82,7 +98,7 @@ def write_archives(
     groups = rows.where("same is not null").groupBy("same").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("n"))
     groups = scratch.write(groups.where("n > 1").select("same", "best"), "groups")
     dealt = rows.join(groups, "same", "left").select(
-        "id", "url", "payload", F.expr("best is not null and best.row != row").alias("revisit"), F.col("best.id").alias("refers_to")
+        "id", "row", "url", "payload", F.expr("best is not null and best.row != row").alias("revisit"), F.col("best.id").alias("refers_to"), F.col("best.row").alias("refers_row")
     )
     root = scratch.path("archives")
 
@@ -96,8 +112,9 @@ def write_archives(
                 system.create_dir(folder, recursive=True)
                 name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
                 path, out = f"{root}/{name}", system.open_output_stream(f"{folder}/{name}", compression=None)
-            for page, url, payload, revisit, to in zip(*(c for c in batch.columns)):
-                out.write(record_bytes(page.as_py(), url.as_py(), payload.as_py(), to.as_py(), date, revisit.as_py(), level))
+            for row in zip(*batch.columns):
+                page, number, url, payload, revisit, to, to_number = (c.as_py() for c in row)
+                out.write(record_bytes(record_id(page, number), url, payload, record_id(to, to_number) if revisit else None, date, level))
             count += batch.num_rows
         if out is not None:
             out.close()
@@ -109,76 +126,95 @@ def write_archives(
 # Reading -----------------------------------------------------------------------------------------------------------
 
 
-def members(stream) -> Iterator[bytes]:
-    """The contents of a stream's gzip members, each inflated as its bytes arrive."""
-    inflate, parts, data = zlib.decompressobj(31), [], b""
-    while True:
-        if not data:
-            data = stream.read(_CHUNK)
+class _Framer:
+    """One record, fed with its bytes as they arrive. ValueError where its framing or a digest is wrong."""
+
+    def __init__(self, keep_payload: bool):
+        self.keep, self.head, self.headers, self.tail = keep_payload, b"", None, b""
+        self.left, self.http, self.size, self.parts = 0, b"", 0, []
+        self.block_sha, self.payload_sha, self.in_payload = hashlib.sha1(), hashlib.sha1(), False
+
+    def feed(self, data: bytes) -> None:
+        if self.headers is None:
+            head, gap, data = (self.head + data).partition(_END)
+            if not gap:
+                self.head = head
+                if len(head) > _HEAD or not head.startswith(b"WARC/"[: len(head)]):
+                    raise ValueError("no WARC record")
+                return
+            self._parse(head)
+        block, rest = data[: self.left], data[self.left :]
+        self.left -= len(block)
+        self.block_sha.update(block)
+        if not self.in_payload:
+            self.http, gap, block = (self.http + block).partition(_END)
+            self.in_payload = bool(gap)
+        self.payload_sha.update(block)
+        self.size += len(block)
+        if self.keep:
+            self.parts.append(block)
+        self.tail += rest
+        if len(self.tail) > len(_END):
+            raise ValueError(f"bytes behind the end of {self.headers.get('warc-record-id')}")
+
+    def _parse(self, head: bytes) -> None:
+        version, *lines = head.decode().split("\r\n")
+        if not version.startswith("WARC/"):
+            raise ValueError("no WARC record")
+        self.headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        self.left = int(self.headers["content-length"])
+
+    def finish(self) -> Record:
+        if self.headers is None or self.left or self.tail != _END:
+            raise ValueError("Content-Length doesn't fit the record")
+        checks = [("warc-block-digest", self.block_sha)]
+        checks += [("warc-payload-digest", self.payload_sha)] if self.headers["warc-type"] == "response" else []
+        for name, sha in checks:
+            if self.headers.get(name, want := _sha1(sha.digest())) != want:
+                raise ValueError(f"{name} of {self.headers.get('warc-record-id')} differs")
+        return Record(self.headers, self.size, b"".join(self.parts) if self.keep else None)
+
+
+def records(stream, keep_payload: bool = True) -> Iterator[Record]:
+    """The records of a stream of gzip members, one each; ValueError for a damaged or cut one."""
+    data = stream.read(_CHUNK)
+    while data:
+        inflate, framer = zlib.decompressobj(31), _Framer(keep_payload)
+        while not inflate.eof:
+            data = data or stream.read(_CHUNK)
             if not data:
-                break
-        parts.append(inflate.decompress(data, _CHUNK))
-        data = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
-        if inflate.eof:
-            yield b"".join(parts)
-            inflate, parts = zlib.decompressobj(31), []
-    if any(parts):
-        parts.append(inflate.flush())
-        if not inflate.eof:
-            raise ValueError("the last record is cut off")
-        yield b"".join(parts)
-
-
-def parse_record(data: bytes) -> Record:
-    """Headers and block of a record; ValueError if its framing or its block digest is wrong."""
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
-    if not version.startswith("WARC/") or not gap:
-        raise ValueError("no WARC record")
-    headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    size = int(headers["content-length"])
-    block = rest[:size]
-    if len(block) != size or rest[size:] != b"\r\n\r\n":
-        raise ValueError(f"Content-Length {size} doesn't fit the record")
-    if (want := headers.get("warc-block-digest")) and want != f"sha1:{digest(block)}":
-        raise ValueError(f"block digest of {headers.get('warc-record-id')} differs")
-    return Record(headers, block)
-
-
-def payload_of(record: Record) -> bytes:
-    """What follows the HTTP headers; ValueError if a response's payload digest differs."""
-    payload = record.block.partition(b"\r\n\r\n")[2]
-    if record.headers["warc-type"] == "response" and record.headers["warc-payload-digest"] != f"sha1:{digest(payload)}":
-        raise ValueError(f"payload digest of {record.headers.get('warc-record-id')} differs")
-    return payload
-
-
-def _page(urn: str | None) -> int | None:
-    number = (urn or "")[len(_ID.format("")) - 1 : -1]
-    return int(number) if number else None
-
-
-def _row(record: Record, keep_payload: bool) -> tuple:
-    h, payload = record.headers, payload_of(record)
+                raise ValueError("the last record is cut off")
+            try:
+                framer.feed(inflate.decompress(data, _CHUNK))
+            except zlib.error as damage:
+                raise ValueError(f"no gzip member: {damage}") from damage
+            data = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+        yield framer.finish()
+        data = data or stream.read(_CHUNK)
+
+
+def _page(urn: str | None) -> tuple[int | None, int | None]:
+    """The page and the row of a record id."""
+    page, _, number = (urn or "").removeprefix("<urn:page:").removesuffix(">").partition(":")
+    return int(page) if page else None, int(number) if number else None
+
+
+def _row(record: Record) -> tuple:
+    h = record.headers
     revisit = h["warc-type"] == "revisit"
-    return (
-        _page(h["warc-record-id"]),
-        h.get("warc-target-uri"),
-        h["warc-type"],
-        _page(h.get("warc-refers-to")),
-        None if revisit else len(payload),
-        h["warc-payload-digest"].removeprefix("sha1:"),
-        payload if keep_payload and not revisit else None,
-    )
+    page, number = _page(h["warc-record-id"])
+    refers_to, refers_number = _page(h.get("warc-refers-to"))
+    size, payload = (None, None) if revisit else (record.size, record.payload)
+    return page, h.get("warc-target-uri"), h["warc-type"], refers_to, size, h["warc-payload-digest"].removeprefix("sha1:"), payload, number, refers_number
 
 
 def read_archives(manifest: DataFrame, keep_payload: bool = True) -> DataFrame:
     """A row for each record of the archives in manifest.path: page_id, url, record_type, refers_to, payload_bytes,
-    payload_digest, payload.
+    payload_digest, payload, number, refers_number (of the row of the record, and of that which it refers to).
 
     payload and payload_bytes are null for a revisit. An archive whose framing or digests are wrong fails the job.
     """
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
     names = [c.split()[0] for c in _RECORD.split(", ")]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -189,8 +225,8 @@ def read_archives(manifest: DataFrame, keep_payload: bool = True) -> DataFrame:
             system, file = fs.FileSystem.from_uri(path)
             rows, size = [], 0
             with system.open_input_stream(file, compression=None) as stream:
-                for data in members(stream):
-                    rows.append(_row(parse_record(data), keep_payload))
+                for record in records(stream, keep_payload):
+                    rows.append(_row(record))
                     size += len(rows[-1][6] or b"")
                     if len(rows) >= _ROWS or size >= _BYTES:
                         yield batch_of(rows)
@@ -212,9 +248,9 @@ def archive_round_trip(pages: DataFrame, id_col="page_id", url_col="url", html_c
     found = read_archives(write_archives(pages, scratch, id_col, url_col, html_col, min_bytes), keep_payload=False).drop("payload")
     found = scratch.write(found, "records")
     revisits, responses = found.where("record_type = 'revisit'"), found.where("record_type = 'response'")
-    sizes = responses.groupBy(F.col("page_id").alias("to")).agg(F.max("payload_bytes").alias("size"))
-    sizes = scratch.write(sizes.join(revisits.select(F.col("refers_to").alias("to")).distinct(), "to", "left_semi"), "sizes")
-    filled = revisits.join(sizes, F.col("refers_to").eqNullSafe(F.col("to")), "left").withColumn("payload_bytes", F.col("size"))
+    sizes = responses.select(F.col("number").alias("to"), F.col("payload_bytes").alias("size"))
+    sizes = scratch.write(sizes.join(revisits.select(F.col("refers_number").alias("to")).distinct(), "to", "left_semi"), "sizes")
+    filled = revisits.join(sizes, F.col("refers_number") == F.col("to"), "left").withColumn("payload_bytes", F.col("size"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     return responses.select(columns).unionByName(filled.select(columns))
 
