@@ -1,10 +1,14 @@
 """Near duplicates by SimHash, compared exactly in tiles.
 
-A fingerprint's four 16-bit lanes have four population counts, its signature. Two fingerprints that differ in at most
-`radius` bits have signatures whose differences sum to at most `radius`, so tiles (fingerprints of one signature) are
-compared only with tiles of such signatures. Within a pair of tiles all pairs are compared by exclusive-or and bit
-counts in numpy. Each pair of tiles yields a spanning forest of its links, never all pairs, and connected components
-of these give the groups.
+A fingerprint's lanes have population counts, its signature. Two fingerprints that differ in at most `radius` bits have
+signatures whose differences sum to at most `radius`, so tiles (fingerprints of one signature) are compared only with
+tiles of such signatures. Within a pair of tiles all pairs are compared by exclusive-or and bit counts in numpy. Each
+pair of tiles yields a spanning forest of its links, of the nearest ones, never all pairs, and connected components of
+these give the groups.
+
+For a small radius a signature has four lanes, which skips nearly all pairs of tiles; for a large one, which few pairs
+of lanes would rule out, one lane and larger tiles. Either way the pairs of tiles grow with the square of the
+fingerprints: that is the method's.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.scratch import Scratch
-from tessera.llm.words import word_blocks
+from tessera.llm.words import hashed_texts, mix, word_blocks
 
-LANES = 4
-_LANE_BITS = 64 // LANES
-#: A lane's count is at most 16; sums of signatures stay apart in this base.
-_BASE = 64
-#: Fingerprints of a tile: a pair of tiles is a row of at most about 8 KB.
-TILE = 512
+#: Lanes and fingerprints of a tile up to a radius; a pair of tiles is a row of about 8 KB, or 32 KB.
+_NEAR, _LANES, TILE = 3, 4, 512
+_FAR_LANES, FAR_TILE = 1, 2048
+#: A lane's count is at most 64; sums of signatures stay apart in this base.
+_BASE = 256
+#: Near duplicates of the pipeline: shingles of five words, a similarity of 0.8. Fingerprints of texts that similar
+#: differ in 10 bits on average.
+SHINGLE_WORDS, SIMILARITY, RADIUS = 5, 0.8, 12
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -68,61 +74,88 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
-def _signature(fp: Column) -> Column:
-    lanes = [F.bit_count(F.shiftrightunsigned(fp, i * _LANE_BITS).bitwiseAND(F.lit((1 << _LANE_BITS) - 1))) for i in range(LANES)]
+def _signature(fp: Column, lanes: int) -> Column:
+    bits = 64 // lanes
+    mask = F.lit((1 << bits) - 1 if bits < 64 else -1)
+    lanes = [F.bit_count(F.shiftrightunsigned(fp, i * bits).bitwiseAND(mask)) for i in range(lanes)]
     return sum(lane.cast("long") * _BASE**i for i, lane in enumerate(lanes))
 
 
-def _offsets(radius: int) -> list[int]:
+def _offsets(radius: int, lanes: int) -> list[int]:
     """Differences of the signatures of two fingerprints within the radius, each pair of signatures once."""
-    steps = itertools.product(range(-radius, radius + 1), repeat=LANES)
+    steps = itertools.product(range(-radius, radius + 1), repeat=lanes)
     sums = (sum(d * _BASE**i for i, d in enumerate(s)) for s in steps if sum(map(abs, s)) <= radius)
     return sorted(s for s in sums if s >= 0)
 
 
 def _forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a pair of tiles, reduced: each fingerprint with a link, and one representative of those it reaches."""
+    """Links of a pair of tiles that connect what all its links connect: a spanning forest of the nearest ones."""
     nodes = left if same else np.concatenate([left, right])
-    shift = 0 if same else len(left)
-    label, linked = np.arange(len(nodes)), np.zeros(len(nodes), bool)
-    near = np.bitwise_count(left[:, None] ^ right[None, :]) <= radius
-    if same:
-        np.fill_diagonal(near, False)
-    for i in np.flatnonzero(near.any(axis=1)):
-        to = np.flatnonzero(near[i]) + shift
-        linked[i] = linked[to] = True
-        labels = np.unique(np.append(label[to], label[i]))
-        if len(labels) > 1:
-            label[np.isin(label, labels[1:])] = labels[0]
-    at = np.flatnonzero(linked & (label != np.arange(len(nodes))))
-    return nodes[at], nodes[label[at]]
-
-
-def link_fingerprints(distinct: DataFrame, radius: int, scratch: Scratch, tile: int = TILE) -> DataFrame:
-    """(node, root) for the distinct fingerprints (column fp) that are linked to another, directly or by others."""
-    signed = distinct.select("fp", _signature(F.col("fp")).alias("sig"))
-    # At most 17 ** LANES signatures, whatever the input: a table of at most 83,521 small rows.
+    found = []
+    for start in range(0, len(left), 256):
+        bits = np.bitwise_count(left[start : start + 256, None] ^ right[None, :])
+        one, two = np.nonzero(bits <= radius)
+        one, two, bits = (one + start).astype(np.int32), two.astype(np.int32), bits[one, two]
+        once = one < two if same else slice(None)
+        found.append((one[once], two[once] + (0 if same else len(left)), bits[once]))
+    one, two, bits = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(bits, kind="stable")
+    one, two = one[order], two[order]
+    label, src, dst = np.arange(len(nodes)), [], []
+    while True:
+        apart = label[one] != label[two]
+        one, two = one[apart], two[apart]
+        if not len(one):
+            return nodes[src], nodes[dst]
+        # The nearest link of each part that is connected so far.
+        ends, first = np.unique(np.stack([label[one], label[two]], axis=1).reshape(-1), return_index=True)
+        parent = dict(zip(ends.tolist(), ends.tolist()))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for k in np.unique(first // 2).tolist():
+            a, b = root(int(label[one[k]])), root(int(label[two[k]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                src.append(one[k])
+                dst.append(two[k])
+        to = np.arange(len(nodes))
+        to[ends] = [root(x) for x in ends.tolist()]
+        label = to[label]
+
+
+def near_links(distinct: DataFrame, radius: int, scratch: Scratch, tile: int | None = None) -> DataFrame:
+    """(src, dst): links of the distinct fingerprints (column fp) that connect all which differ in radius bits or less."""
+    lanes, tile = (_LANES, tile or TILE) if radius <= _NEAR else (_FAR_LANES, tile or FAR_TILE)
+    signed = distinct.select("fp", _signature(F.col("fp"), lanes).alias("sig"))
+    # At most 17 ** 4 signatures, whatever the input: a table of at most 83,521 small rows.
     parts = signed.groupBy("sig").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     dealt = signed.join(F.broadcast(parts), "sig").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
     tiles = scratch.write(dealt.groupBy("sig", "part").agg(F.collect_list("fp").alias("fps")), "tiles")
     left = tiles.select(
-        F.col("sig").alias("sig_a"), F.col("part").alias("part_a"), F.col("fps").alias("a"), F.explode(F.array(*map(F.lit, _offsets(radius)))).alias("step")
+        F.col("sig").alias("sig_a"), F.col("part").alias("part_a"), F.col("fps").alias("a"), F.explode(F.array(*map(F.lit, _offsets(radius, lanes)))).alias("step")
     ).withColumn("sig", F.col("sig_a") + F.col("step"))
     pairs = left.join(tiles.withColumnRenamed("fps", "b"), "sig").where("step > 0 or part_a <= part")
     pairs = pairs.select("a", "b", F.expr("step = 0 and part_a = part").alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
             for a, b, same in zip(*(batch.column(i) for i in range(3))):
                 one, two = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (a, b))
-                sides.append(_forest(one, two, radius, same.as_py()))
-            src = np.concatenate([s for s, _ in sides] or [np.zeros(0, np.uint64)]).view(np.int64)
-            dst = np.concatenate([d for _, d in sides] or [np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+                src, dst = _forest(one, two, radius, same.as_py())
+                if len(src):
+                    yield pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], names=["src", "dst"])
+
+    return scratch.write(pairs.mapInArrow(run, "src long, dst long").distinct(), "links")
 
-    links = scratch.write(pairs.mapInArrow(run, "src long, dst long").distinct(), "links")
-    return connected_components(links, scratch)
+
+def link_fingerprints(distinct: DataFrame, radius: int, scratch: Scratch, tile: int | None = None) -> DataFrame:
+    """(node, root) for the distinct fingerprints (column fp) that are linked to another, directly or by others."""
+    return connected_components(near_links(distinct, radius, scratch, tile), scratch)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle_words: int = 3) -> DataFrame:
@@ -147,17 +180,72 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 _BROADCAST_ROWS = 500_000
 
 
-def simhash_dedup(docs: DataFrame, text_col: str = "text", radius: int = 2, shingle_words: int = 3) -> DataFrame:
-    """The rows of docs but those that a row of their group precedes in the scan; all columns, whatever their names.
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of `size` words, A-Z in lower case; of all words if there are fewer."""
+    words, _ = hashed_texts([text])
+    count = max(1, len(words) - size + 1)
+    found = np.zeros(count if len(words) else 0, np.uint64)
+    for j in range(min(size, len(words))):
+        found = mix(found + words[j : j + count])
+    return np.unique(found)
+
 
-    Groups are those of simhash_groups(); rows with null texts are one group with other texts without words.
+def _similar(rows: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (src, dst) of rows (row, text) whose shingles have at least this share in common."""
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("of")).distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                found = pa.array([shingles(t.as_py(), shingle_words).tobytes() for t in part.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), found], names=["row", "shingles"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, sides in enumerate(zip(batch.column(2), batch.column(3))):
+                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in sides)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep[i] = common >= similarity * (len(a) + len(b) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(2)], names=["src", "dst"])
+
+    chosen = rows.join(wanted, F.col("row") == F.col("of"), "left_semi").select("row", "text").mapInArrow(hashed, "row long, shingles binary")
+    chosen = scratch.write(chosen, "shingles")
+    one, two = (chosen.select(F.col("row").alias(end), F.col("shingles").alias(f"{end}_shingles")) for end in ("src", "dst"))
+    whole = pairs.join(one, "src").join(two, "dst").select("src", "dst", "src_shingles", "dst_shingles")
+    return whole.mapInArrow(compared, "src long, dst long")
+
+
+def simhash_dedup(
+    docs: DataFrame, text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id"
+) -> DataFrame:
+    """The rows of docs but those of whose group another stays; all columns, whatever their names.
+
+    Links between texts whose fingerprints differ in at most radius bits are checked: the shingles that two texts have
+    in common are at least `similarity` of those of either. What links connect is a group, and of each the row with the
+    least id stays, of equal ids that with the least hash of the row; rows without an id come last. Texts without words, null
+    ones too, are one group. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash-dedup")
-    numbered = scratch.numbered(docs, "_row")
-    groups = scratch.write(simhash_groups(numbered, "_row", text_col, radius, shingle_words), "groups")
-    gone = groups.where("_row != component_id").select("_row")
+    whole = scratch.ordered(docs, id_col, "_row")
+    rows = whole.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
+    digests = rows.select("row", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    found = scratch.write(fingerprints(rows, "row", "text", shingle_words), "fingerprints")
+    prints = found.join(digests, "row")
+    # Equal texts are told by their digests; of different ones with a fingerprint, all are linked to the first.
+    texts = scratch.write(prints.groupBy("fp", "digest").agg(F.min("row").alias("row")), "texts")
+    firsts = scratch.write(texts.groupBy("fp").agg(F.min("row").alias("first")), "firsts")
+    links = near_links(firsts, radius, scratch)
+    ends = [firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_row")) for end in ("src", "dst")]
+    far = links.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_row").alias("src"), F.col("dst_row").alias("dst"))
+    same = texts.join(firsts, "fp").where("row != first").select(F.col("row").alias("src"), F.col("first").alias("dst"))
+    pairs = scratch.write(far.unionByName(same), "pairs")
+    roots = connected_components(_similar(rows, pairs, shingle_words, similarity, scratch), scratch)
+    copies = prints.join(texts.withColumnRenamed("row", "first"), ["fp", "digest"]).where("row != first").select("row")
+    gone = scratch.last(roots.where("node != root").select(F.col("node").alias("row")).unionByName(copies).distinct(), "gone").withColumnRenamed("row", "_gone")
     gone = F.broadcast(gone) if gone.count() <= _BROADCAST_ROWS else gone
-    return numbered.join(gone, "_row", "left_anti").drop("_row")
+    return whole.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
