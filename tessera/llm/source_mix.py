@@ -18,6 +18,8 @@ from tessera.llm.scratch import Scratch
 #: Below this many sources their table is broadcast; beyond it, it is joined by shuffling salted keys.
 BROADCAST_SOURCES = 10_000
 _SALTS = 64
+#: Where a source's rate is higher, rows are repeated by so many copies at a time.
+SPLIT = 1000
 #: Beyond this rate exp(-rate) is no longer a normal double, and cumulative probabilities begin nearer to the mode.
 _PLAIN_RATE = 700.0
 
@@ -91,6 +93,7 @@ def mix_sources(
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     rates = scratch.write(mix_rates(docs, weights, default_weight, total_rows, source_col), "rates").where("rate > 0")
+    highest = rates.agg(F.max("rate")).first()[0] or 0.0
     rates = rates.select(F.col("source").alias("_source"), _first_count(F.col("rate")).alias("_first"), _quantiles(F.col("rate")).alias("_quantiles"))
     docs = docs.drop("replica", "shuffle_key")
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
@@ -103,7 +106,12 @@ def mix_sources(
     u = uniform(F.col(id_col), seed)
     copies = F.col("_first") + F.size(F.filter("_quantiles", lambda q: q <= F.col("_u")))
     counted = joined.withColumn("_u", u).withColumn("_copies", copies.cast("int"))
-    repeated = counted.where("_copies > 0").withColumn("replica", F.explode_outer(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    repeated = counted.where("_copies > 0").withColumn("_start", F.lit(0))
+    if highest > SPLIT:  # a few rows may be most of the output: their copies are dealt in pieces before they are made
+        pieces = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1, F.lit(SPLIT)))
+        repeated = repeated.withColumn("_start", pieces).repartition(F.col(id_col), F.col("_start"))
+    last = F.least(F.col("_copies"), F.col("_start") + SPLIT) if highest > SPLIT else F.col("_copies")
+    repeated = repeated.withColumn("replica", F.explode(F.sequence(F.col("_start"), last - 1)))
     keyed = repeated.select(*[F.col(f"`{c}`") for c in docs.columns], "replica", uniform(F.col(id_col), F.col("replica"), seed, F.lit("order")).alias("shuffle_key"))
     # Keys are uniform, so their ranges are known beforehand: no sampling pass over the texts.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
