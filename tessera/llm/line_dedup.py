@@ -271,25 +271,6 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "node long, text string")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of each run of equal values in the first `keys` columns, which are integers and sorted."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:keys]], axis=1)
-        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1), batch.num_rows]
-        for start, end in zip(cuts, cuts[1:]):
-            if held and tuple(values[start]) != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(start, end - start))
-            last = tuple(values[start])
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _links(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[str], similarity: float) -> Iterator[tuple[int, int]]:
     """Links between similar lines of a set that no earlier link connects."""
     if len(node) == 2:  # they agree, else there were no set
