@@ -8,9 +8,11 @@ from collections.abc import Callable
 class Memo(dict):
     """compute(key) for each key asked for, kept for at most about twice `limit` keys; the ones in use stay.
 
-    Results must not be None.
+    Keys of more than LONGEST characters are not kept. Results must not be None.
     """
 
+    LONGEST = 64
+
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
         self.compute, self.limit, self.older = compute, limit, {}
@@ -19,6 +21,8 @@ class Memo(dict):
         value = self.older.pop(key, None)
         if value is None:
             value = self.compute(key)
+        if len(key) > self.LONGEST:
+            return value
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
