@@ -79,7 +79,7 @@ def mean_vectors(rows: DataFrame, keys: list[str], vector: str, count: str = "co
 
 def rounded(column: Column, places: int = 4) -> Column:
     """Rounded, without a negative zero."""
-    return F.round(column, places) + F.lit(0.0)
+    return F.bround(column, places) + F.lit(0.0)
 
 
 def cosine_or_null(a: Column, b: Column) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import condition, cosine, dot, doubles
+from tessera.sources.examples import ranked
+
+#: Tiles of coordinates that are too many to be broadcast.
+_TILES = 64
 
 SUMMARIES = ("mean", "min", "max", "std", "trend", "first_last_delta")
 
@@ -15,13 +19,19 @@ SUMMARIES = ("mean", "min", "max", "std", "trend", "first_last_delta")
 def scores(rows: DataFrame, coordinates: DataFrame, metric: str = "dot", on: Sequence[str] = ()) -> DataFrame:
     """A row for each of rows and each coordinate (coordinate, vector, and the columns of `on`), with score.
 
-    The coordinates are a table of directions, small beside the rows: broadcast if they are fewer than 10,000, else
-    joined on the columns of `on`, of which there must then be some.
+    The coordinates are a table of directions: broadcast if they are fewer than 10,000. More are joined on the columns
+    of `on` if there are some; else they are dealt in tiles, and each row is joined with every tile.
     """
     value = {"dot": dot, "cosine": cosine}[metric](doubles("values"), doubles("vector"))
     few = coordinates.limit(10_001).count() <= 10_000
     small = F.broadcast(coordinates) if few else coordinates
-    joined = rows.join(small, list(on)) if on else rows.join(small, F.size("values") == F.size("vector"))
+    if on:
+        joined = rows.join(small, list(on))
+    elif few:
+        joined = rows.join(small, F.size("values") == F.size("vector"))
+    else:
+        tiles = rows.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_TILES - 1).cast("long"))))
+        joined = tiles.join(coordinates.withColumn("_tile", F.pmod(F.xxhash64("vector"), F.lit(_TILES))), "_tile").where(F.size("values") == F.size("vector")).drop("_tile")
     return joined.withColumn("score", value).drop("vector", "values")
 
 
@@ -40,9 +50,20 @@ def summarize(rows: DataFrame, keys: Sequence[str], order: str, score: str = "sc
 
 
 def quantile_bands(rows: DataFrame, keys: Sequence[str], score: str, bands: int) -> DataFrame:
-    """Per group: bands - 1 linearly interpolated thresholds, min, max and count."""
-    cuts = F.percentile(score, F.array(*[F.lit(i / bands) for i in range(1, bands)]))
-    return rows.groupBy(*keys).agg(cuts.alias("thresholds"), F.min(score).alias("min"), F.max(score).alias("max"), F.count(score).alias("count"))
+    """Per group: bands - 1 linearly interpolated thresholds, min, max and count. Null scores are left out.
+
+    Scores are ranked over ranges; of each group, only the rows at the ranks on either side of a threshold are kept.
+    """
+    keys, rows = list(keys), rows.where(F.col(score).isNotNull())
+    sizes = rows.groupBy(*keys).agg(F.min(score).alias("min"), F.max(score).alias("max"), F.count(score).alias("count"))
+    spots = F.array(*[F.lit(float(i)) * (F.col("count") - 1) / bands for i in range(1, bands)])
+    placed = ranked(rows.select(*keys, score), keys, [score]).join(sizes, keys) if keys else ranked(rows.select(score), [], [score]).crossJoin(sizes)
+    wanted = F.exists(spots, lambda s: (F.floor(s) == F.col("rank")) | (F.ceil(s) == F.col("rank")))
+    listed = placed.where(wanted).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", score))).alias("_at"))
+    whole = listed.join(sizes, keys) if keys else listed.crossJoin(sizes)
+    at = lambda s: F.element_at("_at", s.cast("bigint"))
+    cuts = F.transform(spots, lambda s: at(F.floor(s)) + (s - F.floor(s)) * (at(F.ceil(s)) - at(F.floor(s))))
+    return whole.select(*keys, cuts.alias("thresholds"), "min", "max", "count")
 
 
 def assign_band(rows: DataFrame, thresholds: Column, score: str) -> DataFrame:
@@ -53,5 +74,5 @@ def assign_band(rows: DataFrame, thresholds: Column, score: str) -> DataFrame:
 def gap_by_layer(rows: DataFrame, positive: Column | str, negative: Column | str, score: str = "score") -> DataFrame:
     """layer, gap (mean of one side less that of the other), rank by absolute gap, the lower layer first of equal ones."""
     gaps = rows.groupBy("layer").agg((F.avg(F.when(condition(positive), F.col(score))) - F.avg(F.when(condition(negative), F.col(score)))).alias("gap"))
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.abs("gap"), 9)), "layer"))
+    rank = F.row_number().over(Window.orderBy(F.desc(F.bround(F.abs("gap"), 9)), "layer"))
     return gaps.where("gap is not null").withColumn("rank", rank)  # one row for each layer

@@ -5,19 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, doubles, minus, scale
+from tessera.sources.examples import number_rows, ranked
 
 
 def encode_labels(rows: DataFrame, label: str) -> DataFrame:
-    """rows with class_index: the place of the label, as text, in lexicographic order. Classes are few and broadcast."""
-    classes = [r[0] for r in rows.select(F.col(label).cast("string").alias("c")).where("c is not null").distinct().orderBy("c").limit(100_001).collect()]
-    if len(classes) > 100_000:
-        raise ValueError("more than 100,000 classes")
-    table = rows.sparkSession.createDataFrame(list(enumerate(classes)), "class_index int, _class string")
-    return rows.join(F.broadcast(table), F.col(label).cast("string") == F.col("_class"), "left").drop("_class")
+    """rows with class_index: the place of the label, as text, in lexicographic order; null for a null label."""
+    classes = rows.select(F.col(label).cast("string").alias("_class")).where("_class is not null").distinct()
+    table = number_rows(classes, ["_class"], "class_index").withColumn("class_index", F.col("class_index").cast("int"))
+    return rows.join(table, F.col(label).cast("string") == F.col("_class"), "left").drop("_class")
 
 
 def hash_fold(key: Column, folds: int, seed: int = 42) -> Column:
@@ -55,13 +54,12 @@ def confusion(rows: DataFrame, positive, keys: Sequence[str] = ()) -> DataFrame:
 def auroc(rows: DataFrame, truth: Column, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve from ranks, equal scores having their average rank; null with one class only.
 
-    Rows are counted per distinct score before they are ranked.
+    Rows are counted per distinct score before they are ranked. A null score counts as the least.
     """
-    levels = rows.groupBy(*keys, score).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("n"))
-    order = Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)
-    below = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = levels.withColumn("won", F.col("p") * (below + F.col("n") / 2))
-    return ranked.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n")).alias("auroc"))
+    levels = rows.groupBy(*keys, score).agg(F.count_if(truth).alias("_p"), F.count_if(~truth).alias("_n"))
+    below = ranked(levels, list(keys), [score], "_n", "_below")
+    won = below.withColumn("won", F.col("_p") * (F.col("_below") + F.col("_n") / 2))
+    return won.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("_p") * F.sum("_n")).alias("auroc"))
 
 
 def fold_summary(metrics: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -143,8 +141,9 @@ def text_counts(rows: DataFrame, key: str, text: str, n_max: int = 2) -> DataFra
     return rows.select(key, F.explode(F.concat(*kept)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("count"))
 
 
-def text_baseline(rows: DataFrame, text: str, label: str, positive, reg: float = 1e-3) -> DataFrame:
-    """rows with probability: a logistic model of hashed words and word pairs, fitted to all rows with a label."""
+def text_baseline(train: DataFrame, test: DataFrame, text: str, label: str, positive, reg: float = 1e-3) -> DataFrame:
+    """The rows of test with probability: a logistic model of hashed words and word pairs, fitted to the rows of train
+    that have a label."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
@@ -158,9 +157,9 @@ def text_baseline(rows: DataFrame, text: str, label: str, positive, reg: float =
         VectorAssembler(inputCols=["_f1", "_f2"], outputCol="_f"),
         LogisticRegression(featuresCol="_f", labelCol="_y", regParam=reg, maxIter=50, probabilityCol="_p", predictionCol="_c", rawPredictionCol="_r"),
     ]
-    data = rows.withColumn("_y", (F.col(label) == F.lit(positive)).cast("double"))
-    scored = Pipeline(stages=stages).fit(data.where("_y is not null")).transform(data)
-    return scored.select(*rows.columns, vector_to_array("_p")[1].alias("probability"))
+    data = train.withColumn("_y", (F.col(label) == F.lit(positive)).cast("double")).where("_y is not null")
+    scored = Pipeline(stages=stages).fit(data).transform(test)
+    return scored.select(*test.columns, vector_to_array("_p")[1].alias("probability"))
 
 
 def predicted_counts(rows: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -170,7 +169,7 @@ def predicted_counts(rows: DataFrame, concepts: DataFrame) -> DataFrame:
     """
     from tessera.operators.project import scores
 
-    best = F.max_by("concept", F.round("score", 9) - F.col("concept") * 1e-12)
+    best = F.max_by("concept", F.bround("score", 9) - F.col("concept") * 1e-12)
     hits = scores(rows, concepts).groupBy("example_key", "label").agg(best.alias("predicted"))
     chance = 1.0 / max(1, rows.select("label").distinct().count())
     return hits.groupBy("predicted").agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("label")).alias("n_right"), F.lit(chance).alias("chance"))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import condition, doubles, mean_vectors, minus, norm, unit
 
 
+#: Parts in which the products of many tasks are added before they are added together.
+_PARTS = 64
+
+
 def _side_means(rows: DataFrame, keys: list[str], positive: Column | str, negative: Column | str) -> DataFrame:
     """keys, pos, neg (mean vectors of the two sides), n_pos, n_neg; a side without rows is null."""
     sided = rows.withColumn("_side", F.when(condition(positive), "pos").when(condition(negative), "neg")).where("_side is not null")
@@ -64,7 +72,7 @@ def concept_space(rows: DataFrame, concept: str, min_examples: int = 1, keys: li
     """
     means = centroids(rows, concept, keys).where(F.col("count") >= min_examples)
     center = mean_vectors(means, list(keys), "values", "_n").select(*keys, F.col("values").alias("_center"))
-    both = means.join(F.broadcast(center), list(keys)) if keys else means.withColumn("_center", F.lit(_one(center, "_center")))
+    both = means.join(center, list(keys)) if keys else means.withColumn("_center", F.lit(_one(center, "_center")))
     raw = both.withColumn("raw_vector", minus(F.col("values"), F.col("_center")))
     return raw.select(*keys, concept, "raw_vector", unit(F.col("raw_vector")).alias("vector"), norm(F.col("raw_vector")).alias("norm"), "count")
 
@@ -96,15 +104,57 @@ def _one(df: DataFrame, column: str) -> list[float]:
 
 
 def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and population covariance of the values: sums that Spark adds up, d and d x d numbers to the driver."""
-    item = F.transform(doubles("values"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    pairs = F.flatten(F.transform(item, lambda a: F.transform(F.filter(item, lambda b: b["i"] >= a["i"]), lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), (a["x"] * b["x"]).alias("p")))))
-    n = rows.count()
-    mean = np.array(_one(mean_vectors(rows, [], "values"), "values"))
-    second = np.zeros((len(mean), len(mean)))
-    for r in rows.select(F.explode(pairs).alias("e")).groupBy("e.i", "e.j").agg(F.avg("e.p").alias("m")).collect():
-        second[r["i"], r["j"]] = second[r["j"], r["i"]] = r["m"]
-    return n, mean, second - np.outer(mean, mean)
+    """Count, mean and population covariance of the values; d x d numbers go to the driver. Rows without values go.
+
+    Each task adds up the products of its batches, as one matrix product a batch, and hands on one row for each row of
+    the matrix; these are added in two steps, a sorted run at a time, so that no task holds more than it has read.
+    """
+    table = second_moments(rows)
+    found = table.orderBy("i").collect()
+    if not found:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    n = found[0]["n"]
+    mean = np.array([r["total"] for r in found]) / n
+    return n, mean, np.array([r["products"] for r in found]) / n - np.outer(mean, mean)
+
+
+def second_moments(rows: DataFrame) -> DataFrame:
+    """(i, n, total, products): for each element, rows, the sum, and the sums of its products with all elements."""
+    schema = "i int, part int, n long, total double, products array<double>"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def table(i: np.ndarray, part: int, n: int, total: np.ndarray, products: np.ndarray) -> pa.RecordBatch:
+        whole = pa.array(np.full(len(i), part), pa.int32()), pa.array(np.full(len(i), n), pa.int64())
+        listed = pa.ListArray.from_arrays(np.arange(0, products.size + 1, products.shape[1] or 1, dtype=np.int32), products.reshape(-1))
+        return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), *whole, pa.array(total), listed], names=names)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, second = 0, 0.0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                n, total, second = n + len(x), total + x.sum(axis=0), second + x.T @ x
+        for at in range(0, len(total) if n else 0, 256):
+            yield table(np.arange(at, min(at + 256, len(total))), TaskContext.get().partitionId() % _PARTS, n, total[at : at + 256], second[at : at + 256])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for i, part, n, total, row in zip(*(batch.column(k) for k in range(5))):
+                i, row = i.as_py(), row.values.to_numpy()
+                if held and held[0] == i:
+                    held = (i, held[1] + n.as_py(), held[2] + total.as_py(), held[3] + row)
+                    continue
+                if held:
+                    yield table(np.array(held[:1]), 0, held[1], np.array([held[2]]), held[3][None])
+                held = (i, n.as_py(), total.as_py(), row)
+        if held:
+            yield table(np.array(held[:1]), 0, held[1], np.array([held[2]]), held[3][None])
+
+    found = rows.select(doubles("values").alias("v")).where("v is not null").mapInArrow(products, schema)
+    for keys in (["i", "part"], ["i"]):
+        found = found.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(added, schema)
+    return found.select("i", "n", "total", "products")
 
 
 def subspace(rows: DataFrame, components: int, standardize: bool = True) -> dict:

@@ -14,8 +14,24 @@ def last_token(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def slice_tokens(tokens: DataFrame, start: int, stop: int | None) -> DataFrame:
-    """Positions from start to before stop."""
-    return tokens.where((F.col("token_pos") >= start) & (F.lit(True) if stop is None else F.col("token_pos") < stop))
+    """Positions from start to before stop; negative ones count from the end of their example's tokens."""
+    if start >= 0 and (stop is None or stop >= 0):
+        return tokens.where((F.col("token_pos") >= start) & (F.lit(True) if stop is None else F.col("token_pos") < stop))
+    ends = tokens.groupBy("example_key").agg((F.max("token_pos") + 1).alias("_n"))
+    bound = lambda b: F.lit(b) if b >= 0 else F.greatest(F.col("_n") + b, F.lit(0))
+    cut = tokens.join(ends, "example_key").where(F.col("token_pos") >= bound(start))
+    return (cut if stop is None else cut.where(F.col("token_pos") < bound(stop))).drop("_n")
+
+
+def missing_sections(tokens: DataFrame, sections: DataFrame, name: str) -> DataFrame:
+    """Keys of examples that lack the named section, which a selection by section must not have."""
+    return tokens.select("example_key").distinct().join(sections.where(F.col("section") == name), "example_key", "left_anti")
+
+
+def pooled_sections(sections: DataFrame) -> DataFrame:
+    """Sections (example_key, section, token_pos) after their tokens were pooled into one: position 0, and how many there
+    were."""
+    return sections.distinct().groupBy("example_key", "section").agg(F.lit(0).alias("token_pos"), F.count("*").alias("overlap"))
 
 
 def pool(tokens: DataFrame, keys: list[str], how: str = "mean") -> DataFrame:

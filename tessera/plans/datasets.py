@@ -27,10 +27,10 @@ def ds_predicate(spark, sf_dir):
     return select.where_label(table(spark, sf_dir, "documents"), "lang", "de").select("doc_id", "source")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY doc_id LIMIT 50")
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def ds_select(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return select.select_rows(table(spark, sf_dir, "documents"), "doc_id", good, 50).select("doc_id", "lang")
+    return select.select_rows(table(spark, sf_dir, "documents"), "doc_id", good).select("doc_id", "lang")
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -45,12 +45,12 @@ def ds_missing_anti(spark, sf_dir):
 
 @query("""
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side
-FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) b ON a.k = b.k
+FROM (SELECT DISTINCT doc_id AS k FROM documents) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer) b ON a.k = b.k
 WHERE a.k IS NULL OR b.k IS NULL
 """)
 def ds_key_differences(spark, sf_dir):
-    left = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    right = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"))
+    left = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"))
+    right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     return select.key_differences(left, right, "k")
 
 
@@ -68,13 +68,13 @@ def ds_label_fields(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT doc_id, string_split(lang || ';' || source || ' ; ', ';') AS p, string_split('not ' || lang || ';x', ';') AS n FROM documents WHERE n_chars < 2000),
+WITH l AS (SELECT doc_id, string_split(lang || ';' || source || ' ; ', ';') AS p, string_split('not ' || lang || ';x', ';') AS n FROM documents),
 x AS (SELECT doc_id, 'positive' AS side, list_filter(list_transform(p, lambda s: trim(s)), lambda s: s <> '') AS items FROM l
       UNION ALL SELECT doc_id, 'negative', list_filter(list_transform(n, lambda s: trim(s)), lambda s: s <> '') FROM l)
 SELECT format('{:06d}_{}_{:03d}', doc_id, side, i - 1) AS example_key, side, items[i] AS item FROM (SELECT *, unnest(range(1, len(items) + 1)) AS i FROM x)
 """)
 def ds_list_contrast(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("n_chars < 2000")
+    docs = table(spark, sf_dir, "documents")
     key = F.format_string("%06d", "doc_id")
     positive = F.concat(F.col("lang"), F.lit(";"), F.col("source"), F.lit(" ; "))
     return src.list_contrast(docs, key, positive, F.concat(F.lit("not "), F.col("lang"), F.lit(";x")))

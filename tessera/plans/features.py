@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import cosine, dot, doubles, mean_vectors, norm, rounded, softmax, top_k
+from tessera.functions.vectors import dot, doubles, mean_vectors, norm, rounded, softmax, top_k
 from tessera.operators import patch, project, represent, routing, tokens
+from tessera.operators.reports import pair_table
 from tessera.plans.registry import query, table
 
 _LAYERS, _DIMS, _TOKENS, _TOKEN_DIMS = 4, 16, 8, 8
@@ -48,8 +49,8 @@ u AS (SELECT d, raw, raw / sqrt(sum(raw * raw) OVER ()) AS w FROM m)
 @query(f"""
 WITH {_DIRECTION},
 s AS (SELECT e.vec_id, e.label, sum(e.v * u.w) AS score FROM e JOIN u USING (d) GROUP BY ALL)
-SELECT label, count(*) AS n, round(avg(score), 4) + 0 AS mean, round(min(score), 4) + 0 AS min, round(max(score), 4) + 0 AS max,
-       round(stddev_pop(score), 4) + 0 AS std FROM s GROUP BY label
+SELECT label, count(*) AS n, round_even(avg(score), 4) + 0 AS mean, round_even(min(score), 4) + 0 AS min, round_even(max(score), 4) + 0 AS max,
+       round_even(stddev_pop(score), 4) + 0 AS std FROM s GROUP BY label
 """)
 def direction_project(spark, sf_dir):
     rows = vectors(spark, sf_dir)
@@ -58,7 +59,7 @@ def direction_project(spark, sf_dir):
     return out.select("label", "n", *(rounded(F.col(c)).alias(c) for c in ("mean", "min", "max", "std")))
 
 
-@query(f"WITH {_DIRECTION} SELECT d::INT AS dim, round(raw, 4) + 0 AS raw, round(w, 4) + 0 AS unit FROM u")
+@query(f"WITH {_DIRECTION} SELECT d::INT AS dim, round_even(raw, 4) + 0 AS raw, round_even(w, 4) + 0 AS unit FROM u")
 def rep_direction(spark, sf_dir):
     found = represent.direction(vectors(spark, sf_dir), _POS, _NEG)
     both = found.select(F.posexplode(F.arrays_zip(F.col("raw_vector").alias("raw"), F.col("vector").alias("unit"))).alias("dim", "e"))
@@ -68,7 +69,7 @@ def rep_direction(spark, sf_dir):
 @query(f"""
 WITH {_E}, g AS (SELECT vec_id % 7 AS grp, label % 2 AS side, d, avg(v) AS v FROM (SELECT *, vec_id % 7 * 10 + label % 2 AS k FROM e) GROUP BY vec_id % 7, label % 2, d),
 r AS (SELECT d, avg(v) FILTER (side = 0) - avg(v) FILTER (side = 1) AS raw FROM g GROUP BY d)
-SELECT d::INT AS dim, round(raw, 4) + 0 AS value FROM r
+SELECT d::INT AS dim, round_even(raw, 4) + 0 AS value FROM r
 """)
 def rep_direction_grouped(spark, sf_dir):
     rows = vectors(spark, sf_dir).withColumn("side", F.col("label") % 2)
@@ -78,7 +79,7 @@ def rep_direction_grouped(spark, sf_dir):
 
 @query(f"""
 WITH {_E}, m AS (SELECT vec_id % 50 AS case_id, d, avg(v) FILTER (label = 0) AS p, avg(v) FILTER (label = 1) AS n FROM e GROUP BY ALL)
-SELECT case_id, d::INT AS dim, round(p - n, 4) + 0 AS value FROM m WHERE p IS NOT NULL AND n IS NOT NULL
+SELECT case_id, d::INT AS dim, round_even(p - n, 4) + 0 AS value FROM m WHERE p IS NOT NULL AND n IS NOT NULL
 """)
 def rep_pair_delta(spark, sf_dir):
     rows = vectors(spark, sf_dir).withColumn("case_id", F.col("example_key") % 50)
@@ -86,7 +87,7 @@ def rep_pair_delta(spark, sf_dir):
 
 
 @query(f"""
-WITH {_E} SELECT d // 16 AS layer, label::VARCHAR AS label, (d % 16)::INT AS dim, round(avg(v), 4) + 0 AS value FROM e GROUP BY ALL
+WITH {_E} SELECT d // 16 AS layer, label::VARCHAR AS label, (d % 16)::INT AS dim, round_even(avg(v), 4) + 0 AS value FROM e GROUP BY ALL
 """)
 def rep_centroid(spark, sf_dir):
     return elements(represent.centroids(layered(spark, sf_dir), "label", ["layer"]), "values", "layer", "label").withColumn("layer", F.col("layer").cast("long"))
@@ -99,13 +100,13 @@ u AS (SELECT *, sqrt(sum(raw * raw) OVER (PARTITION BY layer, label)) AS norm FR
 """
 
 
-@query(f"WITH {_SPACE} SELECT layer, label, dim::INT AS dim, round(raw / norm, 4) + 0 AS value FROM u")
+@query(f"WITH {_SPACE} SELECT layer, label, dim::INT AS dim, round_even(raw / norm, 4) + 0 AS value FROM u")
 def rep_concept_space(spark, sf_dir):
     space = represent.concept_space(layered(spark, sf_dir), "label", 5, ["layer"])
     return elements(space, "vector", "layer", "label").withColumn("layer", F.col("layer").cast("long"))
 
 
-@query(f"WITH {_SPACE} SELECT layer, label, n AS count, round(norm, 4) + 0 AS norm FROM u WHERE dim = 0")
+@query(f"WITH {_SPACE} SELECT layer, label, n AS count, round_even(norm, 4) + 0 AS norm FROM u WHERE dim = 0")
 def rep_concept_norms(spark, sf_dir):
     space = represent.concept_space(layered(spark, sf_dir), "label", 5, ["layer"])
     return space.select(F.col("layer").cast("long").alias("layer"), "label", "count", rounded(F.col("norm")).alias("norm"))
@@ -113,7 +114,7 @@ def rep_concept_norms(spark, sf_dir):
 
 @query(f"""
 WITH {_E}, p AS (SELECT label, d, avg(v) AS v, count(*) AS n FROM e GROUP BY ALL)
-SELECT d::INT AS dim, round(max(v) FILTER (label = 0) - avg(v) FILTER (label <> 0 AND n >= 5), 4) + 0 AS value FROM p GROUP BY d
+SELECT d::INT AS dim, round_even(max(v) FILTER (label = 0) - avg(v) FILTER (label <> 0 AND n >= 5), 4) + 0 AS value FROM p GROUP BY d
 """)
 def rep_role_axis(spark, sf_dir):
     return elements(represent.role_axis(vectors(spark, sf_dir), "label", F.col("label") == 0, 5), "raw_vector")
@@ -121,16 +122,16 @@ def rep_role_axis(spark, sf_dir):
 
 @query(f"""
 WITH {_E}, n AS (SELECT vec_id, sqrt(sum(v * v)) AS norm FROM e GROUP BY vec_id)
-SELECT vec_id AS example_key, d::INT AS dim, round(v / norm, 4) + 0 AS value FROM e JOIN n USING (vec_id) WHERE vec_id % 10 = 0
+SELECT vec_id AS example_key, d::INT AS dim, round_even(v / norm, 4) + 0 AS value FROM e JOIN n USING (vec_id)
 """)
 def rep_unit_direction(spark, sf_dir):
-    rows = vectors(spark, sf_dir).where("example_key % 10 = 0").withColumn("vector", F.col("values"))
+    rows = vectors(spark, sf_dir).withColumn("vector", F.col("values"))
     return elements(represent.unit_direction(rows), "raw_vector", "example_key")
 
 
 @query(f"""
 WITH {_E}, n AS (SELECT vec_id, sqrt(avg(v * v)) AS rms FROM e GROUP BY vec_id)
-SELECT vec_id AS example_key, round(sum(v / rms), 4) + 0 AS total, round(max(v / rms), 4) + 0 AS top FROM e JOIN n USING (vec_id) GROUP BY vec_id
+SELECT vec_id AS example_key, round_even(sum(v / rms), 4) + 0 AS total, round_even(max(v / rms), 4) + 0 AS top FROM e JOIN n USING (vec_id) GROUP BY vec_id
 """)
 def rep_rms_normalize(spark, sf_dir):
     v = represent.rms_normalize(F.col("values"))
@@ -146,7 +147,7 @@ def rep_pca_variance(spark, sf_dir):
 @query()
 def rep_subspace_coordinates(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return represent.project_rows(rows, represent.subspace(rows, 3)).select("example_key", "label", F.transform("coordinates", lambda x: F.round(x, 3)).alias("coordinates"))
+    return represent.project_rows(rows, represent.subspace(rows, 3)).select("example_key", "label", F.transform("coordinates", lambda x: F.bround(x, 3)).alias("coordinates"))
 
 
 @query()
@@ -168,19 +169,19 @@ def _layer_scores(spark, sf_dir, metric="dot"):
     return project.scores(rows, represent.direction(rows, _POS, _NEG, ["layer"]).select("layer", "vector"), metric, ["layer"])
 
 
-@query(f"WITH {_UNITS} SELECT vec_id AS example_key, label, layer, round(score, 4) + 0 AS score FROM s")
+@query(f"WITH {_UNITS} SELECT vec_id AS example_key, label, layer, round_even(score, 4) + 0 AS score FROM s")
 def proj_scores(spark, sf_dir):
     return _layer_scores(spark, sf_dir).select("example_key", "label", F.col("layer").cast("long").alias("layer"), rounded(F.col("score")).alias("score"))
 
 
-@query(f"WITH {_UNITS} SELECT vec_id AS example_key, label, layer, round(cosine, 4) + 0 AS score FROM s")
+@query(f"WITH {_UNITS} SELECT vec_id AS example_key, label, layer, round_even(cosine, 4) + 0 AS score FROM s")
 def proj_cosine(spark, sf_dir):
     return _layer_scores(spark, sf_dir, "cosine").select("example_key", "label", F.col("layer").cast("long").alias("layer"), rounded(F.col("score")).alias("score"))
 
 
 @query(f"""
-WITH {_UNITS} SELECT vec_id AS example_key, round(avg(score), 4) + 0 AS mean, round(min(score), 4) + 0 AS min, round(max(score), 4) + 0 AS max,
-  round(stddev_pop(score), 4) + 0 AS std, round(coalesce(regr_slope(score, layer), 0), 4) + 0 AS trend, round(arg_max(score, layer) - arg_min(score, layer), 4) + 0 AS first_last_delta
+WITH {_UNITS} SELECT vec_id AS example_key, round_even(avg(score), 4) + 0 AS mean, round_even(min(score), 4) + 0 AS min, round_even(max(score), 4) + 0 AS max,
+  round_even(stddev_pop(score), 4) + 0 AS std, round_even(coalesce(regr_slope(score, layer), 0), 4) + 0 AS trend, round_even(arg_max(score, layer) - arg_min(score, layer), 4) + 0 AS first_last_delta
 FROM s GROUP BY vec_id
 """)
 def proj_summary(spark, sf_dir):
@@ -189,8 +190,8 @@ def proj_summary(spark, sf_dir):
 
 
 @query(f"""
-WITH {_UNITS} SELECT layer, round(quantile_cont(score, 1 / 3.0::DOUBLE), 4) + 0 AS low, round(quantile_cont(score, 2 / 3.0::DOUBLE), 4) + 0 AS high,
-  round(min(score), 4) + 0 AS min, round(max(score), 4) + 0 AS max, count(*) AS count FROM s GROUP BY layer
+WITH {_UNITS} SELECT layer, round_even(quantile_cont(score, 1 / 3.0::DOUBLE), 4) + 0 AS low, round_even(quantile_cont(score, 2 / 3.0::DOUBLE), 4) + 0 AS high,
+  round_even(min(score), 4) + 0 AS min, round_even(max(score), 4) + 0 AS max, count(*) AS count FROM s GROUP BY layer
 """)
 def proj_quantile_bands(spark, sf_dir):
     bands = project.quantile_bands(_layer_scores(spark, sf_dir), ["layer"], "score", 3)
@@ -206,25 +207,25 @@ SELECT layer, band, count(*) AS n FROM x GROUP BY ALL
 def proj_band_assign(spark, sf_dir):
     scored = _layer_scores(spark, sf_dir)
     bands = project.quantile_bands(scored, ["layer"], "score", 4).select("layer", "thresholds")
-    placed = project.assign_band(scored.join(F.broadcast(bands), "layer"), F.col("thresholds"), "score")
+    placed = project.assign_band(scored.join(bands, "layer"), F.col("thresholds"), "score")
     return placed.groupBy(F.col("layer").cast("long").alias("layer"), "band").agg(F.count("*").alias("n"))
 
 
 @query(f"""
 WITH {_UNITS}, g AS (SELECT layer, avg(score) FILTER (label = 0) - avg(score) FILTER (label = 1) AS gap FROM s GROUP BY layer)
-SELECT layer, round(gap, 4) + 0 AS gap, row_number() OVER (ORDER BY round(abs(gap), 9) DESC, layer)::INT AS rank FROM g
+SELECT layer, round_even(gap, 4) + 0 AS gap, row_number() OVER (ORDER BY round_even(abs(gap), 9) DESC, layer)::INT AS rank FROM g
 """)
 def proj_gap_select(spark, sf_dir):
     found = project.gap_by_layer(_layer_scores(spark, sf_dir), _POS, _NEG)
     return found.select(F.col("layer").cast("long").alias("layer"), rounded(F.col("gap")).alias("gap"), "rank")
 
 
-@query(f"WITH {_E} SELECT vec_id AS example_key, (d % 8)::INT AS dim, round(v, 4) + 0 AS value FROM e WHERE d // 8 = 7")
+@query(f"WITH {_E} SELECT vec_id AS example_key, (d % 8)::INT AS dim, round_even(v, 4) + 0 AS value FROM e WHERE d // 8 = 7")
 def tok_last(spark, sf_dir):
     return elements(tokens.last_token(tokened(spark, sf_dir), ["example_key"]), "values", "example_key")
 
 
-@query(f"WITH {_E} SELECT vec_id AS example_key, (d % 8)::INT AS dim, round(avg(v), 4) + 0 AS value FROM e WHERE d // 8 BETWEEN 2 AND 4 GROUP BY ALL")
+@query(f"WITH {_E} SELECT vec_id AS example_key, (d % 8)::INT AS dim, round_even(avg(v), 4) + 0 AS value FROM e WHERE d // 8 BETWEEN 2 AND 4 GROUP BY ALL")
 def tok_slice_mean(spark, sf_dir):
     return elements(tokens.pool(tokens.slice_tokens(tokened(spark, sf_dir), 2, 5), ["example_key"]), "values", "example_key")
 
@@ -245,7 +246,7 @@ sec AS (SELECT vec_id, 'body' AS section, unnest(range(1, 2 + vec_id % 5)) AS po
 
 @query(f"""
 WITH {_E}, {_SECTIONS}
-SELECT vec_id AS example_key, section, (d % 8)::INT AS dim, round(avg(v), 4) + 0 AS value FROM e JOIN sec USING (vec_id) WHERE d // 8 = pos GROUP BY ALL
+SELECT vec_id AS example_key, section, (d % 8)::INT AS dim, round_even(avg(v), 4) + 0 AS value FROM e JOIN sec USING (vec_id) WHERE d // 8 = pos GROUP BY ALL
 """)
 def tok_section_pool(spark, sf_dir):
     inside = tokens.in_sections(tokened(spark, sf_dir), _sections(spark, sf_dir))
@@ -271,17 +272,17 @@ def tok_rebase(spark, sf_dir):
 
 
 @query(f"""
-WITH {_E}, x AS (SELECT vec_id, d, exp(v - max(v) OVER (PARTITION BY vec_id)) AS p FROM e WHERE d < 8)
-SELECT vec_id AS example_key, d::INT AS expert, round(p / sum(p) OVER (PARTITION BY vec_id), 4) + 0 AS value FROM x
+WITH {_E}, x AS (SELECT vec_id, d // 8 AS tok, d % 8 AS d, exp(v - max(v) OVER (PARTITION BY vec_id, d // 8)) AS p FROM e)
+SELECT vec_id AS example_key, tok::INT AS token_pos, d::INT AS expert, round_even(p / sum(p) OVER (PARTITION BY vec_id, tok), 4) + 0 AS value FROM x
 """)
 def moe_softmax(spark, sf_dir):
-    rows = tokened(spark, sf_dir).where("token_pos = 0").select("example_key", softmax(F.col("values")).alias("p"))
-    return elements(rows, "p", "example_key").withColumnRenamed("dim", "expert")
+    rows = tokened(spark, sf_dir).select("example_key", "token_pos", softmax(F.col("values")).alias("p"))
+    return elements(rows, "p", "example_key", "token_pos").withColumnRenamed("dim", "expert")
 
 
 @query(f"""
 WITH {_E}, r AS (SELECT vec_id, d // 8 AS token, d % 8 AS expert, v, row_number() OVER (PARTITION BY vec_id, d // 8 ORDER BY v DESC, d DESC) AS rank FROM e)
-SELECT vec_id AS example_key, token::INT AS token_pos, rank::INT AS rank, expert::INT AS expert, round(v, 4) + 0 AS logit FROM r WHERE rank <= 2
+SELECT vec_id AS example_key, token::INT AS token_pos, rank::INT AS rank, expert::INT AS expert, round_even(v, 4) + 0 AS logit FROM r WHERE rank <= 2
 """)
 def moe_topk(spark, sf_dir):
     rows = tokened(spark, sf_dir).select("example_key", "token_pos", F.posexplode(top_k(F.col("values"), 2)).alias("rank", "t"))
@@ -297,24 +298,21 @@ def moe_load(spark, sf_dir):
 
 
 @query(f"""
-WITH {_E}, r AS (SELECT vec_id, d % 8 AS expert, v, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, d DESC) AS rank FROM e WHERE d < 8),
-w AS (SELECT vec_id, expert, v - min(v) OVER (PARTITION BY vec_id) + 1e-6 AS s FROM r WHERE rank <= 3)
-SELECT vec_id AS example_key, x.i::INT AS expert, round(coalesce(s / t, 0), 4) + 0 AS value
-FROM (SELECT vec_id, unnest(range(8)) AS i FROM embeddings) x LEFT JOIN (SELECT *, sum(s) OVER (PARTITION BY vec_id) AS t FROM w) w USING (vec_id) WHERE w.expert = x.i
-UNION ALL
-SELECT vec_id, i::INT, 0.0 FROM (SELECT vec_id, unnest(range(8)) AS i FROM embeddings) x WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.vec_id = x.vec_id AND w.expert = x.i)
+WITH {_E}, r AS (SELECT vec_id, d // 8 AS tok, d % 8 AS expert, v, row_number() OVER (PARTITION BY vec_id, d // 8 ORDER BY v DESC, d DESC) AS rank FROM e),
+w AS (SELECT vec_id, tok, expert, CASE WHEN rank <= 3 THEN v - min(v) FILTER (rank <= 3) OVER (PARTITION BY vec_id, tok) + 1e-6 ELSE 0 END AS s FROM r)
+SELECT vec_id AS example_key, tok::INT AS token_pos, expert::INT AS expert, round_even(s / sum(s) OVER (PARTITION BY vec_id, tok), 4) + 0 AS value FROM w
 """)
 def moe_dense(spark, sf_dir):
-    rows = routing.derive(tokened(spark, sf_dir).where("token_pos = 0"), "values", 3)
+    rows = routing.derive(tokened(spark, sf_dir), "values", 3)
     none = F.lit(None)
     vector = routing.routing_vector(none.cast("array<double>"), none.cast("array<double>"), F.col("expert_ids"), F.col("expert_weights"), none.cast("map<int,bigint>"), 8)
-    return elements(rows.select("example_key", vector.alias("v")), "v", "example_key").withColumnRenamed("dim", "expert")
+    return elements(rows.select("example_key", "token_pos", vector.alias("v")), "v", "example_key", "token_pos").withColumnRenamed("dim", "expert")
 
 
 _C = [[0.6, 0.8, 0, 0, 0, 0, 0, 0], [0, 0, 1.0, 0, 0, 0, 0, 0]]
 _T = f"{_E}, t AS (SELECT vec_id, label, d // 8 AS tok, list(v ORDER BY d) AS x FROM e GROUP BY ALL)"
 _ALONG = "(0.6 * {0}[1] + 0.8 * {0}[2])"
-_OUT = "SELECT example_key, token_pos::INT AS token_pos, (i - 1)::INT AS dim, round(y[i], 4) + 0 AS value FROM y, (SELECT unnest(range(1, 9)) AS i)"
+_OUT = "SELECT example_key, token_pos::INT AS token_pos, (i - 1)::INT AS dim, round_even(y[i], 4) + 0 AS value FROM y, (SELECT unnest(range(1, 9)) AS i)"
 
 
 @query(f"""
@@ -328,7 +326,7 @@ def patch_project_out(spark, sf_dir):
 
 @query(f"""
 WITH {_E}, m AS (SELECT d % 8 AS dim, avg(v) FILTER (label = 0) - avg(v) FILTER (label = 1) AS raw FROM e GROUP BY ALL)
-SELECT vec_id AS example_key, (d // 8)::INT AS token_pos, dim::INT AS dim, round(v + 0.5 * raw, 4) + 0 AS value FROM e JOIN m ON d % 8 = dim
+SELECT vec_id AS example_key, (d // 8)::INT AS token_pos, dim::INT AS dim, round_even(v + 0.5 * raw, 4) + 0 AS value FROM e JOIN m ON d % 8 = dim
 """)
 def patch_add_direction(spark, sf_dir):
     rows = tokened(spark, sf_dir)
@@ -339,17 +337,18 @@ def patch_add_direction(spark, sf_dir):
 _MEANS = "m AS (SELECT vec_id, d % 8 AS dim, avg(v) AS m FROM e GROUP BY ALL)"
 
 
-def _with_donor(spark, sf_dir):
+def _with_donor(spark, sf_dir, donor=True):
     """Token rows with the mean of their own example and that of their donor, the example whose key is one less."""
     rows = tokened(spark, sf_dir)
     means = mean_vectors(rows, ["example_key"], "values").select("example_key", F.col("values").alias("own_mean"))
     donors = means.select((F.col("example_key") + 1).alias("example_key"), F.col("own_mean").alias("donor_mean"))
-    return rows.join(means, "example_key").join(donors, "example_key")
+    own = rows.join(means, "example_key")
+    return own.join(donors, "example_key") if donor else own
 
 
 @query(f"""
 WITH {_E}, {_MEANS}
-SELECT e.vec_id AS example_key, (d // 8)::INT AS token_pos, (d % 8)::INT AS dim, round(v + b.m - a.m, 4) + 0 AS value
+SELECT e.vec_id AS example_key, (d // 8)::INT AS token_pos, (d % 8)::INT AS dim, round_even(v + b.m - a.m, 4) + 0 AS value
 FROM e JOIN m a ON a.vec_id = e.vec_id AND a.dim = d % 8 JOIN m b ON b.vec_id = e.vec_id - 1 AND b.dim = d % 8
 """)
 def patch_swap_mean(spark, sf_dir):
@@ -360,7 +359,7 @@ def patch_swap_mean(spark, sf_dir):
 @query(f"""
 WITH {_E}, {_MEANS}, p AS (SELECT vec_id, sum(CASE dim WHEN 0 THEN 0.6 WHEN 1 THEN 0.8 ELSE 0 END * m) AS a, sum(CASE dim WHEN 2 THEN m ELSE 0 END) AS b FROM m GROUP BY ALL)
 SELECT e.vec_id AS example_key, (d // 8)::INT AS token_pos, (d % 8)::INT AS dim,
-  round(v + CASE d % 8 WHEN 0 THEN 0.6 * (q.a - p.a) WHEN 1 THEN 0.8 * (q.a - p.a) WHEN 2 THEN q.b - p.b ELSE 0 END, 4) + 0 AS value
+  round_even(v + CASE d % 8 WHEN 0 THEN 0.6 * (q.a - p.a) WHEN 1 THEN 0.8 * (q.a - p.a) WHEN 2 THEN q.b - p.b ELSE 0 END, 4) + 0 AS value
 FROM e JOIN p ON p.vec_id = e.vec_id JOIN p q ON q.vec_id = e.vec_id - 1
 """)
 def patch_swap_components(spark, sf_dir):
@@ -369,18 +368,18 @@ def patch_swap_components(spark, sf_dir):
 
 
 @query(f"""
-WITH {_E} SELECT a.vec_id AS example_key, (a.d // 8)::INT AS token_pos, (a.d % 8)::INT AS dim, round(b.v, 4) + 0 AS value
-FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND b.d = a.d WHERE a.vec_id % 2 = 0
+WITH {_E} SELECT a.vec_id AS example_key, (a.d // 8)::INT AS token_pos, (a.d % 8)::INT AS dim, round_even(b.v, 4) + 0 AS value
+FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND b.d = a.d
 """)
 def patch_interchange(spark, sf_dir):
     rows = tokened(spark, sf_dir)
-    pairs = vectors(spark, sf_dir).where("example_key % 2 = 0").select(F.col("example_key").alias("target_key"), (F.col("example_key") + 1).alias("donor_key"))
+    pairs = vectors(spark, sf_dir).select(F.col("example_key").alias("target_key"), (F.col("example_key") + 1).alias("donor_key"))
     return elements(patch.interchange(rows, rows, pairs), "values", "example_key", "token_pos")
 
 
 @query(f"""
 WITH {_E}, {_MEANS}
-SELECT e.vec_id AS example_key, (d // 8)::INT AS token_pos, (d % 8)::INT AS dim, round(v + 0.25 * (b.m - a.m), 4) + 0 AS value
+SELECT e.vec_id AS example_key, (d // 8)::INT AS token_pos, (d % 8)::INT AS dim, round_even(v + 0.25 * (b.m - a.m), 4) + 0 AS value
 FROM e JOIN m a ON a.vec_id = e.vec_id AND a.dim = d % 8 JOIN m b ON b.vec_id = e.vec_id - 1 AND b.dim = d % 8
 """)
 def patch_residual_path(spark, sf_dir):
@@ -390,8 +389,8 @@ def patch_residual_path(spark, sf_dir):
 
 @query(f"""
 WITH {_T}, s AS (SELECT vec_id, sqrt(list_sum(list_transform(x, lambda v: v * v))) AS before, {_ALONG.format('x')} AS a, x[3] AS b FROM t)
-SELECT vec_id AS example_key, count(*) AS tokens, round(avg(before), 4) + 0 AS norm_before,
-  round(avg(sqrt(greatest(before * before - a * a - b * b, 0))), 4) + 0 AS norm_after, round(sqrt(sum(a * a + b * b)), 4) + 0 AS delta_norm FROM s GROUP BY vec_id
+SELECT vec_id AS example_key, count(*) AS tokens, round_even(avg(before), 4) + 0 AS norm_before,
+  round_even(avg(sqrt(greatest(before * before - a * a - b * b, 0))), 4) + 0 AS norm_after, round_even(sqrt(sum(a * a + b * b)), 4) + 0 AS delta_norm FROM s GROUP BY vec_id
 """)
 def patch_stats(spark, sf_dir):
     rows = tokened(spark, sf_dir).withColumn("after", patch.project_out(F.col("values"), _C))
@@ -411,13 +410,13 @@ def patch_pairing(spark, sf_dir):
 
 
 @query(f"""
-WITH {_UNITS}, b AS (SELECT vec_id, score FROM s WHERE layer = 0 AND vec_id % 3 <> 0), v AS (SELECT vec_id, score FROM s WHERE layer = 1 AND vec_id % 5 <> 0)
-SELECT coalesce(b.vec_id, v.vec_id) AS example_key, round(v.score - b.score, 4) + 0 AS delta_score,
+WITH {_UNITS}, b AS (SELECT vec_id, score FROM s WHERE layer = 0 AND score > 0), v AS (SELECT vec_id, score FROM s WHERE layer = 1 AND score > 0)
+SELECT coalesce(b.vec_id, v.vec_id) AS example_key, round_even(v.score - b.score, 4) + 0 AS delta_score,
        CASE WHEN b.vec_id IS NULL OR v.vec_id IS NULL THEN 'skipped' ELSE 'ok' END AS status FROM b FULL JOIN v USING (vec_id)
 """)
 def patch_compare(spark, sf_dir):
     scored = _layer_scores(spark, sf_dir)
-    base, variant = scored.where("layer = 0 and example_key % 3 != 0"), scored.where("layer = 1 and example_key % 5 != 0")
+    base, variant = scored.where("layer = 0 and score > 0"), scored.where("layer = 1 and score > 0")
     found = patch.compare(base, variant, "example_key", ["score"])
     ok = F.coalesce(F.col("status"), F.lit("skipped"))
     return found.select("example_key", rounded(F.col("delta_score")).alias("delta_score"), ok.alias("status"))
@@ -425,36 +424,146 @@ def patch_compare(spark, sf_dir):
 
 @query(f"""
 WITH {_E}, m AS (SELECT label, d, avg(v) AS v FROM e GROUP BY ALL)
-SELECT a.label AS left_label, b.label AS right_label, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 4) + 0 AS cosine
+SELECT a.label AS left_label, b.label AS right_label, round_even(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 4) + 0 AS cosine
 FROM m a JOIN m b ON a.d = b.d AND a.label < b.label GROUP BY ALL
 """)
 def rd_cosine_pairs(spark, sf_dir):
     c = mean_vectors(vectors(spark, sf_dir), ["label"], "values")
-    a, b = c.select(F.col("label").alias("left_label"), F.col("values").alias("a")), c.select(F.col("label").alias("right_label"), F.col("values").alias("b"))
-    pairs = a.join(F.broadcast(b), F.col("left_label") < F.col("right_label"))  # a row for each pair of labels
-    return pairs.select("left_label", "right_label", rounded(cosine(F.col("a"), F.col("b"))).alias("cosine"))
+    pairs = pair_table(c, "label", "values")
+    return pairs.select(F.col("a").alias("left_label"), F.col("b").alias("right_label"), rounded(F.col("cosine")).alias("cosine"))
 
 
 @query(f"""
 WITH {_E}, m AS (SELECT label AS concept, d, avg(v) AS v FROM e GROUP BY ALL),
 n AS (SELECT concept, d, v - avg(v) OVER (PARTITION BY d) AS c FROM m),
 s AS (SELECT vec_id, label, concept, sum(e.v * n.c) / sqrt(sum(n.c * n.c)) AS score FROM e JOIN n USING (d) GROUP BY ALL),
-b AS (SELECT vec_id, label, arg_max(concept, round(score, 9) - concept * 1e-12) AS best FROM s GROUP BY ALL)
-SELECT label, count(*) AS n, round(avg((best = label)::INT), 4) + 0 AS accuracy FROM b GROUP BY label
+b AS (SELECT vec_id, label, arg_max(concept, round_even(score, 9) - concept * 1e-12) AS best FROM s GROUP BY ALL)
+SELECT label, count(*) AS n, round_even(avg((best = label)::INT), 4) + 0 AS accuracy FROM b GROUP BY label
 """)
 def rd_top1_validation(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     space = represent.concept_space(rows, "label").select(F.col("label").cast("int").alias("concept"), "vector")
     scored = project.scores(rows, space)
-    best = F.max_by("concept", F.round("score", 9) - F.col("concept") * 1e-12)
+    best = F.max_by("concept", F.bround("score", 9) - F.col("concept") * 1e-12)
     hits = scored.groupBy("example_key", "label").agg(best.alias("best"))
     return hits.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("best") == F.col("label")).cast("int")).alias("a")).select("label", "n", rounded(F.col("a")).alias("accuracy"))
 
 
 @query(f"""
 WITH {_E}, n AS (SELECT vec_id, label, sqrt(sum(v * v)) AS norm FROM e GROUP BY ALL)
-SELECT label, round(min(norm), 4) + 0 AS least, round(max(norm), 4) + 0 AS most, round(sum(norm * norm), 3) + 0 AS energy FROM n GROUP BY label
+SELECT label, round_even(min(norm), 4) + 0 AS least, round_even(max(norm), 4) + 0 AS most, round_even(sum(norm * norm), 3) + 0 AS energy FROM n GROUP BY label
 """)
 def vec_norms(spark, sf_dir):
     v = vectors(spark, sf_dir).select("label", norm(F.col("values")).alias("norm"), dot(F.col("values"), F.col("values")).alias("sq"))
     return v.groupBy("label").agg(rounded(F.min("norm")).alias("least"), rounded(F.max("norm")).alias("most"), rounded(F.sum("sq"), 3).alias("energy"))
+
+
+@query(f"""
+WITH {_E} SELECT a.d::INT AS i, b.d::INT AS j, round_even(covar_pop(a.v, b.v), 6) + 0 AS covariance FROM e a JOIN e b USING (vec_id) GROUP BY ALL
+""")
+def rep_covariance(spark, sf_dir):
+    """From the sums alone, so that nothing is collected."""
+    found = represent.second_moments(vectors(spark, sf_dir))
+    totals = found.select(F.col("i").alias("j"), F.col("total").alias("other"))
+    listed = found.select("i", "n", "total", F.posexplode("products").alias("j", "p")).join(totals, "j")
+    return listed.select("i", "j", rounded(F.col("p") / F.col("n") - F.col("total") * F.col("other") / F.col("n") / F.col("n"), 6).alias("covariance"))
+
+
+_MEAN, _SPREAD = [0.1] * 8, [2.0] * 4 + [0.5] * 4
+_LONG = "SELECT example_key, token_pos, dim, round_even(value, 4) + 0 AS value FROM y"
+_STD = f"""{_E}, x AS (SELECT vec_id AS example_key, (d // 8)::INT AS token_pos, (d % 8)::INT AS dim, v, CASE WHEN d % 8 < 4 THEN 2.0 ELSE 0.5 END AS s FROM e),
+  w AS (SELECT example_key, token_pos, sum(CASE dim WHEN 0 THEN 0.6 WHEN 1 THEN 0.8 ELSE 0 END * (v - 0.1) / s) AS a, sum(CASE dim WHEN 2 THEN (v - 0.1) / s ELSE 0 END) AS b FROM x GROUP BY ALL)"""
+_ALONG_STD = "CASE dim WHEN 0 THEN 0.6 * {0} WHEN 1 THEN 0.8 * {0} WHEN 2 THEN {1} ELSE 0 END * s"
+
+
+@query(f"WITH {_STD}, y AS (SELECT example_key, token_pos, dim, v - 0.5 * {_ALONG_STD.format('a', 'b')} AS value FROM x JOIN w USING (example_key, token_pos)) {_LONG}")
+def patch_project_rows(spark, sf_dir):
+    rows = tokened(spark, sf_dir)
+    values = F.col("values")
+    return elements(rows.withColumn("values", patch.project_out_standardized(values, values, _C, _MEAN, _SPREAD, _SPREAD, 0.5)), "values", "example_key", "token_pos")
+
+
+@query(f"""
+WITH {_STD}, m AS (SELECT example_key, avg(a) AS a, avg(b) AS b FROM w GROUP BY ALL),
+y AS (SELECT example_key, token_pos, dim, v - {_ALONG_STD.format('a', 'b')} AS value FROM x JOIN m USING (example_key)) {_LONG}
+""")
+def patch_project_section(spark, sf_dir):
+    rows = _with_donor(spark, sf_dir, donor=False)
+    return elements(rows.withColumn("values", patch.project_out_standardized(F.col("values"), F.col("own_mean"), _C, _MEAN, _SPREAD, _SPREAD)), "values", "example_key", "token_pos")
+
+
+@query(f"WITH {_STD}, y AS (SELECT example_key, token_pos, dim, v + 0.5 * (dim + 1) / 10.0 * s AS value FROM x) {_LONG}")
+def patch_add_standardized(spark, sf_dir):
+    direction = [(d + 1) / 10 for d in range(8)]
+    return elements(tokened(spark, sf_dir).withColumn("values", patch.add_standardized(F.col("values"), direction, _SPREAD, 0.5)), "values", "example_key", "token_pos")
+
+
+@query(f"""
+WITH {_STD}, m AS (SELECT example_key, avg(a) AS a, avg(b) AS b FROM w GROUP BY ALL),
+y AS (SELECT x.example_key, token_pos, dim, v + {_ALONG_STD.format('(q.a - p.a)', '(q.b - p.b)')} AS value FROM x JOIN m p ON p.example_key = x.example_key JOIN m q ON q.example_key = x.example_key - 1) {_LONG}
+""")
+def patch_swap_standardized(spark, sf_dir):
+    rows = _with_donor(spark, sf_dir)
+    return elements(rows.withColumn("values", patch.swap_standardized(F.col("values"), F.col("donor_mean"), F.col("own_mean"), _C, _MEAN, _SPREAD, _SPREAD)), "values", "example_key", "token_pos")
+
+
+@query(f"""
+WITH {_E}, {_MEANS}
+SELECT e.vec_id AS example_key, (d // 8)::INT AS token_pos, (d % 8)::INT AS dim, round_even(v + 0.25 * (b.m - v), 4) + 0 AS value
+FROM e JOIN m b ON b.vec_id = e.vec_id - 1 AND b.dim = d % 8
+""")
+def patch_delta_transport(spark, sf_dir):
+    rows = _with_donor(spark, sf_dir)
+    return elements(rows.withColumn("values", patch.delta_transport(F.col("values"), F.col("donor_mean"), F.col("values"), 0.5, 0.5)), "values", "example_key", "token_pos")
+
+
+@query()
+def patch_random_control(spark, sf_dir):
+    random = patch.random_components(2, 8, 42)
+    values = F.col("values")
+    return elements(tokened(spark, sf_dir).withColumn("values", patch.random_control(values, values, _C, random, _MEAN, _SPREAD, _SPREAD)), "values", "example_key", "token_pos")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_linenumber AS w, l_suppkey % 5 AS r, l_partkey % 3 AS p FROM lineitem)
+SELECT w AS write_layer, count(*) AS n_edges, string_agg(r || ':' || p, ',' ORDER BY r, p) AS edges FROM e GROUP BY w
+""")
+def patch_path_mask(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("write_layer"), (F.col("l_suppkey") % 5).alias("read_layer"), (F.col("l_partkey") % 3).alias("position"))
+    text = F.array_join(F.transform("edges", lambda e: F.concat_ws(":", e["read_layer"].cast("string"), e["position"].cast("string"))), ",")
+    return patch.path_mask(edges).select("write_layer", "n_edges", text.alias("edges"))
+
+
+@query(f"WITH {_E} SELECT vec_id AS example_key, (d // 16)::INT AS layer, round_even(sum(v), 4) + 0 AS total FROM e WHERE d // 16 IN (1, 3) AND label < 5 GROUP BY ALL")
+def patch_activation_bank(spark, sf_dir):
+    rows = layered(spark, sf_dir)
+    found = patch.activation_bank(rows, [1, 3], vectors(spark, sf_dir).where("label < 5").select("example_key"))
+    return found.select("example_key", F.col("layer").cast("int").alias("layer"), rounded(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query("""
+SELECT l_linenumber AS write_layer, (l_linenumber % 4)::INT AS source_layer, CASE WHEN l_linenumber % 4 = 3 THEN 'missing_layer' WHEN l_linenumber % 4 = 2 AND l_linenumber < 6 THEN 'missing_component' END AS reason,
+       CASE WHEN l_linenumber % 4 < 2 OR (l_linenumber % 4 = 2 AND l_linenumber >= 6) THEN CASE WHEN l_linenumber >= 6 THEN 0.0 ELSE 1.0 END END AS first
+FROM (SELECT DISTINCT l_linenumber FROM lineitem)
+""")
+def patch_operands(spark, sf_dir):
+    """Layers from 6 on take the raw vector, others the component a, which layer 2 lacks; layer 3 is not there at all."""
+    layer = F.col("l_linenumber")
+    writes = table(spark, sf_dir, "lineitem").select(layer.alias("write_layer"), (layer % 4).cast("int").alias("source_layer"), F.when(layer < 6, "a").alias("component")).distinct()
+    sources = spark.range(3).select(F.col("id").cast("int").alias("source_layer"), F.array(F.lit(0.0)).alias("raw"))
+    components = spark.range(2).select(F.col("id").cast("int").alias("source_layer"), F.lit("a").alias("component"), F.array(F.lit(1.0)).alias("vector"))
+    found = patch.resolved_operands(writes, sources, components)
+    return found.select("write_layer", "source_layer", "reason", F.get("vector", F.lit(0)).alias("first"))
+
+
+@query(f"""
+WITH {_E} SELECT vec_id AS example_key, (d // 8)::INT AS token_pos, round_even(sum(v), 4) + 0 AS total FROM e WHERE d // 8 >= 5 AND d // 8 < 7 GROUP BY ALL
+""")
+def tok_negative_slice(spark, sf_dir):
+    rows = tokens.slice_tokens(tokened(spark, sf_dir), -3, -1)
+    return rows.select("example_key", "token_pos", rounded(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query(f"WITH {_SECTIONS} SELECT vec_id AS example_key, section, 0 AS token_pos, count(DISTINCT pos) AS overlap FROM sec GROUP BY ALL")
+def tok_pooled_sections(spark, sf_dir):
+    return tokens.pooled_sections(_sections(spark, sf_dir))

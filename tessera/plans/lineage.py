@@ -121,7 +121,7 @@ def view_preview(spark, sf_dir):
 
 
 @query("""
-SELECT count(n_chars) AS count, min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 4) + 0 AS mean, round(stddev_pop(n_chars), 4) + 0 AS std, count(DISTINCT n_chars) AS distinct FROM documents
+SELECT count(n_chars) AS count, min(n_chars) AS min, max(n_chars) AS max, round_even(avg(n_chars), 4) + 0 AS mean, round_even(stddev_pop(n_chars), 4) + 0 AS std, count(DISTINCT n_chars) AS distinct FROM documents
 """)
 def view_label_numbers(spark, sf_dir):
     found = lineage.label_summary(table(spark, sf_dir, "documents"), "n_chars")
@@ -129,10 +129,10 @@ def view_label_numbers(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT lang AS value, count(*) AS count FROM documents GROUP BY lang) SELECT value, count, round(count / sum(count) OVER (), 6) AS fraction FROM c
+WITH c AS (SELECT lang AS value, count(*) AS count FROM documents GROUP BY lang) SELECT value, count, round_even(count / sum(count) OVER (), 6) AS fraction FROM c
 """)
 def view_label_texts(spark, sf_dir):
-    return lineage.label_summary(table(spark, sf_dir, "documents"), "lang").withColumn("fraction", F.round("fraction", 6))
+    return lineage.label_summary(table(spark, sf_dir, "documents"), "lang").withColumn("fraction", F.bround("fraction", 6))
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id)")

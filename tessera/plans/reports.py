@@ -30,7 +30,7 @@ def _pairs(spark, sf_dir):
 
 @query(f"""
 WITH {_P}, c AS (SELECT fold, true_label, count(*) AS n, count(*) FILTER (true_label = predicted_label) AS r FROM p GROUP BY ALL),
-m AS (SELECT fold, round(avg(r / n), 4) + 0 AS balanced_accuracy FROM c GROUP BY fold)
+m AS (SELECT fold, round_even(avg(r / n), 4) + 0 AS balanced_accuracy FROM c GROUP BY fold)
 SELECT fold, balanced_accuracy FROM m ORDER BY balanced_accuracy DESC, fold LIMIT 1
 """)
 def rd_best_layer(spark, sf_dir):
@@ -43,8 +43,8 @@ _METRICS = "CASE WHEN event_type = 'view' THEN 'skipped' ELSE 'ok' END AS status
 
 @query(f"""
 WITH r AS (SELECT {_METRICS}, value, (event_type = 'click')::INT::DOUBLE AS is_click FROM events)
-SELECT 'value' AS metric, round(avg(value), 4) + 0 AS mean, count(value) AS n FROM r WHERE status = 'ok'
-UNION ALL SELECT 'is_click', round(avg(is_click), 4) + 0, count(is_click) FROM r WHERE status = 'ok'
+SELECT 'value' AS metric, round_even(avg(value), 4) + 0 AS mean, count(value) AS n FROM r WHERE status = 'ok'
+UNION ALL SELECT 'is_click', round_even(avg(is_click), 4) + 0, count(is_click) FROM r WHERE status = 'ok'
 """)
 def patch_comparison_means(spark, sf_dir):
     found = rp.mean_metrics(_compared(spark, sf_dir), "status", "metrics")
@@ -71,7 +71,7 @@ def gen_import_summary(spark, sf_dir):
 
 @query("""
 SELECT lang, count(*) AS count, count(*) FILTER (length(trim(text)) > 0) AS n_nonempty, sum(n_chars)::BIGINT AS tokens_sum, min(n_chars) AS tokens_min, max(n_chars) AS tokens_max,
-       round(avg(n_chars), 4) + 0 AS tokens_mean FROM documents GROUP BY lang
+       round_even(avg(n_chars), 4) + 0 AS tokens_mean FROM documents GROUP BY lang
 """)
 def gen_summary(spark, sf_dir):
     return rp.generation_summary(table(spark, sf_dir, "documents"), "text", "n_chars", ["lang"]).withColumn("tokens_mean", rounded(F.col("tokens_mean")))
@@ -88,7 +88,7 @@ def gen_output_hashes(spark, sf_dir):
 
 
 @query("""
-SELECT user_id, round(CASE WHEN sum(s) = 0 THEN 0 ELSE sum(event_id) / sum(s) END, 4) + 0 AS tokens_per_second
+SELECT user_id, round_even(CASE WHEN sum(s) = 0 THEN 0 ELSE sum(event_id) / sum(s) END, 4) + 0 AS tokens_per_second
 FROM (SELECT user_id, event_id, CASE WHEN user_id % 7 = 0 THEN 0 ELSE event_id % 13 + 1 END AS s FROM events) GROUP BY user_id
 """)
 def gen_throughput(spark, sf_dir):
@@ -133,20 +133,20 @@ def view_role_contrast(spark, sf_dir):
 
 @query("""
 WITH r AS (SELECT l_suppkey, l_shipmode, l_returnflag, max(l_quantity) AS q FROM (SELECT l_suppkey, l_linenumber AS l_shipmode, l_returnflag, l_quantity FROM lineitem) GROUP BY ALL)
-SELECT a.l_suppkey, a.l_shipmode AS l_linenumber, round(b.q - a.q, 2) + 0 AS delta FROM r a JOIN r b USING (l_suppkey, l_shipmode) WHERE a.l_returnflag = 'N' AND b.l_returnflag = 'R'
+SELECT a.l_suppkey, a.l_shipmode AS l_linenumber, round_even(b.q - a.q, 2) + 0 AS delta FROM r a JOIN r b USING (l_suppkey, l_shipmode) WHERE a.l_returnflag = 'N' AND b.l_returnflag = 'R'
 """)
 def view_paired_deltas(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber", "l_returnflag").agg(F.max("l_quantity").alias("q"))
     found = rp.paired_deltas(rows, ["l_suppkey", "l_linenumber"], "l_returnflag", "q", "N", "R")
-    return found.withColumn("delta", F.round("delta", 2) + F.lit(0.0))
+    return found.withColumn("delta", F.bround("delta", 2) + F.lit(0.0))
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(cosine, 4) + 0 AS cosine FROM c ORDER BY c.cosine DESC, a, b LIMIT 5")
+@query(f"WITH {_PAIRS} SELECT a, b, round_even(cosine, 4) + 0 AS cosine FROM c ORDER BY c.cosine DESC, a, b LIMIT 5")
 def view_nearest_pairs(spark, sf_dir):
     return rp.extreme_pairs(_pairs(spark, sf_dir), 5).withColumn("cosine", rounded(F.col("cosine")))
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(cosine, 4) + 0 AS cosine FROM c ORDER BY c.cosine, a, b LIMIT 5")
+@query(f"WITH {_PAIRS} SELECT a, b, round_even(cosine, 4) + 0 AS cosine FROM c ORDER BY c.cosine, a, b LIMIT 5")
 def view_opposite_pairs(spark, sf_dir):
     return rp.extreme_pairs(_pairs(spark, sf_dir), 5, opposite=True).withColumn("cosine", rounded(F.col("cosine")))
 
@@ -163,8 +163,8 @@ def view_extremes(spark, sf_dir):
 WITH {_PAIRS}, s AS (SELECT a % 3 AS ca, b % 3 AS cb, cosine FROM c),
 u AS (SELECT ca AS cluster, ca = cb AS same, cosine FROM s UNION ALL SELECT cb, false, cosine FROM s WHERE ca <> cb),
 z AS (SELECT label % 3 AS cluster, count(DISTINCT label) AS size FROM embeddings GROUP BY 1)
-SELECT cluster, round(avg(cosine) FILTER (same), 4) + 0 AS within, round(avg(cosine) FILTER (NOT same), 4) + 0 AS between,
-       round(avg(cosine) FILTER (same) - avg(cosine) FILTER (NOT same), 4) + 0 AS separation, max(size) AS size FROM u JOIN z USING (cluster) GROUP BY cluster
+SELECT cluster, round_even(avg(cosine) FILTER (same), 4) + 0 AS within, round_even(avg(cosine) FILTER (NOT same), 4) + 0 AS between,
+       round_even(avg(cosine) FILTER (same) - avg(cosine) FILTER (NOT same), 4) + 0 AS separation, max(size) AS size FROM u JOIN z USING (cluster) GROUP BY cluster
 """)
 def rep_cluster_alignment(spark, sf_dir):
     clusters = table(spark, sf_dir, "embeddings").select(F.col("label").alias("name"), (F.col("label") % 3).alias("cluster")).distinct()
@@ -175,7 +175,7 @@ def rep_cluster_alignment(spark, sf_dir):
 @query("""
 WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL),
 h AS (SELECT sum(n * (n - 1) / 2) AS h FROM c), f AS (SELECT sum(n * (n - 1) / 2) AS f FROM (SELECT sum(n) AS n FROM c GROUP BY source)), t AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT sum(n) AS n FROM c GROUP BY lang))
-SELECT round((h / f)::DOUBLE, 4) + 0 AS precision, round((h / t)::DOUBLE, 4) + 0 AS recall FROM h, f, t
+SELECT round_even((h / f)::DOUBLE, 4) + 0 AS precision, round_even((h / t)::DOUBLE, 4) + 0 AS recall FROM h, f, t
 """)
 def view_same_cluster(spark, sf_dir):
     found = rp.same_cluster_scores(table(spark, sf_dir, "documents"), "source", "lang")
@@ -185,12 +185,12 @@ def view_same_cluster(spark, sf_dir):
 _SIMILAR = f"""{_LAYER_PAIRS}, s AS (SELECT x.layer AS layer_a, y.layer AS layer_b, corr(x.cosine, y.cosine) AS similarity FROM c x JOIN c y USING (a, b) GROUP BY ALL)"""
 
 
-@query(f"WITH {_SIMILAR} SELECT layer_a, layer_b, round(similarity, 4) + 0 AS similarity FROM s")
+@query(f"WITH {_SIMILAR} SELECT layer_a, layer_b, round_even(similarity, 4) + 0 AS similarity FROM s")
 def rep_layer_similarity(spark, sf_dir):
     return rp.layer_similarity(_layer_pairs(spark, sf_dir), "layer").withColumn("similarity", rounded(F.col("similarity")))
 
 
-@query(f"WITH {_SIMILAR} SELECT round(avg(similarity), 4) + 0 AS similarity FROM s WHERE layer_b = layer_a + 1")
+@query(f"WITH {_SIMILAR} SELECT round_even(avg(similarity), 4) + 0 AS similarity FROM s WHERE layer_b = layer_a + 1")
 def rep_adjacent_layers(spark, sf_dir):
     found = rp.adjacent_mean(rp.layer_similarity(_layer_pairs(spark, sf_dir), "layer"))
     return found.select(rounded(F.col("similarity")).alias("similarity"))
@@ -206,7 +206,7 @@ def view_layer_groups(spark, sf_dir):
 
 @query(f"""
 WITH {_E}, m AS (SELECT label % 3 AS g, d, avg(v) AS v, count(*) AS size FROM e GROUP BY ALL)
-SELECT a.g AS "group", b.g AS other, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 4) + 0 AS cosine, max(a.size) AS size FROM m a JOIN m b USING (d) GROUP BY ALL
+SELECT a.g AS "group", b.g AS other, round_even(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 4) + 0 AS cosine, max(a.size) AS size FROM m a JOIN m b USING (d) GROUP BY ALL
 """)
 def rep_anchor_geometry(spark, sf_dir):
     anchors = table(spark, sf_dir, "embeddings").select("label", (F.col("label") % 3).alias("group")).distinct()
@@ -216,7 +216,7 @@ def rep_anchor_geometry(spark, sf_dir):
 @query(f"""
 WITH {_LAYER_MEANS}, f AS (SELECT layer, label, d, v * 0.5 * CASE layer WHEN 3 THEN 1.0 ELSE 2.0 + layer END AS v FROM m),
 n AS (SELECT layer, label, sqrt(sum(v * v)) AS norm FROM f GROUP BY ALL)
-SELECT layer, label, d::INT AS dim, round(v, 4) + 0 AS raw, round(v / norm, 4) + 0 AS value FROM f JOIN n USING (layer, label)
+SELECT layer, label, d::INT AS dim, round_even(v, 4) + 0 AS raw, round_even(v / norm, 4) + 0 AS value FROM f JOIN n USING (layer, label)
 """)
 def rep_direction_export(spark, sf_dir):
     means = mean_vectors(layered(spark, sf_dir), ["layer", "label"], "values")
@@ -243,8 +243,8 @@ def ds_keep_last(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, sum(l_quantity)::DOUBLE AS quantity, round(sqrt(sum(l_discount * l_discount)), 4) + 0 AS delta,
-       CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS flag, CASE WHEN max(l_tax) - min(l_tax) <= 0.01 THEN round(min(l_tax), 4) + 0 END AS tax FROM lineitem GROUP BY l_orderkey
+SELECT l_orderkey, sum(l_quantity)::DOUBLE AS quantity, round_even(sqrt(sum(l_discount * l_discount)), 4) + 0 AS delta,
+       CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS flag, CASE WHEN max(l_tax) - min(l_tax) <= 0.01 THEN round_even(min(l_tax), 4) + 0 END AS tax FROM lineitem GROUP BY l_orderkey
 """)
 def patch_rollup(spark, sf_dir):
     found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
@@ -282,7 +282,7 @@ def cat_merged_metrics(spark, sf_dir):
 
 @query(f"""
 WITH {_P}, f AS (SELECT fold, avg((true_label = predicted_label)::INT) AS a, avg(true_label) AS b FROM p GROUP BY fold)
-SELECT fold, round(a, 4) + 0 AS raw_accuracy, round(b, 4) + 0 AS null_accuracy, round(a - b, 4) + 0 AS delta_raw_minus_null_accuracy FROM f
+SELECT fold, round_even(a, 4) + 0 AS raw_accuracy, round_even(b, 4) + 0 AS null_accuracy, round_even(a - b, 4) + 0 AS delta_raw_minus_null_accuracy FROM f
 """)
 def view_flat_metrics(spark, sf_dir):
     right = F.avg((F.col("true_label") == F.col("predicted_label")).cast("int"))
@@ -297,8 +297,8 @@ def view_flat_metrics(spark, sf_dir):
 @query(f"""
 WITH {_E}, m AS (SELECT label AS concept, d, avg(v) AS v FROM e GROUP BY ALL), n AS (SELECT concept, d, v - avg(v) OVER (PARTITION BY d) AS c FROM m),
 s AS (SELECT vec_id, label, concept, sum(e.v * n.c) / sqrt(sum(n.c * n.c)) AS score FROM e JOIN n USING (d) GROUP BY ALL),
-b AS (SELECT vec_id, label, arg_max(concept, round(score, 9) - concept * 1e-12) AS best FROM s GROUP BY ALL)
-SELECT best AS predicted, count(*) AS n, count(*) FILTER (best = label) AS n_right, round(1.0 / (SELECT count(DISTINCT label) FROM embeddings), 4) + 0 AS chance FROM b GROUP BY best
+b AS (SELECT vec_id, label, arg_max(concept, round_even(score, 9) - concept * 1e-12) AS best FROM s GROUP BY ALL)
+SELECT best AS predicted, count(*) AS n, count(*) FILTER (best = label) AS n_right, round_even(1.0 / (SELECT count(DISTINCT label) FROM embeddings), 4) + 0 AS chance FROM b GROUP BY best
 """)
 def rd_predicted_counts(spark, sf_dir):
     rows = vectors(spark, sf_dir)

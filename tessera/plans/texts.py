@@ -21,9 +21,9 @@ def txt_blocks(spark, sf_dir):
     return whole.select("conv_id", F.posexplode(blocks.labelled_blocks(F.col("text"), "story")).alias("index", "b")).select("conv_id", "index", F.md5("b").alias("digest"))
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'en' AND NOT regexp_matches(lower(text), '\\bthat\\b')")
+@query("SELECT doc_id FROM documents WHERE NOT regexp_matches(lower(text), '\\bthat\\b')")
 def txt_exclude_word(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").withColumn("word", F.lit("That"))
+    docs = table(spark, sf_dir, "documents").withColumn("word", F.lit("That"))
     return blocks.without_word(docs, "text", "word").select("doc_id")
 
 

@@ -77,10 +77,10 @@ def cat_carry_forward(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT source AS value, count(*) AS count FROM documents GROUP BY source)
-SELECT value, count, round(count / sum(count) OVER (), 6) AS fraction FROM c ORDER BY count DESC, value LIMIT 20
+SELECT value, count, round_even(count / sum(count) OVER (), 6) AS fraction FROM c ORDER BY count DESC, value LIMIT 20
 """)
 def view_label_dist(spark, sf_dir):
-    return catalog.distribution(table(spark, sf_dir, "documents"), "source").withColumn("fraction", F.round("fraction", 6))
+    return catalog.distribution(table(spark, sf_dir, "documents"), "source").withColumn("fraction", F.bround("fraction", 6))
 
 
 @query("SELECT substr(o_clerk, 1, 40) AS value, n AS count FROM (SELECT o_custkey::VARCHAR AS o_clerk, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_clerk LIMIT 20)")
@@ -89,7 +89,7 @@ def view_top20(spark, sf_dir):
 
 
 @query("""
-SELECT lang, count(n_chars) AS count, min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 4) + 0 AS mean, round(stddev_pop(n_chars), 4) + 0 AS std, count(DISTINCT n_chars) AS distinct
+SELECT lang, count(n_chars) AS count, min(n_chars) AS min, max(n_chars) AS max, round_even(avg(n_chars), 4) + 0 AS mean, round_even(stddev_pop(n_chars), 4) + 0 AS std, count(DISTINCT n_chars) AS distinct
 FROM documents GROUP BY lang
 """)
 def view_numeric_summary(spark, sf_dir):
@@ -110,15 +110,34 @@ def span_union(spark, sf_dir):
 
 
 @query("""
-SELECT l_linestatus, l_returnflag, grouping(l_returnflag)::INT AS level, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_linestatus, l_returnflag)
+SELECT l_linestatus, l_returnflag, grouping(l_returnflag)::INT AS level, count(*) AS n, round_even(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_linestatus, l_returnflag)
 """)
 def ext_rollup(spark, sf_dir):
     rolled = table(spark, sf_dir, "lineitem").rollup("l_linestatus", "l_returnflag")
-    return rolled.agg(F.grouping("l_returnflag").cast("int").alias("level"), F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return rolled.agg(F.grouping("l_returnflag").cast("int").alias("level"), F.count("*").alias("n"), F.bround(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round_even(sum(value), 3) AS total FROM events GROUP BY ALL")
 def ext_tumbling_batch(spark, sf_dir):
     from tessera.streaming.events import hourly
 
-    return hourly(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 3))
+    return hourly(table(spark, sf_dir, "events")).withColumn("total", F.bround("total", 3))
+
+
+@query("""
+WITH m AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY user_id, s
+""")
+def ext_sessions_batch(spark, sf_dir):
+    from tessera.streaming.events import sessions
+
+    found = sessions(table(spark, sf_dir, "events"))
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT event_id, user_id FROM events GROUP BY ALL")
+def ext_first_events_batch(spark, sf_dir):
+    from tessera.streaming.events import first_events
+
+    return first_events(table(spark, sf_dir, "events")).select("event_id", "user_id")

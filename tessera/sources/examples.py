@@ -9,11 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fill_template
 
+#: Parts of a list that is joined with every row of another one.
+_DEALT = 16
+
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*")
 
 
@@ -68,8 +71,7 @@ def read_packs(spark: SparkSession, packs: Mapping[str, str], limit_per_file: in
     parts = []
     for source, path in packs.items():
         records = read_file(spark, path).withColumn("_at", F.monotonically_increasing_id())
-        rank = F.expr(f"row_number() over (partition by source order by {order or '_at'}) - 1")
-        part = records.withColumn("source", F.lit(source)).withColumn("row", rank)
+        part = number_rows(records, [order, "_at"] if order else ["_at"], "row").withColumn("source", F.lit(source))
         parts.append((part.where(F.col("row") < limit_per_file) if limit_per_file else part).drop("_at"))
     whole = parts[0]
     for part in parts[1:]:
@@ -114,6 +116,23 @@ def number_rows(rows: DataFrame, order: Sequence[str], name: str = "ord") -> Dat
     return local.join(F.broadcast(starts), F.col("_part") == F.col("_of")).withColumn(name, F.col("_local") + F.col("_start")).drop("_part", "_local", "_of", "_start")
 
 
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None = None, name: str = "rank") -> DataFrame:
+    """rows with the number of rows (or the sum of `weight`) before each in its group, in a total order.
+
+    Rows are dealt into ranges of keys and order, so that a group may lie in many tasks; the totals of each range and
+    group, one row each, give the rest.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
+    value = F.col(weight) if weight else F.lit(1)
+    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumn("_before", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    sizes = dealt.groupBy("_part", *keys).agg(F.sum(value).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", *keys, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    return local.join(starts, ["_part", *keys]).withColumn(name, F.col("_before") + F.col("_start")).drop("_part", "_before", "_start")
+
+
 def page(rows: DataFrame, order: Sequence[str], size: int, number: int) -> DataFrame:
     """The rows of one page in a total order."""
     return rows.orderBy(*order).offset(size * number).limit(size)
@@ -144,10 +163,11 @@ def list_contrast(rows: DataFrame, key: Column, positive: Column, negative: Colu
 def expand_prompts(instructions: DataFrame, questions: DataFrame, model_name: str) -> DataFrame:
     """Every instruction (instruction_id, instruction) with every question (question_id, question).
 
-    {model_name} in an instruction is replaced. Both tables are prompt lists written by hand, and small.
+    {model_name} in an instruction is replaced. Questions are dealt in parts, and each instruction is joined with every
+    part, so that the product is spread over tasks.
     """
     filled = instructions.withColumn("instruction", F.replace("instruction", F.lit("{model_name}"), F.lit(model_name)))
-    lists = questions.agg(F.sort_array(F.collect_list(F.struct("question_id", "question"))).alias("q")).first()["q"]
-    literal = F.array(*[F.struct(F.lit(q["question_id"]).alias("question_id"), F.lit(q["question"]).alias("question")) for q in lists])
-    rows = filled.withColumn("q", F.explode(literal)).select("instruction_id", "instruction", "q.*")
+    dealt = questions.select("question_id", "question", F.pmod(F.xxhash64("question_id"), F.lit(_DEALT)).alias("_part"))
+    each = filled.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_DEALT - 1).cast("long"))))
+    rows = each.join(dealt, "_part").select("instruction_id", "instruction", "question_id", "question")
     return rows.withColumn("example_key", F.format_string("i%03d_q%03d", F.col("instruction_id").cast("int"), F.col("question_id").cast("int")))
