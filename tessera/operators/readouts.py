@@ -122,9 +122,10 @@ def residual_rows(rows: DataFrame, nuisance: np.ndarray) -> DataFrame:
     basis = q[2][q[1] > 1e-10 * max(q[1].max(), 1e-300)]
     lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
     values = doubles("values")
-    for b in basis:
-        values = minus(values, scale(lit(b), dot(values, lit(b))))
-    return rows.withColumn("values", values)
+    left = values
+    for b in basis:  # orthonormal, so that each part is that of the values themselves
+        left = minus(left, scale(lit(b), dot(values, lit(b))))
+    return rows.withColumn("values", left)
 
 
 def text_counts(rows: DataFrame, key: str, text: str, n_max: int = 2) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import mean_vectors, rounded
+from tessera.operators import geometry
 from tessera.operators import readouts as rd
 from tessera.operators import reports as rp
 from tessera.operators import represent
 from tessera.plans.features import _E, layered, vectors
 from tessera.plans.readouts import _P, _scored
 from tessera.plans.registry import query, table
+from tessera.sources import imports
 
 _LAYERED = f"{_E}, l AS (SELECT vec_id, label, d // 16 AS layer, d % 16 AS d, v FROM e)"
 _LAYER_MEANS = f"{_LAYERED}, m AS (SELECT layer, label, d, avg(v) AS v FROM l GROUP BY ALL)"
@@ -304,3 +306,54 @@ def rd_predicted_counts(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     means = represent.concept_space(rows, "label").select(F.col("label").cast("int").alias("concept"), "vector")
     return rd.predicted_counts(rows, means).withColumn("chance", rounded(F.col("chance")))
+
+
+@query("""
+SELECT a.user_id, a.event_type, round_even(a.v, 4) + 0 AS "left", round_even(b.v, 4) + 0 AS "right"
+FROM (SELECT user_id, event_type, max(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY ALL) a JOIN (SELECT user_id, event_type, max(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL) b USING (user_id, event_type)
+""")
+def tok_common_positions(spark, sf_dir):
+    early = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
+    best = lambda rows: rows.groupBy("user_id", "event_type").agg(F.max("value").alias("score"))
+    events = table(spark, sf_dir, "events")
+    found = geometry.common_positions(best(events.where(early)), best(events.where(~early)), ["user_id", "event_type"])
+    return found.select("user_id", "event_type", rounded(F.col("left")).alias("left"), rounded(F.col("right")).alias("right"))
+
+
+@query("SELECT DISTINCT l_linenumber AS write_layer, CASE l_linenumber WHEN 2 THEN 0 WHEN 5 THEN 1 ELSE l_linenumber END AS source_layer FROM lineitem")
+def patch_layer_map(spark, sf_dir):
+    writes = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("write_layer")).distinct()
+    return geometry.mapped_layers(writes, {2: 0, 5: 1})
+
+
+@query(f"WITH {_LAYERED} SELECT layer, count(DISTINCT vec_id) AS n, round_even(sum(v), 3) + 0 AS total FROM l WHERE layer IN (1, 2) GROUP BY layer")
+def rep_layers(spark, sf_dir):
+    rows = geometry.layers_among(layered(spark, sf_dir), [1, 2, 9])
+    return rows.groupBy(F.col("layer").cast("long").alias("layer")).agg(F.count("*").alias("n"), rounded(F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)), 3).alias("total"))
+
+
+@query("SELECT doc_id::VARCHAR AS example_key, lang AS value FROM documents")
+def ds_label_values(spark, sf_dir):
+    return imports.label_values(table(spark, sf_dir, "documents"), "doc_id", "lang")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'given' ELSE role END AS role, turn::VARCHAR AS turn_text FROM conversations")
+def sec_merged_metadata(spark, sf_dir):
+    built = F.create_map(F.lit("role"), F.col("role"), F.lit("turn"), F.col("turn").cast("string"))
+    explicit = F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("role"), F.lit("given")))
+    rows = table(spark, sf_dir, "conversations").withColumn("m", imports.merged_metadata(built, explicit))
+    return rows.select("conv_id", "turn", F.element_at("m", "role").alias("role"), F.element_at("m", "turn").alias("turn_text"))
+
+
+@query()
+def rep_kmeans(spark, sf_dir):
+    means = mean_vectors(vectors(spark, sf_dir), ["label"], "values")
+    return geometry.kmeans(means, "label", "values", 3)
+
+
+@query()
+def rep_without_neutral(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    parts = geometry.neutral_components(rows.where("label = 9"), 0.5)
+    means = represent.concept_space(geometry.without_neutral(rows, parts), "label")
+    return means.select("label", rounded(F.col("norm")).alias("norm"), "count")
