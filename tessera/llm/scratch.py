@@ -74,12 +74,18 @@ class Scratch:
 
     def last(self, df: DataFrame, name: str) -> DataFrame:
         """write(), after which the other tables are removed: df is the last that reads them."""
-        old, self.tables = self.tables, []
         table = self.write(df, name)
-        for path in old:
-            self._remove(path)
+        self.only(table)
         return table
 
+    def only(self, *kept: DataFrame) -> None:
+        """Remove the tables of write() but those that are still to be read."""
+        paths = [t.scratch_path for t in kept]
+        for path in self.tables:
+            if path not in paths:
+                self._remove(path)
+        self.tables = paths
+
     def delete(self, table: DataFrame) -> None:
         """Remove a table of write() that nothing reads any more."""
         self.tables.remove(table.scratch_path)

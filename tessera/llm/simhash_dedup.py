@@ -173,6 +173,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = scratch.write(members, "members")
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = scratch.write(members.join(least, "root").select("fp", "component_id"), "components")
+    scratch.only(found, ids)
     return found.join(ids, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
