@@ -171,23 +171,26 @@ def _flagged(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _sets(dealt: DataFrame, most: int | None) -> DataFrame:
-    """(set, key, node, low, high): the lines of each key that agree with another of it, and the name of their set.
+    """(set, home, key, node, low, high): the lines of each key that agree with another of it, and the name of their set.
 
-    Sets of the same lines have the same name. The rows of a key with more than `most` lines are returned as they are,
+    Sets of the same lines have the same name. home is the least line of a set: sets of one home, of which there are no
+    more than blocks, are compared one after the other. Without `most` it is the name of the set. The rows of a key with more than `most` lines are returned as they are,
     without a set.
     """
 
     def compared(key: np.ndarray, node: np.ndarray, *tags: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(_flagged(key, *tags))
-        name = np.zeros(0, np.uint64)
+        name, home = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(at):
             starts = np.flatnonzero(np.append(True, key[at[1:]] != key[at[:-1]]))
             sums = np.add.reduceat(mix(node[at].astype(np.uint64)), starts) + (key[at[starts]] & 24).astype(np.uint64)
-            name = np.repeat(mix(sums), np.diff(np.append(starts, len(at))))
-        return rows_of(pa.array(name.view(np.int64)), *(c[at] for c in (key, node, *tags)))
+            sizes = np.diff(np.append(starts, len(at)))
+            name = np.repeat(mix(sums), sizes)
+            home = np.repeat(np.minimum.reduceat(node[at], starts), sizes) if most else name.view(np.int64)
+        return rows_of(pa.array(name.view(np.int64)), pa.array(home), *(c[at] for c in (key, node, *tags)))
 
-    def rows_of(name: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([name, *map(pa.array, columns)], names=["set", *_ROW])
+    def rows_of(name: pa.Array, home: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([name, home, *map(pa.array, columns)], names=["set", "home", *_ROW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = [np.zeros(0, np.int64)] * 4, None  # the rows of the last key, which may go on, and the last large key
@@ -201,13 +204,13 @@ def _sets(dealt: DataFrame, most: int | None) -> DataFrame:
             big = (sizes > most) | (rows[0][starts] == large) if most else np.zeros(len(starts), bool)
             whole, open_run = np.repeat(big, sizes), np.arange(len(rows[0])) >= starts[-1]
             if whole.any():
-                yield rows_of(pa.nulls(int(whole.sum()), pa.int64()), *(c[whole] for c in rows))
+                yield rows_of(*[pa.nulls(int(whole.sum()), pa.int64())] * 2, *(c[whole] for c in rows))
                 large = rows[0][whole][-1]
             yield compared(*(c[~whole & ~open_run] for c in rows))
             held = [c[~whole & open_run] for c in rows]
         yield compared(*held)
 
-    schema = "set long, key long, node long, low long, high long"
+    schema = "set long, home long, key long, node long, low long, high long"
     return dealt.select(*_ROW).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
 
 
@@ -217,7 +220,7 @@ def _subkey(*of: Column | str) -> Column:
 
 
 def candidate_sets(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """(set, key, node, low, high): the lines (node, kind, b0, b1, ...) that agree with another, in sets of lines of one block value."""
+    """(set, home, key, node, low, high): the lines (node, kind, b0, b1, ...) that agree with another, in sets of lines of one block value."""
     sample = _dealt(prints.where(F.pmod(F.xxhash64("node"), F.lit(_SAMPLE)) == 0)).groupBy("key").count().where(F.col("count") >= _COMMON)
     common = scratch.write(sample.select(F.col("key").alias("common")), "common")  # (BLOCKS - 1) / _COMMON of the sample's lines at most
     rows = _dealt(prints)
@@ -245,7 +248,7 @@ def candidate_sets(prints: DataFrame, scratch: Scratch) -> DataFrame:
         parts.append(scratch.write(_sets(finer, None), "small"))
     # The key has no more to tell than the kind, so that sets which several blocks have collapse.
     kind = F.col("key").bitwiseAND(F.lit(24)).alias("key")
-    return reduce(DataFrame.unionByName, (p.select("set", kind, *_ROW[1:]) for p in parts)).distinct()
+    return reduce(DataFrame.unionByName, (p.select("set", "home", kind, *_ROW[1:]) for p in parts)).distinct()
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -271,43 +274,60 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "node long, text string")
 
 
-def _links(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[str], similarity: float) -> Iterator[tuple[int, int]]:
-    """Links between similar lines of a set that no earlier link connects."""
-    if len(node) == 2:  # they agree, else there were no set
-        if similar(texts[0], texts[1], similarity):
-            yield int(node[0]), int(node[1])
-        return
-    label = np.arange(len(node))
-    for i in range(len(node) - 1):
-        near = _agree(key[i + 1 :], [low[i], high[i]], [low[i + 1 :], high[i + 1 :]]) & (label[i + 1 :] != label[i])
+def _root(parent: dict[int, int], node: int) -> int:
+    while (up := parent.get(node, node)) != node:
+        parent[node] = parent.get(up, up)
+        node = up
+    return node
+
+
+def _links(parent: dict[int, int], key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[str], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between similar lines of a set that no earlier link connects; parent has those of the sets before."""
+    nodes = node.tolist()
+    label = np.unique([_root(parent, n) for n in nodes], return_inverse=True)[1] if len(nodes) > 2 else np.arange(2)
+    for i in range(len(nodes) - 1):
+        if len(nodes) == 2:  # they agree, else there were no set
+            near = np.array([_root(parent, nodes[0]) != _root(parent, nodes[1])])
+        else:
+            near = _agree(key[i + 1 :], [low[i], high[i]], [low[i + 1 :], high[i + 1 :]]) & (label[i + 1 :] != label[i])
         for j in np.flatnonzero(near) + i + 1:
             if label[i] != label[j] and similar(texts[i], texts[j], similarity):
                 label[label == label[j]] = label[i]
-                yield int(node[i]), int(node[j])
+                parent[_root(parent, nodes[j])] = _root(parent, nodes[i])
+                yield nodes[i], nodes[j]
 
 
 def similar_pairs(sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(src, dst): links that connect all similar lines of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts = [np.zeros(0, np.int64)] * 5, []  # the rows of the last set, which may go on
+        held, texts = [np.zeros(0, np.int64)] * 6, []  # the rows of the last set, which may go on
+        parent, last_home = {}, None
 
         def linked(columns: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
-            starts = np.append(np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])), len(columns[0])) if len(texts) else []
-            found = [x for a, b in zip(starts, starts[1:]) if b - a > 1 for x in _links(*(c[a:b] for c in columns[1:]), texts[a:b], similarity)]
+            nonlocal parent, last_home
+            home, name, *rest = columns
+            fresh = np.append(True, (name[1:] != name[:-1]) | (home[1:] != home[:-1])) if len(texts) else np.zeros(0, bool)
+            starts, found = np.append(np.flatnonzero(fresh), len(texts)).tolist(), []
+            for a, b in zip(starts, starts[1:]):
+                if home[a] != last_home:
+                    parent, last_home = {}, home[a]
+                if b - a > 1:
+                    found += _links(parent, *(c[a:b] for c in rest), texts[a:b], similarity)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["src", "dst"])
 
         for batch in batches:
             if batch.num_rows:
                 rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
-                texts += batch.column(5).to_pylist()
-                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                texts += batch.column(6).to_pylist()
+                other = np.flatnonzero((rows[1] != rows[1][-1]) | (rows[0] != rows[0][-1]))
+                last = int(other[-1]) + 1 if len(other) else 0
                 yield linked([c[:last] for c in rows], texts[:last])
                 held, texts = [c[last:] for c in rows], texts[last:]
         yield linked(held, texts)
 
-    whole = sets.join(texts, "node").select("set", *_ROW, "text")
-    return whole.repartition("set").sortWithinPartitions("set", "key", "node").mapInArrow(run, "src long, dst long").distinct()
+    whole = sets.join(texts, "node").select("home", "set", *_ROW, "text")
+    return whole.repartition("home").sortWithinPartitions("home", "set", "key", "node").mapInArrow(run, "src long, dst long").distinct()
 
 
 def _fuzzy_groups(rows: DataFrame, distinct: DataFrame, more: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
