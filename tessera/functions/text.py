@@ -19,9 +19,45 @@ def label_part(name: Column) -> Column:
     return F.btrim(F.regexp_replace(name, r"[^\p{L}\p{N}]", "_"), F.lit("_"))
 
 
+#: Escapes of a JSON string that have a name.
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def json_string(text: Column) -> Column:
+    """The text as a JSON string in ASCII: quotes around it, other characters as \\uXXXX, beyond the BMP as two of these."""
+    unit = lambda code: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+    named = F.create_map(*[F.lit(x) for pair in _ESCAPES.items() for x in pair])
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        pair = F.concat(unit(F.shiftright(code - 0x10000, 10) + 0xD800), unit((code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        plain = code.between(32, 126) & ~c.isin('"', "\\")
+        return F.when(plain, c).otherwise(F.coalesce(F.element_at(named, c), F.when(code > 0xFFFF, pair).otherwise(unit(code))))
+
+    simple = F.regexp_like(text, F.lit(r'\A[\x20\x21\x23-\x5B\x5D-\x7E]*\z'))
+    whole = F.when(simple, text).otherwise(F.array_join(F.transform(F.split(text, ""), escaped), ""))
+    return F.concat(F.lit('"'), whole, F.lit('"'))
+
+
+def json_object(fields: Mapping[str, Column]) -> Column:
+    """A JSON object of named JSON values, in the order of the names, without white space."""
+    parts = [x for i, k in enumerate(sorted(fields)) for x in (F.lit(f'{"," if i else ""}"{k}":'), fields[k])]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
+
+
+def json_list(values: Column) -> Column:
+    """A JSON list of an array of JSON values."""
+    return F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))
+
+
 def json_hash(text: Column) -> Column:
-    """SHA-256 of the text as a JSON string, quotes and escapes included, for ASCII texts."""
-    return F.sha2(F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), 256)
+    """SHA-256 of the text as a JSON string, quotes and escapes included."""
+    return F.sha2(json_string(text), 256)
+
+
+def messages_hash(messages: Column) -> Column:
+    """SHA-256 of a list of messages (role, content) as JSON."""
+    return F.sha2(json_list(F.transform(messages, lambda m: json_object({"role": json_string(m["role"]), "content": json_string(m["content"])}))), 256)
 
 
 def hash_shard(digest: Column, shards: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import hash_shard, json_hash, label_part, name_key
+from tessera.functions.text import hash_shard, json_hash, label_part, messages_hash, name_key
 from tessera.operators import select
 from tessera.plans.registry import query, table
 from tessera.sources import examples as src
@@ -101,6 +101,20 @@ def ds_prompt_hash(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", json_hash(F.col("c_name")).alias("prompt_hash"))
 
 
+_JSON = """'"' || array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN c = chr(10) THEN '\\n' WHEN c = chr(9) THEN '\\t'
+  WHEN unicode(c) > 65535 THEN '\\u' || format('{{:04x}}', ((unicode(c) - 65536) >> 10) + 55296) || '\\u' || format('{{:04x}}', ((unicode(c) - 65536) & 1023) + 56320)
+  WHEN unicode(c) < 32 OR unicode(c) > 126 THEN '\\u' || format('{{:04x}}', unicode(c)) ELSE c END), '') || '"'"""
+
+
+@query(f"""
+SELECT conv_id, sha256('[' || string_agg('{{"content":' || {_JSON.format("text || chr(9) || '日😀' || chr(92) || chr(34)")} || ',"role":"' || role || '"}}', ',' ORDER BY turn) || ']') AS prompt_hash FROM conversations GROUP BY conv_id
+""")
+def ds_messages_hash(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("content", F.concat("text", F.lit("\t日😀\\\"")))
+    listed = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
+    return rows.groupBy("conv_id").agg(listed.alias("m")).select("conv_id", messages_hash(F.col("m")).alias("prompt_hash"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 100 OFFSET 300")
 def ds_paging(spark, sf_dir):
     return src.page(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"], 100, 3).select("o_orderkey", "o_custkey")

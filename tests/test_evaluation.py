@@ -1,10 +1,14 @@
 """Moments, folds, controls and probe evaluation; dialogue functions; streams against their batch form."""
 
+import hashlib
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import dialogue as dl
+from tessera.functions.text import json_hash, json_string, messages_hash
 from tessera.functions.vectors import rounded
 from tessera.operators import evaluate as ev
 from tessera.operators import patch, project, readouts, represent, tokens
@@ -161,3 +165,12 @@ def test_streams_equal_their_batch_form(spark, tmp_path):
         done = set(map(tuple, spark.read.parquet(f"{tmp_path}/{name}").select(*keys).collect()))
         whole = set(map(tuple, plan(spark.read.parquet(f"{tmp_path}/in")).select(*keys).collect()))
         assert done and done <= whole and (name == "s" or done == whole)
+
+
+def test_json_strings(spark):
+    texts = ["", "plain", 'a"b\\c', "\n\r\t\b\f\x01\x1f\x7f", "é日\u2028", "😀x𝄞", "\u00a0'"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", json_string(F.col("t")).alias("j"), json_hash(F.col("t")).alias("h")).collect()
+    assert all(r["j"] == json.dumps(r["t"]) and r["h"] == hashlib.sha256(json.dumps(r["t"]).encode()).hexdigest() for r in rows)
+    message = [{"role": "user", "content": "é"}, {"role": "x", "content": ""}]
+    got = spark.createDataFrame([(message,)], "m array<struct<role:string,content:string>>").select(messages_hash(F.col("m")).alias("h")).first()["h"]
+    assert got == hashlib.sha256(json.dumps(message, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
