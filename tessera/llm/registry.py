@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm import (
+    collocations,
     exact_dedup,
     language_id,
     line_dedup,
@@ -26,6 +27,7 @@ _MODULES = {
     "op8_line_dedup": line_dedup,
     "op9_simhash": simhash_dedup,
     "op10_sentencepiece": sentence_pieces,
+    "op11_collocations": collocations,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
