@@ -13,6 +13,7 @@ from tessera.llm import (
     source_mix,
     substring_dedup,
     token_counts,
+    vector_codes,
     warc,
 )
 
@@ -28,6 +29,7 @@ _MODULES = {
     "op9_simhash": simhash_dedup,
     "op10_sentencepiece": sentence_pieces,
     "op11_collocations": collocations,
+    "op12_vector_codes": vector_codes,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
