@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm import (
     collocations,
     exact_dedup,
+    fingerprints,
     language_id,
     line_dedup,
     quality_rules,
@@ -30,6 +31,7 @@ _MODULES = {
     "op10_sentencepiece": sentence_pieces,
     "op11_collocations": collocations,
     "op12_vector_codes": vector_codes,
+    "op13_fingerprints": fingerprints,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
