@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import condition, cosine, dot, doubles
-from tessera.sources.examples import ranked
+from tessera.sources.examples import range_part
 
 #: Tiles of coordinates that are too many to be broadcast.
 _TILES = 64
+#: Ranges in which scores are counted, at least.
+_RANGES = 256
 
 SUMMARIES = ("mean", "min", "max", "std", "trend", "first_last_delta")
 
@@ -52,15 +54,25 @@ def summarize(rows: DataFrame, keys: Sequence[str], order: str, score: str = "sc
 def quantile_bands(rows: DataFrame, keys: Sequence[str], score: str, bands: int) -> DataFrame:
     """Per group: bands - 1 linearly interpolated thresholds, min, max and count. Null scores are left out.
 
-    Scores are ranked over ranges; of each group, only the rows at the ranks on either side of a threshold are kept.
+    The rows of each range of scores are counted; only ranges that hold a rank on either side of a threshold are sorted.
     """
-    keys, rows = list(keys), rows.where(F.col(score).isNotNull())
-    sizes = rows.groupBy(*keys).agg(F.min(score).alias("min"), F.max(score).alias("max"), F.count(score).alias("count"))
+    keys, rows = list(keys), rows.where(F.col(score).isNotNull()).select(*keys, score)
+    parts = max(_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.withColumn("_part", range_part(rows, [*keys, score], parts))
+    sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_size"), F.min(score).alias("_min"), F.max(score).alias("_max"))
+    group = Window.partitionBy(*keys)
+    placed = sizes.select(
+        *keys, "_part", "_size", F.min("_min").over(group).alias("min"), F.max("_max").over(group).alias("max"), F.sum("_size").over(group).alias("count"),
+        (F.sum("_size").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias("_start"),
+    )
     spots = F.array(*[F.lit(float(i)) * (F.col("count") - 1) / bands for i in range(1, bands)])
-    placed = ranked(rows.select(*keys, score), keys, [score]).join(sizes, keys) if keys else ranked(rows.select(score), [], [score]).crossJoin(sizes)
-    wanted = F.exists(spots, lambda s: (F.floor(s) == F.col("rank")) | (F.ceil(s) == F.col("rank")))
-    listed = placed.where(wanted).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", score))).alias("_at"))
-    whole = listed.join(sizes, keys) if keys else listed.crossJoin(sizes)
+    ranks = F.array_distinct(F.flatten(F.transform(spots, lambda s: F.array(F.floor(s), F.ceil(s)))))
+    here = F.filter(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_size")))
+    wanted = placed.withColumn("_ranks", here).where(F.size("_ranks") > 0)
+    held = dealt.join(wanted.select(*keys, "_part", "_start", "_ranks", "min", "max", "count"), [*keys, "_part"])
+    rank = F.col("_start") + F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(score)) - 1
+    listed = held.withColumn("_rank", rank).where(F.array_contains("_ranks", F.col("_rank")))
+    whole = listed.groupBy(*keys, "min", "max", "count").agg(F.map_from_entries(F.collect_list(F.struct("_rank", score))).alias("_at"))
     at = lambda s: F.element_at("_at", s.cast("bigint"))
     cuts = F.transform(spots, lambda s: at(F.floor(s)) + (s - F.floor(s)) * (at(F.ceil(s)) - at(F.floor(s))))
     return whole.select(*keys, cuts.alias("thresholds"), "min", "max", "count")

@@ -17,6 +17,9 @@ from tessera.functions.text import fill_template
 #: Parts of a list that is joined with every row of another one.
 _DEALT = 16
 
+#: Rows of a sample for each range that is to be found.
+_SAMPLED = 40
+
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*")
 
 
@@ -51,28 +54,35 @@ def repeated_keys(rows: DataFrame, key: str = "example_key") -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("count")).where("count > 1")
 
 
-def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a .json (a list, or an object with the list `examples`), .jsonl or .parquet file or folder."""
+def read_file(spark: SparkSession, path: str, place: Sequence[str] = ()) -> DataFrame:
+    """Records of a .json (a list, or an object with the list `examples`), .jsonl or .parquet file or folder.
+
+    place names two more columns: the file that a record is in, and where the split of the file begins that it was read with.
+    """
+    at = [F.col(f"_metadata.{field}").alias(name) for field, name in zip(("file_path", "file_block_start"), place)]
     if path.endswith(".parquet"):
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).select("*", *at)
     if path.endswith(".jsonl"):
-        return spark.read.option("mode", "FAILFAST").json(path)
+        return spark.read.option("mode", "FAILFAST").json(path).select("*", *at)
     if path.endswith(".json"):
         whole = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-        return whole.select(F.explode("examples").alias("e")).select("e.*") if whole.columns == ["examples"] else whole
+        if whole.columns != ["examples"]:
+            return whole.select("*", *at)
+        return whole.select(F.explode("examples").alias("e"), *at).select("e.*", *place)
     raise ValueError(f"no reader for {path}: .json, .jsonl or .parquet")
 
 
 def read_packs(spark: SparkSession, packs: Mapping[str, str], limit_per_file: int | None = None, order: str | None = None) -> DataFrame:
     """JSON files by source name, with the columns source, row and example_key ({source}_{row:06d}, counted per file).
 
-    Rows are counted in the order of the column `order`, or that of the file.
+    Rows are counted in the order of the column `order`, or that of the file: by the place of the split and the row in it,
+    which are the same in every read.
     """
     parts = []
     for source, path in packs.items():
-        records = read_file(spark, path).withColumn("_at", F.monotonically_increasing_id())
-        part = number_rows(records, [order, "_at"] if order else ["_at"], "row").withColumn("source", F.lit(source))
-        parts.append((part.where(F.col("row") < limit_per_file) if limit_per_file else part).drop("_at"))
+        records = read_file(spark, path, ["_file", "_split"]).withColumn("_at", F.monotonically_increasing_id())
+        part = number_rows(records, [*([order] if order else []), "_file", "_split", "_at"], "row").withColumn("source", F.lit(source))
+        parts.append((part.where(F.col("row") < limit_per_file) if limit_per_file else part).drop("_at", "_file", "_split"))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part, allowMissingColumns=True)
@@ -103,34 +113,67 @@ def index_keys(records: DataFrame, prefix: str, order: Sequence[str], key: str |
     return ranked.withColumn("example_key", F.coalesce(F.col(key).cast("string"), fill) if key else fill)
 
 
+def range_part(rows: DataFrame, order: Sequence[str], parts: int | None = None) -> Column:
+    """The number, from 0, of the range of the order columns that a row lies in; about `parts` ranges with as many rows each.
+
+    Bounds are taken once, from a sample that is counted and bounded, and are literals of the expression. So a row has one
+    range wherever the expression is used, rows that are equal in the order columns share it, and whatever the sample,
+    every row has one: only how even the ranges are depends on it.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = rows.select(*order)
+    total = keys.count()
+    if parts < 2 or not total:
+        return F.lit(0)
+    sample = keys.sample(min(1.0, _SAMPLED * parts / total), seed=17).orderBy(*order).collect()
+    bounds = list(dict.fromkeys(tuple(sample[i * len(sample) // parts]) for i in range(1, parts))) if sample else []
+    if not bounds:
+        return F.lit(0)
+    key = F.struct(*order)
+    one = lambda bound: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(bound, keys.schema)])
+    wide = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]  # looked up in two steps
+    below = lambda listed: F.size(F.filter(listed, lambda b: b < key))
+    block = below(F.array(*[one(b[-1]) for b in blocks]))
+    within = F.get(F.array(*[F.array(*map(one, b)) for b in blocks]), block)
+    return (block * wide + F.coalesce(F.when(within.isNotNull(), below(within)), F.lit(0))).cast("int")
+
+
 def number_rows(rows: DataFrame, order: Sequence[str], name: str = "ord") -> DataFrame:
-    """rows with their number from 0 in a total order.
+    """rows with their number from 0 in a total order; rows equal in it are numbered in any order.
 
     Rows are dealt into ranges and numbered within them; the sizes of the ranges, one row for each, give the rest.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not changed at run time
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_size"))
-    starts = sizes.selectExpr("_part as _of", "sum(_size) over (order by _part rows between unbounded preceding and current row) - _size as _start")
-    return local.join(F.broadcast(starts), F.col("_part") == F.col("_of")).withColumn(name, F.col("_local") + F.col("_start")).drop("_part", "_local", "_of", "_start")
+    part = range_part(rows, order)
+    sizes = {r["part"]: r["size"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("size")).collect()}
+    starts, before = [], 0
+    for i in range(max(sizes, default=0) + 1):
+        starts.append(before)
+        before += sizes.get(i, 0)
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long") - 1
+    start = F.get(F.array(*[F.lit(n).cast("long") for n in starts]), F.col("_part"))
+    return rows.withColumn("_part", part).withColumn(name, within + start).drop("_part")
 
 
 def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None = None, name: str = "rank") -> DataFrame:
     """rows with the number of rows (or the sum of `weight`) before each in its group, in a total order.
 
     Rows are dealt into ranges of keys and order, so that a group may lie in many tasks; the totals of each range and
-    group, one row each, give the rest.
+    group, one row each, give the rest. A null key is a group too.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
+    keys = list(keys)
+    dealt = rows.withColumn("_part", range_part(rows, [*keys, *order]))
     value = F.col(weight) if weight else F.lit(1)
     within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.withColumn("_before", F.coalesce(F.sum(value).over(within), F.lit(0)))
     sizes = dealt.groupBy("_part", *keys).agg(F.sum(value).alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", *keys, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    return local.join(starts, ["_part", *keys]).withColumn(name, F.col("_before") + F.col("_start")).drop("_part", "_before", "_start")
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    starts = sizes.select(F.col("_part").alias("_of"), *[F.col(k).alias(n) for k, n in named.items()], F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    same = F.col("_part") == F.col("_of")
+    for k, n in named.items():
+        same &= F.col(k).eqNullSafe(F.col(n))
+    return local.join(starts, same).withColumn(name, F.col("_before") + F.col("_start")).drop("_part", "_before", "_start", "_of", *named.values())
 
 
 def page(rows: DataFrame, order: Sequence[str], size: int, number: int) -> DataFrame:
