@@ -1,7 +1,7 @@
 """Phrase collocation mining by stripes.
 
 A prefix of words keys a stripe: an associative array of the words that follow it, with counts. Tasks build stripes of
-the texts they read, and stripes of one key are merged elementwise. All that is asked of a phrase is in the merged
+the texts they read and pack those that are to be merged in one place; stripes of one key are merged elementwise. All that is asked of a phrase is in the merged
 stripes: an entry is the frequency of an extension, the sum of the empty prefix's stripe is the number of words, the
 parts of a cut are entries too, and the greatest entry that extends a phrase to the right or left decides whether it is
 subsumed.
@@ -31,14 +31,14 @@ BITS_PER_PHRASE, MOST_BITS = 24, 1 << 29
 FLUSH_WORDS = 3_000_000
 #: Parts that a stripe is dealt in by a hash of the following word: of the empty prefix, and of any other.
 _DEALT_ALL, _DEALT = 512, 16
-#: Rows of an output batch.
-_ROWS = 1 << 15
+#: Entries that a task reads before it merges them with those that it has.
+_HELD = 2_000_000
 
 _END = b"\xff"  # no byte of UTF-8; stands for the end of a piece
 #: A-Z in lower case, and the ends of pieces.
 _TABLE = bytes(255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
-_STRIPE = "lang string, prefix string, dealt int, words array<string>, counts array<long>"
+_PACKED = "part int, lang string, stripes binary"
 _MERGED = "lang string, size int, prefix string, total long, words array<string>, counts array<long>"
 
 
@@ -71,8 +71,8 @@ class Members:
 class _Counter:
     """Counts the words or phrases of texts by language, and gives them out as stripes."""
 
-    def __init__(self, sizes: Sequence[int], words: Members | None, pairs: Members | None):
-        self.sizes, self.words, self.pairs = sizes, words, pairs
+    def __init__(self, sizes: Sequence[int], parts: int, words: Members | None, pairs: Members | None):
+        self.sizes, self.parts, self.words, self.pairs = sizes, parts, words, pairs
         self._clear()
 
     def _clear(self) -> None:
@@ -90,13 +90,14 @@ class _Counter:
         names = list(self.ids)
         vocabulary = pa.array(names, pa.binary())
         dealt = np.fromiter((_word_hash(w, 1) & 0x7FFFFFFF for w in names), np.int64, len(names))
-        for lang, parts in self.texts.items():
-            row = np.concatenate(parts)
+        for lang, texts in self.texts.items():
+            row = np.concatenate(texts)
             if 1 in self.sizes:
                 counts = np.bincount(row, minlength=len(names))
                 counts[0] = 0
                 found = np.flatnonzero(counts)
-                yield from self._emit(lang, None, np.zeros(len(found), np.int64), found, counts[found], vocabulary, dealt % _DEALT_ALL)
+                start = np.array([_word_hash(lang.encode(), 0)], _U)
+                yield from self._emit(lang, None, start, np.zeros(len(found), np.int64), found, counts[found], vocabulary, dealt % _DEALT_ALL)
             if max(self.sizes) > 1:
                 yield from self._phrases(lang, row, names, vocabulary, dealt % _DEALT)
         self._clear()
@@ -113,85 +114,118 @@ class _Counter:
         pairs, place = np.unique(row[at].astype(np.int64) * len(names) + row[at + 1], return_inverse=True)
         first, last = pairs // len(names), pairs % len(names)
         if 2 in self.sizes:
-            yield from self._emit(lang, vocabulary.take(pa.array(first)), first, last, np.bincount(place, minlength=len(pairs)), vocabulary, dealt)
+            yield from self._emit(lang, vocabulary, hashes, first, last, np.bincount(place, minlength=len(pairs)), vocabulary, dealt)
         if size == 2:
             return
         kept = self.pairs.of(_pair_hashes(hashes[first], hashes[last]))
         rank = np.full(len(row), -1, np.int64)  # of the phrase that begins at a place
         rank[at] = np.where(kept[place], place, -1)
         follows, phrases = rank >= 0, pc.binary_join_element_wise(vocabulary.take(pa.array(first)), vocabulary.take(pa.array(last)), b" ")
+        named = _pair_hashes(hashes[first], hashes[last])  # of phrases
         for n in range(3, size + 1):
             at = at[(rank[at] >= 0) & follows[np.minimum(at + n - 2, len(row) - 1)]]
             keys, place = np.unique(rank[at] * len(names) + row[at + n - 1], return_inverse=True)
             before, last = keys // len(names), keys % len(names)
-            prefixes = phrases.take(pa.array(before))
-            yield from self._emit(lang, prefixes, before, last, np.bincount(place, minlength=len(keys)), vocabulary, dealt)
-            phrases = pc.binary_join_element_wise(prefixes, vocabulary.take(pa.array(last)), b" ")
+            yield from self._emit(lang, phrases, named, before, last, np.bincount(place, minlength=len(keys)), vocabulary, dealt)
+            phrases = pc.binary_join_element_wise(phrases.take(pa.array(before)), vocabulary.take(pa.array(last)), b" ")
+            named = _pair_hashes(named[before], hashes[last])
             rank[:] = -1
             rank[at] = place
 
-    def _emit(self, lang, prefixes, before, last, counts, vocabulary, dealt) -> Iterator[pa.RecordBatch]:
-        """Stripes of entries (prefix `before`, word `last`, count)."""
-        part = dealt[last]
-        order = np.lexsort((part, before))
-        before, part = before[order], part[order]
-        edges = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (part[1:] != part[:-1])])) if len(order) else order
-        for start in range(0, len(edges), _ROWS):
-            begins = edges[start : start + _ROWS]
-            end = edges[start + _ROWS] if start + _ROWS < len(edges) else len(order)
-            chosen = order[begins[0] : end]
-            offsets = pa.array(np.append(begins, end) - begins[0], pa.int32())
-            words = vocabulary.take(pa.array(last[chosen])).cast(pa.string())
-            keys = prefixes.take(pa.array(order[begins])).cast(pa.string()) if prefixes is not None else pa.array([""] * len(begins), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(begins), pa.string()), keys, pa.array(part[begins], pa.int32()), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(counts[chosen], pa.int64()))],
-                names=["lang", "prefix", "dealt", "words", "counts"],
-            )
-
-
-def _merged(stripes: DataFrame, least: int) -> DataFrame:
+    def _emit(self, lang, prefixes, keys, before, last, counts, vocabulary, dealt) -> Iterator[pa.RecordBatch]:
+        """Stripes of entries (prefix `before`, word `last`, count), which are in the order of before; keys are hashes of the prefixes."""
+        if not len(before):
+            return
+        part = (_pair_hashes(keys[before], dealt[last].astype(_U)) % _U(self.parts)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        part, before, last, counts = part[order], before[order], last[order], counts[order].astype(np.int64)
+        words = vocabulary.take(pa.array(last))
+        begins = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (part[1:] != part[:-1])]))  # of stripes
+        stems = prefixes.take(pa.array(before[begins])) if prefixes is not None else pa.array([b""] * len(begins), pa.binary())
+        sizes = np.diff(np.append(begins, len(order)))
+        edges = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(order))
+        stripes = np.searchsorted(begins, edges)
+        packed = [_pack(stems[i:j], sizes[i:j], words[m:n], counts[m:n]) for m, n, i, j in zip(edges, edges[1:], stripes, stripes[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]], pa.int32()), pa.array([lang] * len(packed), pa.string()), pa.array(packed, pa.binary())], names=["part", "lang", "stripes"])
+
+
+def _bytes(strings: pa.Array) -> tuple[bytes, bytes]:
+    """Lengths and bytes of an array of strings."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return np.diff(offsets).astype(np.int32).tobytes(), memoryview(strings.buffers()[2] or b"")[offsets[0] : offsets[-1]].tobytes()
+
+
+def _strings(lengths: np.ndarray, data: bytes) -> pa.Array:
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _pack(stems: pa.Array, sizes: np.ndarray, words: pa.Array, counts: np.ndarray) -> bytes:
+    """Stripes as one compressed value: each prefix, how many entries it has, and the entries' words and counts."""
+    columns = [*_bytes(stems), sizes.astype(np.int32).tobytes(), *_bytes(words), counts.tobytes()]
+    raw = np.array([len(c) for c in columns], np.int64).tobytes() + b"".join(columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(value: bytes) -> pa.Table:
+    """(prefix, word, n) of packed stripes."""
+    raw = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
+    ends = np.cumsum(np.append(48, np.frombuffer(raw, np.int64, 6)))
+    columns = [raw[i:j] for i, j in zip(ends, ends[1:])]
+    stems = _strings(np.frombuffer(columns[0], np.int32), columns[1])
+    sizes = np.frombuffer(columns[2], np.int32)
+    prefix = stems.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+    return pa.table([prefix, _strings(np.frombuffer(columns[3], np.int32), columns[4]), pa.array(np.frombuffer(columns[5], np.int64))], names=["prefix", "word", "n"])
+
+
+def _merge(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["prefix", "word"]).aggregate([("n", "sum")]).rename_columns(["prefix", "word", "n"])
+
+
+def _merged(packed: DataFrame, least: int, parts: int) -> DataFrame:
     """Stripes of one key merged elementwise; only entries of `least` or more are kept, but total is the sum of all.
 
-    Rows are dealt by key and read in its order, so that a task holds one stripe at a time.
+    A task merges the stripes of one part; it holds that part's distinct entries and some that it has just read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, stripe, out = None, {}, []
-
-        def close() -> None:
-            kept = [(w, c) for w, c in stripe.items() if c >= least]
-            if kept or key[1] == "":
-                size = key[1].count(" ") + 2 if key[1] else 1
-                out.append((key[0], size, key[1], sum(stripe.values()), [w for w, _ in kept], [c for _, c in kept]))
-
-        def batch() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            names = ["lang", "size", "prefix", "total", "words", "counts"]
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-            out.clear()
-            return made
-
-        for read in batches:
-            langs, prefixes, dealt, words, counts = (read.column(i).to_pylist() for i in range(5))
-            for at, found in enumerate(zip(langs, prefixes, dealt)):
-                if found != key:
-                    if key is not None:
-                        close()
-                    key, stripe = found, {}
-                if stripe:
-                    for w, c in zip(words[at], counts[at]):
-                        stripe[w] = stripe.get(w, 0) + c
-                else:
-                    stripe = dict(zip(words[at], counts[at]))
-            if len(out) >= _ROWS // 8:
-                yield batch()
-        if key is not None:
-            close()
-        if out:
-            yield batch()
-
-    key = ["lang", "prefix", "dealt"]
-    return stripes.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, _MERGED)
+        held: dict[str, list[pa.Table]] = {}
+        fresh = 0
+        for batch in batches:
+            for lang, value in zip(batch.column(1).to_pylist(), batch.column(2)):
+                table = _unpack(value.as_py())
+                held.setdefault(lang, []).append(table)
+                fresh += len(table)
+                if fresh > _HELD:
+                    held, fresh = {k: [_merge(v)] for k, v in held.items()}, 0
+        for lang in list(held):
+            whole = _merge(held.pop(lang))
+            total = pc.sum(whole.filter(pc.equal(whole["prefix"], b""))["n"]).as_py() or 0
+            kept = whole.filter(pc.greater_equal(whole["n"], least)).sort_by("prefix").combine_chunks()
+            if not len(kept):
+                if total:
+                    yield _stripes(lang, pa.array([b""]), [0, 0], pa.array([], pa.binary()), pa.array([], pa.int64()), total)
+                continue
+            prefix, word, n = (kept[c].chunk(0) for c in ("prefix", "word", "n"))
+            code = prefix.dictionary_encode().indices.to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            yield _stripes(lang, prefix.take(pa.array(begins)), np.append(begins, len(code)), word, n, total)
+
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(run, _MERGED)
+
+
+def _stripes(lang: str, prefix: pa.Array, offsets, words: pa.Array, counts: pa.Array, total: int) -> pa.RecordBatch:
+    """Rows of _MERGED; total is the sum of the empty prefix's entries, and 0 for others."""
+    size = [p.count(b" ") + 2 if p else 1 for p in prefix.to_pylist()]
+    offsets = pa.array(offsets, pa.int32())
+    totals = [total if s == 1 else 0 for s in size]
+    if total and 1 not in size:
+        raise AssertionError("words are counted in a pass of their own")
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(size), pa.string()), pa.array(size, pa.int32()), prefix.cast(pa.string()), pa.array(totals, pa.int64()), pa.ListArray.from_arrays(offsets, words.cast(pa.string())), pa.ListArray.from_arrays(offsets, counts)],
+        names=["lang", "size", "prefix", "total", "words", "counts"],
+    )
 
 
 def _members(merged: DataFrame, size: int) -> np.ndarray:
@@ -216,16 +250,16 @@ def _members(merged: DataFrame, size: int) -> np.ndarray:
     return whole.view(np.uint8)
 
 
-def stripes(docs: DataFrame, sizes: Sequence[int], words: np.ndarray | None = None, pairs: np.ndarray | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, prefix, dealt, words, counts): the stripes of phrases of the given sizes, several for a key, as tasks found them.
+def stripes(docs: DataFrame, sizes: Sequence[int], parts: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(part, lang, stripes): the stripes of phrases of the given sizes as tasks found them, those of one part packed together.
 
-    Phrases of two words and more are counted if all their words are in the filter `words`, those of three and more if all
+    A part has whole keys: prefix and piece of its stripe. Phrases of two words and more are counted if all their words are in the filter `words`, those of three and more if all
     their pairs are in `pairs` too. Counts are by the words themselves, not by hashes.
     """
     shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(sizes, *(None if bits is None else Members(bits) for bits in shared.value))
+        counter = _Counter(sizes, parts, *(None if bits is None else Members(bits) for bits in shared.value))
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 counter.add(lang.as_py(), text.as_py())
@@ -235,7 +269,7 @@ def stripes(docs: DataFrame, sizes: Sequence[int], words: np.ndarray | None = No
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     rows = docs.where(F.col(text_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, _STRIPE)
+    return rows.mapInArrow(run, _PACKED)
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, min_count: int, max_words: int, text_col: str = "text", lang_col: str = "lang") -> list[DataFrame]:
@@ -244,7 +278,8 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, min_count: int, max_word
     size is that of the phrases prefix + word. Of the stripes' parts of the empty prefix all are there, so that the
     totals of a language sum up to its words.
     """
-    read = lambda *a: _merged(stripes(docs, *a, text_col=text_col, lang_col=lang_col), min_count)
+    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 16))
+    read = lambda sizes, *known: _merged(stripes(docs, sizes, parts, *known, text_col=text_col, lang_col=lang_col), min_count, parts)
     levels = [scratch.write(read([1]), "words")]
     if max_words > 1:
         words = _members(levels[0], 1)
