@@ -62,7 +62,7 @@ def digest(text: str) -> bytes:
 
 def _unpacked(digests: np.ndarray) -> np.ndarray:
     """Quartiles (rows, BUCKETS) of packed digests."""
-    return (digests[:, 2:, None] >> np.array([6, 4, 2, 0], np.uint8) & 3).reshape(len(digests), -1).astype(np.int8)
+    return (digests[:, 2:, None] >> np.array([6, 4, 2, 0], np.uint8) & 3).reshape(len(digests), BUCKETS).astype(np.int8)
 
 
 def likeness(a: list[bytes], b: list[bytes]) -> np.ndarray:

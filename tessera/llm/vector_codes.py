@@ -161,8 +161,8 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
     """Vectors of a state, which are kept in two or eight bytes a component."""
     rows = column.to_pylist()
     if all(len(r) == 2 * width for r in rows):
-        return np.frombuffer(b"".join(rows), np.int16).reshape(-1, width).astype(np.int64)
-    return np.array([np.frombuffer(r, np.int16 if len(r) == 2 * width else np.int64) for r in rows], np.int64).reshape(-1, width)
+        return np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), width).astype(np.int64)
+    return np.array([np.frombuffer(r, np.int16 if len(r) == 2 * width else np.int64) for r in rows], np.int64).reshape(len(rows), width)
 
 
 def _sums(state: DataFrame, books: Codebooks, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def _sums(state: DataFrame, books: Codebooks, b: int) -> tuple[np.ndarray, np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts, used = np.zeros((parts, size, width), np.int64), np.zeros((parts, size), np.int64), np.zeros(1 << 16, np.int64)
         for batch in batches:
-            vec = _vectors(batch.column(0), parts * width).reshape(-1, parts, width)
+            vec = _vectors(batch.column(0), parts * width).reshape(batch.num_rows, parts, width)
             near = _array(batch.column(1), code, parts, b)[:, :, 0].astype(np.int64)
             used += np.bincount(_array(batch.column(2), np.uint16, parts).ravel(), minlength=len(used))
             for part in range(parts if len(vec) else 0):
