@@ -98,24 +98,6 @@ def fit_probe(rows: DataFrame, label: str, positive, reg: float = 1e-4) -> dict:
     return {"coef": model.coefficients.toArray(), "intercept": float(model.intercept), "mean": mean, "scale": scale, "threshold": 0.5}
 
 
-def cross_cohort(rows: DataFrame, cohort: str, label: str, positive) -> DataFrame:
-    """(train_cohort, test_cohort, accuracy) of a probe fitted to each cohort and tried on every cohort.
-
-    Cohorts are few; each fit is a Spark job, and all trials of one probe are one aggregation.
-    """
-    names = [r[0] for r in rows.select(cohort).distinct().orderBy(cohort).collect()]
-    parts = []
-    for name in names:
-        probe = fit_probe(rows.where(F.col(cohort) == F.lit(name)), label, positive)
-        tried = probe_scores(rows, probe["coef"], probe["intercept"], probe["mean"], probe["scale"])
-        right = F.col("predicted_class") == (F.col(label) == F.lit(positive)).cast("int")
-        parts.append(tried.groupBy(F.col(cohort).alias("test_cohort")).agg(F.avg(right.cast("double")).alias("accuracy")).withColumn("train_cohort", F.lit(name)))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.select("train_cohort", "test_cohort", "accuracy")
-
-
 def residual_rows(rows: DataFrame, nuisance: np.ndarray) -> DataFrame:
     """rows with the values' part in the span of the nuisance directions (rows of a matrix) taken away."""
     q = np.linalg.svd(nuisance, full_matrices=False)

@@ -189,6 +189,29 @@ def rd_transfer(spark, sf_dir):
     return ev.transfer(rows, "example_key", "cohort", "side", 1, folds=2)
 
 
+def _split(spark, sf_dir):
+    """The vectors with three classes, two cohorts and two splits: by key, and by a hash."""
+    rows = vectors(spark, sf_dir).withColumns({"kind": F.concat(F.lit("c"), (F.col("label") % 3).cast("string")), "cohort": F.col("example_key") % 2})
+    named = lambda n: F.when(n == 0, "test").when(n == 1, "dev").otherwise("train")
+    return rows.withColumns({"by_key": named(F.col("example_key") % 5), "by_hash": named(F.pmod(F.crc32(F.col("example_key").cast("string")), F.lit(5)))})
+
+
+@query()
+def rd_transfer_split(spark, sf_dir):
+    return ev.transfer_split(_split(spark, sf_dir), "example_key", "kind", ["by_key", "by_hash"], ["train", "dev"], ["test"], [0.01, 0.1, 1.0], "cohort")
+
+
+@query()
+def rd_multiclass_cv(spark, sf_dir):
+    return ev.cross_validate(_split(spark, sf_dir), "example_key", "kind", folds=3)
+
+
+@query()
+def rd_staged_fine_tune(spark, sf_dir):
+    scored, _ = ev.staged_fine_tune(_split(spark, sf_dir), "example_key", "kind", "by_key", [["train"], ["dev"]], ["test"], [2, 1])
+    return scored
+
+
 @query()
 def rd_residualized(spark, sf_dir):
     rows = vectors(spark, sf_dir).withColumn("side", (F.col("label") < 5).cast("int")).withColumn("nuisance", (F.col("label") % 2).cast("int"))

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import fill_template
 
@@ -113,6 +114,14 @@ def index_keys(records: DataFrame, prefix: str, order: Sequence[str], key: str |
     return ranked.withColumn("example_key", F.coalesce(F.col(key).cast("string"), fill) if key else fill)
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if value is not None and isinstance(kind, T.StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
+    if value is not None and isinstance(kind, T.ArrayType):
+        return F.array(*[_literal(v, kind.elementType) for v in value]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
 def range_part(rows: DataFrame, order: Sequence[str], parts: int | None = None) -> Column:
     """The number, from 0, of the range of the order columns that a row lies in; about `parts` ranges with as many rows each.
 
@@ -130,7 +139,7 @@ def range_part(rows: DataFrame, order: Sequence[str], parts: int | None = None)
     if not bounds:
         return F.lit(0)
     key = F.struct(*order)
-    one = lambda bound: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(bound, keys.schema)])
+    one = lambda bound: _literal(bound, keys.schema)
     wide = max(1, int(len(bounds) ** 0.5))
     blocks = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]  # looked up in two steps
     below = lambda listed: F.size(F.filter(listed, lambda b: b < key))
