@@ -6,8 +6,9 @@ phrases per symbol wins.
 
 Transitions are tables of (state, symbol) -> next state, dense for the commonest symbols and a sorted array for all
 others, so that every character of the samples is a symbol of its own, whatever the scripts; a missing transition begins
-a new phrase. numpy advances all blocks of a batch of texts by one symbol at a time in all languages. Blocks have a
-fixed length and a phrase ends with its block, so a very long text costs its length and no more memory than others.
+a new phrase. numpy advances all blocks of a batch of texts by one symbol at a time. A block of a text is first parsed as if
+a phrase began with it, and then again from where the block before it really ends, until both parses are in one state,
+mostly after a few symbols; so phrases don't depend on blocks, and a very long text needs no more memory than others.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each language that are read for fitting, at most, and the characters that are kept of them.
 FIT_DOCS, FIT_CHARS = 60, 12_000
+#: Languages that are learned, at most: those with the most labelled documents, the first in byte order of equal ones.
+FIT_LANGS = 500
 #: Symbols of a block, and symbols that one numpy pass holds.
 BLOCK, _PASS = 512, 1 << 22
 #: Symbols up to this many have a table of (state, symbol); more are looked up in a sorted array.
@@ -118,13 +121,14 @@ class CrossParser:
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and the symbols of each text."""
         counts, sizes = np.zeros((len(texts), len(self.languages)), np.int64), np.zeros(len(texts), np.int64)
-        blocks, owners, held = [], [], 0
+        blocks, owners, first, before = [], [], [], np.array(self.starts, np.int32)
 
         def flush() -> None:
-            nonlocal blocks, owners, held
+            nonlocal blocks, owners, first, before
             if blocks:
-                np.add.at(counts, np.array(owners), self._parse(np.stack(blocks)))
-            blocks, owners, held = [], [], 0
+                found, before = self._parse(np.stack(blocks), np.array(first), before)
+                np.add.at(counts, np.array(owners), found)
+            blocks, owners, first = [], [], []
 
         for i, text in enumerate(texts):
             symbols = self._symbols(text.lower())
@@ -133,32 +137,62 @@ class CrossParser:
                 part = symbols[start : start + BLOCK]
                 blocks.append(part if len(part) == BLOCK else np.pad(part, (0, BLOCK - len(part))))
                 owners.append(i)
-                held += BLOCK
-                if held >= _PASS:
+                first.append(start == 0)
+                if len(blocks) * BLOCK >= _PASS:
                     flush()
         flush()
         return counts, sizes
 
-    def _parse(self, blocks: np.ndarray) -> np.ndarray:
-        """Phrases of each block in each language."""
+    def _parse(self, blocks: np.ndarray, first: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each block, and the states after the last one, in each language.
+
+        Blocks follow one another but for those that are the first of their text; before has the states before the first block of all.
+        """
         lengths = np.count_nonzero(blocks, axis=1)
         order = np.argsort(-lengths, kind="stable")
         columns = np.ascontiguousarray(blocks[order].T)
+        place = np.empty(len(blocks), np.int64)  # of a block among the columns
+        place[order] = np.arange(len(blocks))
         # Blocks that have ended lie behind the others and are left out.
         running = np.searchsorted(-lengths[order], -np.arange(BLOCK), side="left")
-        found = np.empty((len(blocks), len(self.languages)), np.int64)
+        found, after = np.empty((len(blocks), len(self.languages)), np.int64), before.copy()
+        states, begins = np.empty(columns.shape, np.int32), np.zeros(columns.shape, bool)
         for k, start in enumerate(self.starts):
             state = np.full(len(blocks), start, np.int32)
-            total = np.zeros(len(blocks), np.int64)
             for at in range(BLOCK):
                 n = running[at]
                 if not n:
                     break
                 step = self._step(state[:n], columns[at, :n], self.firsts[k])
-                total[:n] += step & 1
-                state[:n] = step >> 1
-            found[order, k] = total
-        return found
+                begins[at, :n] = step & 1
+                state[:n] = states[at, :n] = step >> 1
+            entered = np.full(len(blocks), start, np.int32)
+            while True:
+                last = states[lengths - 1, place]
+                truly = np.where(first, start, np.concatenate([before[k : k + 1], last[:-1]]))
+                lanes = np.flatnonzero(truly != entered)
+                if not len(lanes):
+                    break
+                entered[lanes] = truly[lanes]
+                self._again(columns, states, begins, lengths[lanes], place[lanes], truly[lanes], self.firsts[k])
+            after[k] = last[-1]
+            found[order, k] = begins.sum(axis=0)
+            begins[:] = False
+        return found, after
+
+    def _again(self, columns: np.ndarray, states: np.ndarray, begins: np.ndarray, lengths: np.ndarray, lanes: np.ndarray, state: np.ndarray, first: np.ndarray) -> None:
+        """Parse the columns `lanes` from other states, up to where they are in the same state as before."""
+        for at in range(BLOCK):
+            here = lengths > at
+            if not here.all():
+                lengths, lanes, state = lengths[here], lanes[here], state[here]
+            if not len(lanes):
+                return
+            step = self._step(state, columns[at, lanes], first)
+            state = step >> 1
+            differs = states[at, lanes] != state
+            states[at, lanes], begins[at, lanes] = state, step & 1
+            lengths, lanes, state = lengths[differs], lanes[differs], state[differs]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text: 1 less the phrases per symbol of the best language.
@@ -178,13 +212,16 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(samples))
 
 
-def learning_sample(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", fit_docs=FIT_DOCS, fit_chars=FIT_CHARS) -> dict[str, str]:
-    """Text of each language: at most fit_docs documents, those of the least hashes of their ids, fit_chars characters.
+def learning_sample(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", fit_docs=FIT_DOCS, fit_chars=FIT_CHARS, fit_langs=FIT_LANGS) -> dict[str, str]:
+    """Text of each language: at most fit_docs documents, those of the least hashes of their ids, fit_chars characters;
+    of at most fit_langs languages, those with the most documents.
 
     Documents with a null id, text or language, and those whose crc32(id) leaves 2 modulo 4, are not learned from.
     """
     ids = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     ids = ids.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(~_held_out("id"))
+    langs = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_langs).select("lang")
+    ids = ids.join(F.broadcast(langs), "lang")  # fit_langs rows
     ranked = ids.selectExpr("id", "lang", "row_number() over (partition by lang order by xxhash64(id), id) as rank").where(F.col("rank") <= fit_docs)
     picked = F.broadcast(ranked.select("id", "lang"))  # fit_docs rows for each language
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(picked, ["id", "lang"])

@@ -302,23 +302,51 @@ def test_language_id(spark, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs, {}).collect()} == {"und"}
 
 
-def test_cross_parse_counts_phrases():
+def parsed(text, sample):
+    """Phrases of a greedy parse of the whole text: longest matches in the sample, or one symbol that it lacks."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        n, i = n + 1, max(i + 1, j - 1)
+    return n
+
+
+def test_cross_parse_counts_phrases(monkeypatch):
     rng = random.Random(8)
-    samples = {k: "".join(rng.choice("abc") for _ in range(200)) for k in ("p", "q")}
+    samples = {k: "".join(rng.choice("abc") for _ in range(200)) for k in ("p", "q")} | {"r": "a" * 7 + "b"}
     parser = language_id.CrossParser(samples)
-    for text in ["abcabcaab", "xaxbx", "a" * 1100, "z", "".join(rng.choice("abcd") for _ in range(900))]:
-        want = []
-        for k in parser.languages:
-            n = 0
-            for start in range(0, len(text), language_id.BLOCK):
-                block, i = text[start : start + language_id.BLOCK], 0
-                while i < len(block):
-                    j = i + 1
-                    while j <= len(block) and block[i:j] in samples[k]:
-                        j += 1
-                    n, i = n + 1, max(i + 1, j - 1)
-            want.append(n)
-        assert parser.phrases([text])[0][0].tolist() == want
+    texts = ["abcabcaab", "xaxbx", "a" * 5000, "z", "", "".join(rng.choice("abcd") for _ in range(5000)), "ab" * 1500, "a" * 511 + "b", "a" * 512, "".join(rng.choice("abc") for _ in range(5000))]
+    want = [[parsed(t, samples[k]) for k in parser.languages] for t in texts]
+    assert parser.phrases(texts)[0].tolist() == want
+    monkeypatch.setattr(language_id, "_PASS", 2048)  # texts go on from one pass to the next
+    assert parser.phrases(texts)[0].tolist() == want
+    monkeypatch.setattr(language_id, "BLOCK", 7)
+    assert parser.phrases(texts)[0].tolist() == want
+
+
+def test_language_id_of_whole_tables(spark):
+    """The query's rows from a plain parse of every text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    samples = {k: v.lower() for k, v in language_id.learning_sample(docs).items()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = language_id.query(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not text or not any(map(str.isalpha, text)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        counts = sorted((parsed(text.lower(), samples[k]), k) for k in samples)
+        assert (r["lang_pred"], r["score"]) == (counts[0][1], max(0.0, 1 - counts[0][0] / len(text.lower())))
+
+
+def test_languages_of_a_dirty_column(spark):
+    rows = [(i, f"text of row {i}", f"l{i % 40}" if i % 2 else "many") for i in range(400)]
+    samples = language_id.learning_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_langs=3)
+    assert len(samples) == 3 and "many" in samples
 
 
 def test_language_id_tells_scripts_apart():
