@@ -274,6 +274,23 @@ def test_simhash_dedup(spark, docs, empty):
     assert simhash_dedup.simhash_dedup(empty).count() == 0
 
 
+def test_similar_texts_lie_within_the_radius():
+    """Of texts whose five-word shingles have 0.8 to 0.83 in common, nine of ten and more."""
+    rng, met, tried = random.Random(40), 0, 0
+    while tried < 250:
+        size = rng.choice([80, 150, 300, 600])
+        one = words(rng, size).split()
+        other = one[:]
+        for i in rng.sample(range(size), round(size * 0.0215) or 1):
+            other[i] = words(rng, 1) + "z"
+        a, b = " ".join(one), " ".join(other)
+        x, y = (set(simhash_dedup.shingles(t, 5).tolist()) for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.83:
+            tried += 1
+            met += (simhash_dedup.simhash(a, 5) ^ simhash_dedup.simhash(b, 5)).bit_count() <= simhash_dedup.RADIUS
+    assert met >= 0.93 * tried
+
+
 def test_simhash_tiles(spark):
     rng = random.Random(6)
     prints = [rng.getrandbits(64) for _ in range(150)]
