@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tessera.plans import datasets, dialogues, features, lineage, readouts, reports, texts, views  # noqa: F401
+    from tessera.plans import datasets, dense, dialogues, features, lineage, readouts, reports, texts, views  # noqa: F401
 
 
 _load()
