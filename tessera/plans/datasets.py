@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import nested
 from tessera.functions.text import hash_shard, json_hash, label_part, messages_hash, name_key
 from tessera.operators import select
 from tessera.plans.registry import query, table
@@ -153,3 +154,38 @@ def ds_group_cap(spark, sf_dir):
 def ds_dedupe_first(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
     return select.first_by(docs, ["digest"], [F.col("doc_id")])
+
+
+def _text(value: str) -> str:
+    return f"coalesce({value}, 'none')"
+
+
+#: Records about a document in three shapes: a list, a list under a key, an object of objects.
+_ONE = f"""'{{"title": "lang ' || {_text("lang")} || '", "weight": 2, "annotations": {{"Dimension": "' || {_text("source")} || '"}}}}'"""
+_TWO = """'{"criterion": "n ' || n_chars || '", "weight": -3}'"""
+_SHAPES = f"""CASE doc_id % 3 WHEN 0 THEN '[' || {_ONE} || ', ' || {_TWO} || ']' WHEN 1 THEN '{{"note": 1, "criteria": [' || {_ONE} || ', ' || {_TWO} || ']}}'
+  ELSE '{{"z": ' || {_ONE} || ', "a": ' || {_TWO} || '}}' END"""
+
+
+@query(f"""
+SELECT doc_id, 0 AS place, 'lang ' || {_text("lang")} AS criterion_text, {_text("source")} AS dimension, 2 AS weight, left(sha256('{{"lang":"' || {_text("lang")} || '"}}'), 24) AS base FROM documents
+UNION ALL SELECT doc_id, 1, 'n ' || n_chars, NULL, -3, left(sha256('{{"lang":"' || {_text("lang")} || '"}}'), 24) FROM documents
+""")
+def ds_nested_records(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_text("lang")).alias("lang"), F.expr(_SHAPES).alias("records"))
+    paths = {"criterion_text": ("title", "criterion"), "dimension": "annotations.dimension", "weight": "weight"}
+    found = nested.hash_columns(nested.explode_nested(rows, "records", paths, "place", {"weight": "int"}), {"base": "lang"})
+    return found.select("doc_id", "place", "criterion_text", "dimension", "weight", "base")
+
+
+@query(f"""
+SELECT doc_id, sha256('{{"a":[' || doc_id || ',[],{{"b":null,"lang":"' || {_text("lang")} || '"}}],"n":2.5,"source":"' || {_text("source")} || '","z":true}}') AS text_hash,
+       sha256('{{"k":{{"lang":"' || {_text("lang")} || '","source":"' || {_text("source")} || '"}},"n":[' || n_chars || ',null]}}') AS column_hash
+FROM documents
+""")
+def ds_canonical_hash(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.expr(_text("lang")).alias("lang"), F.expr(_text("source")).alias("source"))
+    text = """'{"z": true, "source": "' || source || '", "n": 2.50, "a": [' || doc_id || ', [], {"lang": "' || lang || '", "b": null}]}'"""
+    rows = rows.withColumn("value", F.try_parse_json(F.expr(text)))
+    rows = rows.withColumn("nest", F.struct(F.array("n_chars", F.lit(None).cast("long")).alias("n"), F.create_map(F.lit("source"), "source", F.lit("lang"), "lang").alias("k")))
+    return rows.select("doc_id", nested.stable_hash(rows, "value").alias("text_hash"), nested.stable_hash(rows, "nest").alias("column_hash"))
