@@ -56,8 +56,9 @@ INLINE_ALONE = (
 
 
 def is_story_meta(paragraph: Column) -> Column:
-    """Whether a paragraph is about the stories instead of one of them."""
-    low = F.lower(_strip(paragraph))
+    """Whether a paragraph is about the stories instead of one of them; a phrase may go on over the ends of lines."""
+    lines = F.transform(F.split(paragraph, r"[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]+", -1), _strip)
+    low = F.lower(F.array_join(F.filter(lines, lambda x: x != ""), " "))
     has = lambda words: _any([F.contains(low, F.lit(w)) for w in words])
     tests = [F.regexp_like(low, F.lit(rf"^{opening}")) & (has(words) if words else F.lit(True)) for opening, words in META_OPENINGS]
     tests += [reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in every]) & has(some) for every, some in META_PHRASES]

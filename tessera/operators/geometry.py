@@ -64,6 +64,101 @@ def kmeans(points: DataFrame, name: str, vector: str, k: int, iterations: int =
     return points.select(name, nearest().alias("cluster"))
 
 
+def leaf_order(distance: np.ndarray) -> list[int]:
+    """Leaves of the average-linkage tree of a distance matrix, from left to right.
+
+    The nearest two clusters are merged, of equal distances those with the lesser smallest members. The left branch of a merge is the one that was
+    made first, points before merges and lesser points first. Each cluster keeps its nearest one, so a merge costs a row.
+    """
+    n = len(distance)
+    d = np.array(distance, float)
+    np.fill_diagonal(d, np.inf)
+    size, label, leaves = np.ones(n), np.arange(n), [[i] for i in range(n)]
+    alive, nearest = np.ones(n, bool), d.argmin(axis=1) if n else np.zeros(0, int)  # a cluster is named by its smallest member
+    for step in range(n - 1):
+        names = np.flatnonzero(alive)
+        a = names[np.argmin(d[names, nearest[names]])]  # the first of equal ones
+        b = nearest[a]
+        a, b = min(a, b), max(a, b)
+        merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        first, second = (a, b) if label[a] < label[b] else (b, a)
+        leaves[a] = leaves[first] + leaves[second]
+        size[a], label[a], alive[b] = size[a] + size[b], n + step, False
+        merged[[a, b]] = np.inf
+        d[a], d[:, a] = merged, merged
+        d[b], d[:, b] = np.inf, np.inf
+        stale = np.flatnonzero(alive & ((nearest == a) | (nearest == b)))
+        nearest[stale] = d[stale].argmin(axis=1)
+        nearest[a] = d[a].argmin()
+        closer = np.flatnonzero(alive & ((d[:, a] < d[np.arange(n), nearest]) | ((d[:, a] == d[np.arange(n), nearest]) & (a < nearest))))
+        nearest[closer[closer != a]] = a
+    return leaves[0] if n else []
+
+
+#: Concepts of a layer, at most: their geometry is worked out in one task.
+MOST_CONCEPTS = 4096
+
+
+def concept_geometry(points: DataFrame, components: int = 2, clusters: int | None = None, concepts: Sequence[str] | None = None, layers: Sequence[int] | None = None, iterations: int = 80) -> DataFrame:
+    """(layer, concept, coordinates, explained, cluster, position) of named vectors (layer, concept, vector).
+
+    coordinates are those of a PCA of the layer's vectors, explained the shares of its components, cluster is that of kmeans() (null without `clusters`) and
+    position the place in the order of average linkage of 1 less the cosines. Wanted concepts and layers that are missing are an
+    error; so are more than MOST_CONCEPTS of a layer, as a layer is one task. Cosines of pairs are reports.pair_table().
+    """
+    points = points.where("vector is not null").select("layer", F.col("concept").cast("string").alias("concept"), doubles("vector").alias("vector"))
+    if layers is not None:
+        points = points.where(F.col("layer").isin(list(layers)))
+    if concepts is not None:
+        points = points.where(F.col("concept").isin(list(concepts)))
+    counts = points.groupBy("layer").agg(F.count("*").alias("n"), F.count_distinct("concept").alias("distinct")).collect()
+    if layers is not None and {r["layer"] for r in counts} != set(layers):
+        raise ValueError(f"layers without vectors: {sorted(set(layers) - {r['layer'] for r in counts})}")
+    for r in counts:
+        if r["n"] > MOST_CONCEPTS or r["n"] != r["distinct"] or concepts is not None and r["n"] != len(set(concepts)):
+            raise ValueError(f"layer {r['layer']} has {r['n']} vectors of {r['distinct']} concepts")
+    layer = points.schema["layer"].dataType.simpleString()
+
+    def geometry(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("concept").reset_index(drop=True)
+        x = np.stack(frame["vector"].to_numpy())
+        lengths = np.linalg.norm(x, axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cosine = np.nan_to_num((x @ x.T) / np.outer(lengths, lengths))
+        order = leaf_order(np.clip(1 - cosine, 0, 2))
+        k = max(1, min(components, *x.shape))
+        centered = x - x.mean(axis=0)
+        _, s, vt = np.linalg.svd(centered, full_matrices=False)
+        vt = vt[:k] * np.where(vt[np.arange(k), np.abs(vt[:k]).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+        share = s**2 / max(float((s**2).sum()), 1e-300)
+        place = np.empty(len(x), int)
+        place[order] = np.arange(len(x))
+        number = _clusters(x, clusters, iterations) if clusters is not None else [None] * len(x)
+        return pd.DataFrame({"layer": frame["layer"], "concept": frame["concept"], "coordinates": list(centered @ vt.T), "explained": [share[:k]] * len(x), "cluster": pd.array(number, "Int32"), "position": place})
+
+    schema = f"layer {layer}, concept string, coordinates array<double>, explained array<double>, cluster int, position int"
+    return points.groupBy("layer").applyInPandas(geometry, schema)
+
+
+def _clusters(x: np.ndarray, k: int, iterations: int) -> list[int]:
+    """kmeans() of rows in the order of their names."""
+    if len(x) <= k:
+        return list(range(len(x)))
+    centers = [x[np.linalg.norm(x, axis=1).argmax()]]
+    while len(centers) < k:
+        centers.append(x[np.min([np.linalg.norm(x - c, axis=1) for c in centers], axis=0).argmax()])
+    seen = None
+    for _ in range(iterations):
+        label = np.argmin([np.linalg.norm(x - c, axis=1) for c in centers], axis=0)
+        if seen is not None and (label == seen).all():
+            break
+        seen = label
+        centers = [x[label == i].mean(axis=0) if (label == i).any() else c for i, c in enumerate(centers)]
+    return label.tolist()
+
+
 def oriented(points: DataFrame, name: str, coordinates: str, anchors: Sequence[tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
     """points with each coordinate turned round if the first anchors of its pair have a lesser mean than the second."""
     means = [F.avg(F.when(F.col(name).isin(*side), F.get(coordinates, F.lit(i)))) for i, pair in enumerate(anchors) for side in pair]

@@ -173,6 +173,70 @@ def subspace(rows: DataFrame, components: int, standardize: bool = True) -> dict
     return {"mean": mean, "scale": scale, "safe_scale": safe, "components": vectors, "explained": values[:k] / max(values.sum(), 1e-300)}
 
 
+def range_subspace(rows: DataFrame, components: int, standardize: bool = True, extra: int = 16, tol: float = 1e-7, passes: int = 40, seed: int = 5) -> dict:
+    """subspace() by a randomized range finder: no task and no collected table is wider than components + extra.
+
+    A pass multiplies the values' covariance with an orthonormal basis of that width, and the result is the next basis; the eigenvalues
+    within it are those of the leading components once they no longer change, which for a basis as wide as the values is at once. total is the variance
+    that explained is a share of. d x (components + extra) numbers go to the driver in each pass.
+    """
+    from tessera.operators.solver import hold, summed
+
+    rows = rows.where("values is not null").withColumn("_in", F.lit(0))
+    first = rows.select(doubles("values").alias("v")).first()
+    if first is None:
+        return {"mean": np.zeros(0), "scale": np.zeros(0), "safe_scale": np.zeros(0), "components": np.zeros((0, 0)), "explained": np.zeros(0), "total": 0.0}
+    center, d = np.array(first["v"]), len(first["v"])
+    shared = rows.sparkSession.sparkContext.broadcast(center)
+
+    def read(batch: pa.RecordBatch, center: np.ndarray) -> np.ndarray:
+        return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - center
+
+    def sizes(batch: pa.RecordBatch, held: dict) -> None:
+        x = read(batch, shared.value)
+        hold(held, (0, 0), np.array([float(len(x))]))
+        hold(held, (0, 1), x.sum(0))
+        hold(held, (0, 2), (x * x).sum(0))
+
+    sums = summed(rows, sizes)
+    n = int(sums[0, 0][0])
+    mean = sums[0, 1] / n
+    scale = np.sqrt(np.clip(sums[0, 2] / n - mean * mean, 0, None))
+    safe = np.where(scale > 1e-12, scale, 1.0) if standardize else np.ones_like(scale)
+    total = float(((scale / safe) ** 2).sum())
+    k = max(1, min(components, n, d))
+    width = min(d, k + extra)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    before = None
+    for _ in range(passes):
+        here = rows.sparkSession.sparkContext.broadcast((center + mean, basis / safe[:, None]))
+
+        def products(batch: pa.RecordBatch, held: dict, here=here) -> None:
+            middle, b = here.value
+            x = read(batch, middle)
+            found = x.T @ (x @ b)
+            for at in range(0, len(found), 256):
+                hold(held, (0, at // 256), found[at : at + 256].ravel())
+
+        sums = summed(rows, products)
+        image = np.concatenate([sums[0, i] for i in range(len(sums))]).reshape(d, width) / n / safe[:, None]
+        inner = basis.T @ image
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, vectors = values[::-1][:k], basis @ turn[:, ::-1][:, :k]
+        if width == d or before is not None and np.abs(values - before).max() <= tol * max(total, 1e-300):
+            break
+        before, basis = values, np.linalg.qr(image)[0]
+    vectors = vectors.T
+    vectors = vectors * np.where(vectors[np.arange(k), np.abs(vectors).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+    return {"mean": center + mean, "scale": scale, "safe_scale": safe, "components": vectors, "explained": np.clip(values, 0, None) / max(total, 1e-300), "total": total}
+
+
+def group_coordinates(rows: DataFrame, group: str, space: dict) -> DataFrame:
+    """(group, count, coordinates): the centroid of each group's values in a subspace, null groups left out."""
+    means = mean_vectors(rows.where(F.col(group).isNotNull() & F.col("values").isNotNull()), [group], "values")
+    return project_rows(means, space).select(group, "count", "coordinates")
+
+
 def project_rows(rows: DataFrame, space: dict) -> DataFrame:
     """rows with coordinates: the standardized values along each component."""
     lit = lambda v: F.array(*[F.lit(float(x)) for x in v])

@@ -108,9 +108,10 @@ def _each(x: np.ndarray, at: np.ndarray, task: np.ndarray, y: np.ndarray) -> Ite
         yield int(t), x[at[own]], y[own]
 
 
-def _sums(rows: DataFrame, add, schema_width: str = "double") -> dict[tuple[int, int], np.ndarray]:
-    """Vectors by (model, row): each task's own, from add(batch, held), are added in two steps, a sorted run at a time."""
-    schema = f"model int, row int, part int, v array<{schema_width}>"
+def summed(rows: DataFrame, add) -> dict[tuple[int, int], np.ndarray]:
+    """Vectors by (model, row): each task's own, which add(batch, held) puts in held for batches of values and _in, are added in two
+    steps, a sorted run at a time."""
+    schema = "model int, row int, part int, v array<double>"
     names = ["model", "row", "part", "v"]
 
     def table(model, row, part, vectors) -> pa.RecordBatch:
@@ -148,7 +149,7 @@ def _sums(rows: DataFrame, add, schema_width: str = "double") -> dict[tuple[int,
     return {(r["model"], r["row"]): np.array(r["v"]) for r in found.select("model", "row", "v").collect()}
 
 
-def _hold(held: dict, key: tuple[int, int], v: np.ndarray) -> None:
+def hold(held: dict, key: tuple[int, int], v: np.ndarray) -> None:
     held[key] = held[key] + v if key in held else v
 
 
@@ -191,11 +192,11 @@ def _bases(rows: DataFrame, tasks: Sequence[Task]) -> tuple[np.ndarray, dict[int
         center, classes, whole = shared.value
         for t, x, y in _each(*_read(batch)):
             x = x - center
-            _hold(held, (t, 0), np.bincount(y, minlength=classes[t]).astype(float))
-            _hold(held, (t, 1), x.sum(0))
-            _hold(held, (t, 2), (x.T @ x).ravel() if whole[t] else (x * x).sum(0))
+            hold(held, (t, 0), np.bincount(y, minlength=classes[t]).astype(float))
+            hold(held, (t, 1), x.sum(0))
+            hold(held, (t, 2), (x.T @ x).ravel() if whole[t] else (x * x).sum(0))
 
-    sums = _sums(rows, add)
+    sums = summed(rows, add)
     bases = {}
     for i, t in enumerate(tasks):
         if (i, 0) not in sums:
@@ -268,12 +269,12 @@ def evaluate(rows: DataFrame, center: np.ndarray, params: dict[int, tuple[int, n
             x = np.concatenate([x - center, np.ones((len(x), 1))], 1)
             for m in by_task.get(t, ()):
                 loss, gradient, square = _part(x, y, params[m][1], params[m][2], hessian)
-                _hold(held, (m, 0), np.concatenate([[loss], gradient]))
+                hold(held, (m, 0), np.concatenate([[loss], gradient]))
                 if square is not None:
                     for i in range(0, len(square), 64):
-                        _hold(held, (m, 1 + i // 64), square[i : i + 64].ravel())
+                        hold(held, (m, 1 + i // 64), square[i : i + 64].ravel())
 
-    return _sums(rows, add)
+    return summed(rows, add)
 
 
 def _direction(fit: _Fit, gradient: np.ndarray, hessian: np.ndarray | None) -> np.ndarray:

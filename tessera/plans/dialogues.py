@@ -17,7 +17,8 @@ SELECT conv_id, turn, md5(CASE k WHEN 0 THEN trim(text) WHEN 1 THEN trim(text) W
 def txt_story_trim(spark, sf_dir):
     nl = "\n\n"
     said = (
-        F.when(F.col("turn") % 5 == 0, F.concat("text", F.lit(f"{nl}Note that all names are invented.{nl}More.")))
+        F.when(F.col("turn") % 10 == 0, F.concat("text", F.lit(f"{nl}Told without using the\n word, as a direct\nsynonym would.{nl}More.")))
+        .when(F.col("turn") % 5 == 0, F.concat("text", F.lit(f"{nl}Note that all names are invented.{nl}More.")))
         .when(F.col("turn") % 5 == 1, F.concat("text", F.lit(f"{nl}Here are the\nfive stories.{nl}Rest")))
         .when(F.col("turn") % 5 == 2, F.concat("text", F.lit(f"{nl}The end. Let me know if you want me to revise them.{nl}X")))
         .when(F.col("turn") % 5 == 3, F.concat(F.lit(f"I hope these are accurate.{nl}"), "text"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, doubles, mean_vectors, norm, rounded, softmax, top_k
-from tessera.operators import patch, project, represent, routing, tokens
+from tessera.operators import geometry, patch, project, represent, routing, tokens
 from tessera.operators.reports import pair_table
 from tessera.plans.registry import query, table
 
@@ -144,6 +144,25 @@ def rep_pca_variance(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(space["explained"])], "component int, explained double")
 
 
+@query()
+def rep_range_variance(spark, sf_dir):
+    space = represent.range_subspace(vectors(spark, sf_dir), 5)
+    return spark.createDataFrame([(i, round(float(e), 4)) for i, e in enumerate(space["explained"])], "component int, explained double")
+
+
+@query()
+def rep_group_coordinates(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    found = represent.group_coordinates(rows, "label", represent.range_subspace(rows, 3))
+    return found.select("label", "count", F.transform("coordinates", lambda x: F.bround(x, 3)).alias("coordinates"))
+
+
+@query()
+def rep_concept_geometry(spark, sf_dir):
+    means = mean_vectors(layered(spark, sf_dir), ["layer", "label"], "values").select("layer", F.col("label").cast("string").alias("concept"), F.col("values").alias("vector"))
+    return geometry.concept_geometry(means, 2, 3)
+
+
 @query()
 def rep_subspace_coordinates(spark, sf_dir):
     rows = vectors(spark, sf_dir)
