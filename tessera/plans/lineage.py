@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import rounded
 from tessera.operators import catalog, lineage
 from tessera.plans.registry import query, table
+from tessera.streaming import progress
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity FROM lineitem WHERE l_orderkey = 7")
@@ -151,3 +152,41 @@ def cat_staged_upsert(spark, sf_dir):
     changed = orders.where("o_orderkey % 10 = 0")
     stages = changed.select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(1).alias("stage")).unionByName(changed.select("o_orderkey", F.lit("F").alias("o_orderstatus"), F.lit(2).alias("stage")))
     return catalog.upsert(orders.withColumn("stage", F.lit(0)), stages, ["o_orderkey"], F.col("stage")).drop("stage")
+
+
+#: Events as progress of 20 runs, with a step for each type of event.
+_PROGRESS = """
+p AS (SELECT 'r' || (user_id % 20) AS run_id, event_type AS step_name, length(event_type)::INT AS step_index, CASE event_id % 3 WHEN 0 THEN 'Running' WHEN 1 THEN 'DONE' ELSE 'failed' END AS status,
+  's' || (event_id % 5) AS stage, event_id AS sequence, event_id::VARCHAR AS event_id, CASE WHEN event_id % 4 = 0 THEN 'k' || (event_id % 7) END AS runtime_kind,
+  CASE WHEN event_id % 2 = 0 THEN value END AS v, CASE WHEN event_id % 3 = 0 THEN event_id::DOUBLE END AS n FROM events)
+"""
+
+
+def _progress(spark, sf_dir):
+    e, event = table(spark, sf_dir, "events"), F.col("event_id")
+    number = lambda c, when: F.when(when, F.create_map(F.lit(c[0]), c[1].cast("double"))).otherwise(F.create_map().cast("map<string,double>"))
+    return e.select(
+        F.concat(F.lit("r"), (F.col("user_id") % 20).cast("string")).alias("run_id"), F.col("event_type").alias("step_name"), F.length("event_type").alias("step_index"),
+        F.element_at(F.array(*map(F.lit, ("Running", "DONE", "failed"))), (event % 3 + 1).cast("int")).alias("status"), F.concat(F.lit("s"), (event % 5).cast("string")).alias("stage"),
+        event.cast("long").alias("sequence"), event.cast("string").alias("event_id"), F.when(event % 4 == 0, F.concat(F.lit("k"), (event % 7).cast("string"))).alias("runtime_kind"),
+        F.lit(None).cast("string").alias("runtime_app_id"), F.map_concat(number(("v", F.col("value")), event % 2 == 0), number(("n", event), event % 3 == 0)).alias("metrics"),
+    )
+
+
+@query(f"""
+WITH {_PROGRESS}
+SELECT run_id, step_name, max(sequence) AS sequence, arg_max(status, sequence) AS status, arg_max(stage, sequence) AS stage, arg_max(runtime_kind, sequence) FILTER (runtime_kind IS NOT NULL) AS runtime_kind,
+       round_even(arg_max(v, sequence) FILTER (v IS NOT NULL), 4) + 0 AS v, arg_max(n, sequence) FILTER (n IS NOT NULL) AS n FROM p GROUP BY run_id, step_name
+""")
+def cat_progress_snapshots(spark, sf_dir):
+    found = progress.snapshots(_progress(spark, sf_dir))
+    return found.select("run_id", "step_name", "sequence", "status", "stage", "runtime_kind", rounded(F.try_element_at("metrics", F.lit("v"))).alias("v"), F.try_element_at("metrics", F.lit("n")).alias("n"))
+
+
+@query(f"""
+WITH {_PROGRESS}, l AS (SELECT run_id, step_name, lower(arg_max(status, sequence)) AS status, max(step_index) AS i FROM p WHERE step_name IS NOT NULL GROUP BY ALL),
+t AS (SELECT run_id, greatest(max(i) + 1, count(*))::BIGINT AS step_total FROM l GROUP BY run_id)
+SELECT run_id, status, count(*) AS steps, step_total FROM l JOIN t USING (run_id) GROUP BY ALL
+""")
+def cat_run_summaries(spark, sf_dir):
+    return progress.run_summaries(_progress(spark, sf_dir)).select("run_id", F.explode("step_counts").alias("status", "steps"), "step_total")
