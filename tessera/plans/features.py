@@ -9,6 +9,7 @@ from tessera.functions.vectors import dot, doubles, mean_vectors, norm, rounded,
 from tessera.operators import geometry, patch, project, represent, routing, tokens
 from tessera.operators.reports import pair_table
 from tessera.plans.registry import query, table
+from tessera.sources import arrays
 
 _LAYERS, _DIMS, _TOKENS, _TOKEN_DIMS = 4, 16, 8, 8
 _POS, _NEG = "label = 0", "label = 1"
@@ -586,3 +587,14 @@ def tok_negative_slice(spark, sf_dir):
 @query(f"WITH {_SECTIONS} SELECT vec_id AS example_key, section, 0 AS token_pos, count(DISTINCT pos) AS overlap FROM sec GROUP BY ALL")
 def tok_pooled_sections(spark, sf_dir):
     return tokens.pooled_sections(_sections(spark, sf_dir))
+
+
+@query(f"""
+WITH {_E}, n AS (SELECT vec_id, sqrt(sum(v * v)) AS norm FROM e GROUP BY vec_id)
+SELECT 'v' || vec_id AS coordinate, 0 AS layer, d::INT AS dim, round_even(v / norm, 4) + 0 AS value, round_even(norm, 4) + 0 AS norm FROM e JOIN n USING (vec_id)
+""")
+def rep_array_import(spark, sf_dir):
+    """Each vector as an array file, read as a coordinate."""
+    files = vectors(spark, sf_dir).select(F.format_string("in/v%d.npy", "example_key").alias("path"), arrays.npy_bytes(F.col("values")).alias("content"))
+    found = arrays.coordinates(arrays.arrays(files))
+    return elements(found.withColumn("norm", rounded(F.col("norm"))), "vector", "coordinate", "layer", "norm")

@@ -73,21 +73,29 @@ def read_file(spark: SparkSession, path: str, place: Sequence[str] = ()) -> Data
     raise ValueError(f"no reader for {path}: .json, .jsonl or .parquet")
 
 
-def read_packs(spark: SparkSession, packs: Mapping[str, str], limit_per_file: int | None = None, order: str | None = None) -> DataFrame:
+def read_packs(
+    spark: SparkSession, packs: Mapping[str, str], limit_per_file: int | None = None, order: str | None = None,
+    given: Mapping[str, Mapping[str, str]] | None = None, limit: int | None = None,
+) -> DataFrame:
     """JSON files by source name, with the columns source, row and example_key ({source}_{row:06d}, counted per file).
 
     Rows are counted in the order of the column `order`, or that of the file: by the place of the split and the row in it,
-    which are the same in every read.
+    which are the same in every read. given has, by source, columns of fixed text, such as labels, which replace those of the file. limit is the number of rows
+    of all files, taken in the order of the packs and of their rows.
     """
-    parts = []
-    for source, path in packs.items():
+    parts, columns = [], list(dict.fromkeys(c for named in (given or {}).values() for c in named))
+    for at, (source, path) in enumerate(packs.items()):
         records = read_file(spark, path, ["_file", "_split"]).withColumn("_at", F.monotonically_increasing_id())
         part = number_rows(records, [*([order] if order else []), "_file", "_split", "_at"], "row").withColumn("source", F.lit(source))
+        named = (given or {}).get(source, {})
+        part = part.withColumns({c: F.lit(named[c]) if c in named else F.col(c) if c in part.columns else F.lit(None).cast("string") for c in columns} | {"_pack": F.lit(at)})
         parts.append((part.where(F.col("row") < limit_per_file) if limit_per_file else part).drop("_at", "_file", "_split"))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part, allowMissingColumns=True)
-    return whole.withColumn("example_key", F.format_string("%s_%06d", "source", "row"))
+    if limit is not None:
+        whole = whole.orderBy("_pack", "row").limit(limit)
+    return whole.drop("_pack").withColumn("example_key", F.format_string("%s_%06d", "source", "row"))
 
 
 def read_table(spark: SparkSession, url: str, table: str | None = None, sql: str | None = None, properties: Mapping[str, str] | None = None, **partitioning) -> DataFrame:

@@ -30,6 +30,9 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         src.read_file(spark, "x.csv")
     packs = src.read_packs(spark, {"a": str(tmp_path / "a.json"), "b": str(tmp_path / "b.jsonl")}, 1)
+    named = src.read_packs(spark, {"b": str(tmp_path / "b.jsonl"), "a": str(tmp_path / "a.json")}, given={"a": {"side": "x"}}, limit=1)
+    assert [(r["source"], r["side"], r["example_key"]) for r in named.collect()] == [("b", None, "b_000000")]
+    assert {(r["source"], r["side"]) for r in src.read_packs(spark, {"b": str(tmp_path / "b.jsonl"), "a": str(tmp_path / "a.json")}, given={"a": {"side": "x"}}).collect()} == {("a", "x"), ("b", None)}
     assert sorted(r["example_key"] for r in packs.collect()) == ["a_000000", "b_000000"]
 
 
