@@ -52,6 +52,15 @@ def scale(a: Column, by: Column | float) -> Column:
     return F.transform(a, lambda x: x * by)
 
 
+def without_components(a: Column, components) -> Column:
+    """The vector without its part in the span of orthonormal components (rows of numbers)."""
+    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    left = a
+    for c in components:  # each part is that of the vector itself, as the components are orthonormal
+        left = minus(left, scale(lit(c), dot(a, lit(c))))
+    return left
+
+
 def softmax(a: Column) -> Column:
     """Exponentials of the differences to the greatest element, over their sum."""
     top = F.array_max(a)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.scratch import Scratch
-from tessera.llm.words import hashed_texts, mix, word_blocks
+from tessera.llm.words import BASE, hashed_texts, mix, word_blocks
 
 #: Lanes and fingerprints of a tile up to a radius; a pair of tiles is a row of about 8 KB, or 32 KB.
 _NEAR, _LANES, TILE = 3, 4, 512
@@ -33,8 +33,11 @@ _FAR_LANES, FAR_TILE = 1, 2048
 #: A lane's count is at most 64; sums of signatures stay apart in this base.
 _BASE = 256
 #: Near duplicates of the pipeline: shingles of five words, a similarity of 0.8. Fingerprints of texts that similar
-#: differ in 10 bits on average, and 95 of 100 such pairs in 14 or fewer.
-SHINGLE_WORDS, SIMILARITY, RADIUS = 5, 0.8, 14
+#: differ in 10 bits on average, and 97 of 100 such pairs in 15 or fewer.
+SHINGLE_WORDS, SIMILARITY, RADIUS = 5, 0.8, 15
+#: Bits that a fingerprint and a second one, from other hashes of the same shingles, differ in together: 19 on average. Unrelated texts that
+#: are within the radius by chance are told by it, so that hardly any of their links stand between those of similar texts.
+BOTH = 28
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -50,28 +53,42 @@ def _ones(hashes: list[int]) -> np.ndarray:
 
 def simhash(text: str | None, shingle_words: int = 3) -> int:
     """Bit i is 1 if it is 1 in over half of the hashes of the text's shingles; 0 where there are no words."""
-    total, count, tail = np.zeros(64, np.int64), 0, []
+    return _prints(text, shingle_words, False)[0]
+
+
+def _prints(text: str | None, shingle_words: int, second: bool) -> tuple[int, int]:
+    """The fingerprint of a text, and one of other hashes of its shingles (or 0)."""
+    total, other, count, tail = np.zeros(64, np.int64), np.zeros(64, np.int64), 0, []
     for words in word_blocks((text or "").encode().lower()):  # bytes.lower() maps A-Z only
         words = tail + words
         hashes = list(map(_hash, map(b" ".join, zip(*(words[i:] for i in range(shingle_words))))))
         total += _ones(hashes)
+        if second:
+            other += _ones(_rehashed(hashes))
         count += len(hashes)
         tail = words[max(0, len(words) - shingle_words + 1) :]
     if not count:
-        return _hash(b" ".join(tail)) if tail else 0
-    return int.from_bytes(np.packbits(2 * total > count, bitorder="little").tobytes(), "little")
+        one = _hash(b" ".join(tail)) if tail else 0
+        return one, int(_rehashed([one])[0]) if tail and second else 0
+    return tuple(int.from_bytes(np.packbits(2 * t > count, bitorder="little").tobytes(), "little") for t in (total, other))
+
+
+def _rehashed(hashes: list[int]) -> np.ndarray:
+    return mix(np.array(hashes, np.uint64) ^ np.uint64(BASE))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id_col, fp long) for each row; fp holds the 64 bits. A null text has no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, second: bool = False) -> DataFrame:
+    """(id_col, fp long) for each row, and fp2 with `second`; fp holds the 64 bits. A null text has no words."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["fp", "fp2"] if second else ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(t.as_py(), shingle_words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            found = np.array([_prints(t.as_py(), shingle_words, second) for t in batch.column(1)], np.uint64).reshape(-1, 2)
+            prints = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *prints], names=[id_col, *names])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def _signature(fp: Column, lanes: int) -> Column:
@@ -88,15 +105,20 @@ def _offsets(radius: int, lanes: int) -> list[int]:
     return sorted(s for s in sums if s >= 0)
 
 
-def _forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a pair of tiles that connect what all its links connect: a spanning forest of the nearest ones."""
+def _forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool, second: tuple[np.ndarray, np.ndarray] | None = None, both: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a pair of tiles that connect what all its links connect: a spanning forest of the nearest ones.
+
+    With second fingerprints, links differ in at most `both` bits of the two together.
+    """
     nodes = left if same else np.concatenate([left, right])
     found = []
     for start in range(0, len(left), 256):
         bits = np.bitwise_count(left[start : start + 256, None] ^ right[None, :])
         one, two = np.nonzero(bits <= radius)
         one, two, bits = (one + start).astype(np.int32), two.astype(np.int32), bits[one, two]
-        once = one < two if same else slice(None)
+        if second:
+            bits = bits + np.bitwise_count(second[0][one] ^ second[1][two])
+        once = (one < two if same else np.ones(len(one), bool)) & ((bits <= both) if second else True)
         found.append((one[once], two[once] + (0 if same else len(left)), bits[once]))
     one, two, bits = (np.concatenate(c) for c in zip(*found))
     order = np.argsort(bits, kind="stable")
@@ -128,14 +150,19 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tup
         label = to[label]
 
 
-def near_links(distinct: DataFrame, radius: int, scratch: Scratch, tile: int | None = None) -> DataFrame:
-    """(src, dst): links of the distinct fingerprints (column fp) that connect all which differ in radius bits or less."""
+def near_links(distinct: DataFrame, radius: int, scratch: Scratch, tile: int | None = None, both: int | None = None) -> DataFrame:
+    """(src, dst): links of the distinct fingerprints (column fp) that connect all which differ in radius bits or less.
+
+    With `both`, distinct has second fingerprints (fp2) too, and links differ in at most so many bits of the two together.
+    """
     lanes, tile = (_LANES, tile or TILE) if radius <= _NEAR else (_FAR_LANES, tile or FAR_TILE)
-    signed = distinct.select("fp", _signature(F.col("fp"), lanes).alias("sig"))
+    columns = ["fp"] if both is None else ["fp", "fp2"]
+    signed = distinct.select(*columns, _signature(F.col("fp"), lanes).alias("sig"))
     # At most 17 ** 4 signatures, whatever the input: a table of at most 83,521 small rows.
     parts = signed.groupBy("sig").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     dealt = signed.join(F.broadcast(parts), "sig").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
-    tiles = scratch.write(dealt.groupBy("sig", "part").agg(F.collect_list("fp").alias("fps")), "tiles")
+    listed = F.collect_list("fp") if both is None else F.flatten(F.collect_list(F.array(*columns)))
+    tiles = scratch.write(dealt.groupBy("sig", "part").agg(listed.alias("fps")), "tiles")
     left = tiles.select(
         F.col("sig").alias("sig_a"), F.col("part").alias("part_a"), F.col("fps").alias("a"), F.explode(F.array(*map(F.lit, _offsets(radius, lanes)))).alias("step")
     ).withColumn("sig", F.col("sig_a") + F.col("step"))
@@ -145,8 +172,9 @@ def near_links(distinct: DataFrame, radius: int, scratch: Scratch, tile: int | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, same in zip(*(batch.column(i) for i in range(3))):
-                one, two = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (a, b))
-                src, dst = _forest(one, two, radius, same.as_py())
+                one, two = (x.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, len(columns)).T.copy() for x in (a, b))
+                second = (one[1], two[1]) if both is not None else None
+                src, dst = _forest(one[0], two[0], radius, same.as_py(), second, both or 0)
                 if len(src):
                     yield pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], names=["src", "dst"])
 
@@ -219,11 +247,11 @@ def _similar(rows: DataFrame, pairs: DataFrame, shingle_words: int, similarity:
 
 
 def simhash_dedup(
-    docs: DataFrame, text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id"
+    docs: DataFrame, text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", both: int = BOTH
 ) -> DataFrame:
     """The rows of docs but those of whose group another stays; all columns, whatever their names.
 
-    Links between texts whose fingerprints differ in at most radius bits are checked: the shingles that two texts have
+    Links between texts whose fingerprints differ in at most radius bits, and in at most `both` with second fingerprints, are checked: the shingles that two texts have
     in common are at least `similarity` of those of either. What links connect is a group, and of each the row with the
     least id stays, of equal ids that with the least hash of the row; rows without an id come last. Texts without words, null
     ones too, are one group. An empty table gives no rows.
@@ -232,12 +260,12 @@ def simhash_dedup(
     whole = scratch.ordered(docs, id_col, "_row")
     rows = whole.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
     digests = rows.select("row", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    found = scratch.write(fingerprints(rows, "row", "text", shingle_words), "fingerprints")
+    found = scratch.write(fingerprints(rows, "row", "text", shingle_words, True), "fingerprints")
     prints = found.join(digests, "row")
     # Equal texts are told by their digests; of different ones with a fingerprint, all are linked to the first.
-    texts = scratch.write(prints.groupBy("fp", "digest").agg(F.min("row").alias("row")), "texts")
-    firsts = scratch.write(texts.groupBy("fp").agg(F.min("row").alias("first")), "firsts")
-    links = near_links(firsts, radius, scratch)
+    texts = scratch.write(prints.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.min_by("fp2", "row").alias("fp2")), "texts")
+    firsts = scratch.write(texts.groupBy("fp").agg(F.min("row").alias("first"), F.min_by("fp2", "row").alias("fp2")), "firsts")
+    links = near_links(firsts, radius, scratch, both=both)
     ends = [firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_row")) for end in ("src", "dst")]
     far = links.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_row").alias("src"), F.col("dst_row").alias("dst"))
     same = texts.join(firsts, "fp").where("row != first").select(F.col("row").alias("src"), F.col("first").alias("dst"))

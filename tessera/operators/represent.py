@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import condition, doubles, mean_vectors, minus, norm, unit
+from tessera.functions.vectors import condition, doubles, mean_vectors, minus, norm, unit, without_components
 
 
 #: Parts in which the products of many tasks are added before they are added together.
@@ -65,16 +65,35 @@ def centroids(rows: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
     return mean_vectors(named, [*keys, label], "values")
 
 
-def concept_space(rows: DataFrame, concept: str, min_examples: int = 1, keys: list[str] = ()) -> DataFrame:
+def concept_space(rows: DataFrame, concept: str, min_examples: int = 1, keys: list[str] = (), neutral: dict | np.ndarray | None = None) -> DataFrame:
     """keys, concept, raw_vector (its mean less the unweighted mean of all concepts' means), vector, norm, count.
 
-    Concepts with fewer examples go before the mean of means is taken.
+    Concepts with fewer examples go before the mean of means is taken; dropped_concepts() lists them. neutral has orthonormal components whose part is taken away from
+    the raw vectors: one matrix, or one for each value of the first key; a value without one keeps its vectors. No concept left is an error.
     """
+    keys = list(keys)
     means = centroids(rows, concept, keys).where(F.col("count") >= min_examples)
-    center = mean_vectors(means, list(keys), "values", "_n").select(*keys, F.col("values").alias("_center"))
-    both = means.join(center, list(keys)) if keys else means.withColumn("_center", F.lit(_one(center, "_center")))
-    raw = both.withColumn("raw_vector", minus(F.col("values"), F.col("_center")))
-    return raw.select(*keys, concept, "raw_vector", unit(F.col("raw_vector")).alias("vector"), norm(F.col("raw_vector")).alias("norm"), "count")
+    if means.isEmpty():
+        raise ValueError(f"no concept has {min_examples} examples")
+    center = mean_vectors(means, keys, "values", "_n").select(*keys, F.col("values").alias("_center"))
+    both = means.join(center, keys) if keys else means.withColumn("_center", F.lit(_one(center, "_center")))
+    raw = minus(F.col("values"), F.col("_center"))
+    if isinstance(neutral, dict):
+        cases = [(F.col(keys[0]) == F.lit(k), without_components(raw, c)) for k, c in neutral.items()]
+        whole = raw
+        for case, left in cases:
+            whole = F.when(case, left).otherwise(whole)
+        raw = whole
+    elif neutral is not None:
+        raw = without_components(raw, neutral)
+    both = both.withColumn("raw_vector", raw)
+    return both.select(*keys, concept, "raw_vector", unit(F.col("raw_vector")).alias("vector"), norm(F.col("raw_vector")).alias("norm"), "count")
+
+
+def dropped_concepts(rows: DataFrame, concept: str, min_examples: int, keys: list[str] = ()) -> DataFrame:
+    """(keys, concept, count) of the concepts that concept_space() leaves out."""
+    named = rows.where("values is not null").withColumn(concept, F.coalesce(F.col(concept).cast("string"), F.lit("None")))
+    return named.groupBy(*keys, concept).agg(F.count("*").alias("count")).where(F.col("count") < min_examples)
 
 
 def role_axis(rows: DataFrame, role: str, default: Column, min_examples: int = 1) -> DataFrame:

@@ -55,16 +55,28 @@ def cap_groups(rows: DataFrame, group: str, order: Sequence[Column], cap: int) -
     return rows.withColumn("rank", rank).where(F.col("rank") <= cap)  # limited within partitions before the shuffle
 
 
-def map_label(rows: DataFrame, label: str, mapping: Mapping[str, str], default: str | None = None, name: str = "mapped") -> DataFrame:
-    """The label, as text, looked up in the mapping; without an entry, the default. A null label is the text "None"."""
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+def map_label(rows: DataFrame, label: str, mapping: Mapping[str, str], default: str | None = None, name: str = "mapped", strict: bool = False) -> DataFrame:
+    """The label, as text, looked up in the mapping; without an entry, the default. A null label is the text "None".
+
+    With strict, a label without an entry is an error instead.
+    """
+    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]) if mapping else F.create_map().cast("map<string,string>")
     text = F.coalesce(F.col(label).cast("string"), F.lit("None"))
-    return rows.withColumn(name, F.coalesce(F.element_at(table, text), F.lit(default)))
+    other = F.raise_error(F.concat(F.lit(f"{label} has no entry for "), text)) if strict else F.lit(default)
+    return rows.withColumn(name, F.coalesce(F.try_element_at(table, text), other))
+
 
+def label_fields(rows: DataFrame, column: str, fields: Mapping[str, str], strict: bool = False) -> DataFrame:
+    """New text columns from the top-level fields of a JSON object given as text; null where they are absent.
 
-def label_fields(rows: DataFrame, column: str, fields: Mapping[str, str]) -> DataFrame:
-    """New text columns from the top-level fields of a JSON object given as text; null where they are absent."""
-    return rows.withColumns({name: F.get_json_object(column, f"$.{field}") for name, field in fields.items()})
+    With strict, an absent field is an error instead; a null one stays null.
+    """
+    if not strict:
+        return rows.withColumns({name: F.get_json_object(column, f"$.{field}") for name, field in fields.items()})
+    keys = F.json_object_keys(column)
+    absent = lambda f: ~F.coalesce(F.array_contains(keys, f), F.lit(False))
+    value = lambda f: F.when(absent(f), F.raise_error(F.lit(f"{column} has no field {f}"))).otherwise(F.get_json_object(column, f"$.{f}"))
+    return rows.withColumns({name: value(field) for name, field in fields.items()})
 
 
 def sections_where(records: DataFrame, column: str, names: Sequence[str] = (), **wanted: str) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import doubles
@@ -407,6 +407,34 @@ def score_tasks(rows: DataFrame, key: str, tasks: Sequence[Task], models: Sequen
     return members.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+def model_table(spark: SparkSession, models: Sequence[Model], classes: Sequence[Sequence[str]]) -> DataFrame:
+    """A row for each fitted model, to be written as a table: task, strength, classes, coef, intercept, standard, mean, scale, n_train.
+
+    classes has the labels of each task's class numbers.
+    """
+    listed = lambda m: [[float(x) for x in row] for row in np.atleast_2d(m)]
+    rows = [(m.task, float(m.strength), [str(c) for c in classes[m.task]], listed(m.coef), m.intercept.tolist(), listed(m.standard), m.mean.tolist(), m.scale.tolist(), m.n_train) for m in models if m.fitted]
+    matrix, vector = "array<array<double>>", "array<double>"
+    return spark.createDataFrame(rows, f"task int, strength double, classes array<string>, coef {matrix}, intercept {vector}, standard {matrix}, mean {vector}, scale {vector}, n_train long")
+
+
+def read_models(table: DataFrame) -> tuple[list[Model], dict[int, list[str]]]:
+    """The models of model_table(), and the labels of each task; ValueError for one whose parts don't fit together, or for more than MOST_MODELS."""
+    found = table.limit(MOST_MODELS + 1).collect()
+    if len(found) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    models, classes = [], {}
+    for r in sorted(found, key=lambda r: (r["task"], r["strength"])):
+        outputs, width = (1 if len(r["classes"]) == 2 else len(r["classes"])), len(r["mean"])
+        if len(r["classes"]) < 2 or {len(r["coef"]), len(r["intercept"]), len(r["standard"])} != {outputs} or {len(x) for x in (*r["coef"], *r["standard"], r["scale"])} != {width}:
+            raise ValueError(f"model {r['task']}, {r['strength']} is no whole model")
+        if classes.setdefault(r["task"], r["classes"]) != r["classes"]:
+            raise ValueError(f"task {r['task']} has models of different classes")
+        coef, intercept, standard, mean, scale = (np.array(r[c], float) for c in ("coef", "intercept", "standard", "mean", "scale"))
+        models.append(Model(r["task"], r["strength"], True, coef, intercept, standard, mean, scale, r["n_train"]))
+    return models, classes
+
+
 def staged(
     rows: DataFrame, key: str, stages: Sequence[Column], y: Column, classes: int, epochs: Sequence[int] = (),
     alpha: float = 1e-4, rate: float = 1.0, batches: int = 4, seed: int = 42,

@@ -23,6 +23,37 @@ def slice_tokens(tokens: DataFrame, start: int, stop: int | None) -> DataFrame:
     return (cut if stop is None else cut.where(F.col("token_pos") < bound(stop))).drop("_n")
 
 
+def full_sequence(tokens: DataFrame) -> DataFrame:
+    """All tokens, with index and n_tokens: the place among the tokens of their example and layer, and how many there are."""
+    keys = [c for c in ("example_key", "layer") if c in tokens.columns]
+    group = Window.partitionBy(*keys)
+    return tokens.withColumns({"index": F.row_number().over(group.orderBy("token_pos")) - 1, "n_tokens": F.count("*").over(group)})
+
+
+def select_section(tokens: DataFrame, sections: DataFrame, name: str) -> DataFrame:
+    """Tokens of the named section (example_key, section, token_pos); ValueError, with a sample, if an example has no token in it."""
+    chosen = in_sections(tokens, sections.where(F.col("section") == name))
+    gone = tokens.select("example_key").distinct().join(chosen.select("example_key"), "example_key", "left_anti")
+    lacking = sorted(r[0] for r in gone.limit(5).collect())
+    if lacking:
+        raise ValueError(f"examples without a token in section {name!r}, such as {lacking}")
+    return chosen.drop("section")
+
+
+def pool_positions(tokens: DataFrame, positions: DataFrame, keys: list[str], how: str = "mean") -> DataFrame:
+    """keys, values, n_tokens: the tokens at listed positions (keys, place, token_pos), pooled in the order of place.
+
+    A position that comes twice counts twice in the mean; first and last are those of the list, not of the text. A listed position without a token is an error.
+    """
+    rows = positions.join(tokens, [*keys, "token_pos"], "left")
+    given = F.when(F.col("values").isNull(), F.raise_error(F.concat(F.lit("no token at position "), F.col("token_pos").cast("string")))).otherwise(F.col("values"))
+    rows = rows.select(*keys, "place", given.alias("values"))
+    if how == "mean":
+        return mean_vectors(rows, keys, "values", "n_tokens")
+    pick = {"first": F.min_by, "last": F.max_by}[how]
+    return rows.groupBy(*keys).agg(pick(doubles("values"), F.col("place")).alias("values"), F.count("*").alias("n_tokens"))
+
+
 def missing_sections(tokens: DataFrame, sections: DataFrame, name: str) -> DataFrame:
     """Keys of examples that lack the named section, which a selection by section must not have."""
     return tokens.select("example_key").distinct().join(sections.where(F.col("section") == name), "example_key", "left_anti")
@@ -79,6 +110,16 @@ def overlap(spans: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
     return spans.join(tokens, key).where(met).select(key, "name", "token_pos")
 
 
+def section_tokens(spans: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """overlap(), and ValueError, with a sample, if a span has characters and no token."""
+    found = overlap(spans, tokens, key)
+    gone = spans.where(F.col("end") > F.col("begin")).select(key, "name").join(found.select(key, "name"), [key, "name"], "left_anti")
+    lacking = sorted(map(tuple, gone.limit(5).collect()))
+    if lacking:
+        raise ValueError(f"sections without tokens, such as {lacking}")
+    return found
+
+
 def words_with_offsets(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token_pos, token, start, stop): runs of letters, single digits and other characters, and their offsets."""
     tokens = F.regexp_extract_all(text, F.lit(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]|\s+"), 0)

@@ -598,3 +598,35 @@ def rep_array_import(spark, sf_dir):
     files = vectors(spark, sf_dir).select(F.format_string("in/v%d.npy", "example_key").alias("path"), arrays.npy_bytes(F.col("values")).alias("content"))
     found = arrays.coordinates(arrays.arrays(files))
     return elements(found.withColumn("norm", rounded(F.col("norm"))), "vector", "coordinate", "layer", "norm")
+
+
+@query(f"""
+WITH {_E}, m AS (SELECT d // 16 AS layer, label, d % 16 AS dim, avg(v) AS v, count(*) AS n FROM e GROUP BY ALL),
+r AS (SELECT layer, label, dim, v - avg(v) OVER (PARTITION BY layer, dim) AS raw FROM m WHERE n >= 5),
+p AS (SELECT *, CASE WHEN layer = 1 THEN (sum(raw) FILTER (dim < 2) OVER (PARTITION BY layer, label)) / 2 ELSE 0 END AS along FROM r)
+SELECT layer::INT AS layer, label::VARCHAR AS label, dim::INT AS dim, round_even(raw - CASE WHEN dim < 2 THEN along ELSE 0 END, 4) + 0 AS value FROM p
+""")
+def rep_neutral_space(spark, sf_dir):
+    """Layer 1 without its part along the sum of the first two dimensions."""
+    neutral = {1: [[0.5**0.5, 0.5**0.5] + [0.0] * 14]}
+    space = represent.concept_space(layered(spark, sf_dir), "label", 5, ["layer"], neutral)
+    return elements(space, "raw_vector", "layer", "label")
+
+
+@query("SELECT label::VARCHAR AS label, count(*) AS count FROM embeddings GROUP BY label HAVING count(*) < 52")
+def rep_dropped_concepts(spark, sf_dir):
+    return represent.dropped_concepts(vectors(spark, sf_dir), "label", 52)
+
+
+@query(f"""
+WITH {_E}, t AS (SELECT vec_id, d // 8 AS p, d % 8 AS dim, v FROM e), w(place, p) AS (VALUES (0, 6), (1, 2), (2, 6))
+SELECT vec_id AS example_key, 'mean' AS how, dim::INT AS dim, round_even(avg(v), 4) + 0 AS value, 3 AS n_tokens FROM t JOIN w USING (p) GROUP BY ALL
+UNION ALL SELECT vec_id, 'first', dim::INT, round_even(v, 4) + 0, 3 FROM t WHERE p = 6
+""")
+def tok_given_positions(spark, sf_dir):
+    """Positions 6, 2, 6 in this order."""
+    tokens_ = tokened(spark, sf_dir)
+    places = F.posexplode(F.array(*map(F.lit, (6, 2, 6)))).alias("place", "token_pos")
+    listed = vectors(spark, sf_dir).select("example_key", places)
+    found = [elements(tokens.pool_positions(tokens_, listed, ["example_key"], how).withColumn("how", F.lit(how)), "values", "example_key", "how", "n_tokens") for how in ("mean", "first")]
+    return found[0].unionByName(found[1])
