@@ -97,10 +97,10 @@ def txt_content_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(dl.content_text(parts)).alias("digest"))
 
 
-@query("""SELECT doc_id, 'ex_' || substr(sha256('["' || lang || '","' || coalesce(source, '') || '","' || doc_id || '"]'), 1, 16) AS row_id FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
+@query("""SELECT doc_id, 'ex_' || substr(sha256('["' || coalesce(lang, '') || '","' || coalesce(source, '') || '","' || doc_id || '"]'), 1, 16) AS row_id FROM documents""")
 def ds_row_id(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
-    return docs.select("doc_id", dl.row_id("ex_", F.col("lang"), F.col("source"), F.col("doc_id")).alias("row_id"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", dl.row_id("ex_", text("lang"), text("source"), F.col("doc_id")).alias("row_id"))
 
 
 @query("""SELECT conv_id, turn, '[{"name":"' || role || '","index":' || turn || '}]' AS sections FROM conversations""")

@@ -430,13 +430,14 @@ def patch_pairing(spark, sf_dir):
 
 
 @query(f"""
-WITH {_UNITS}, b AS (SELECT vec_id, score FROM s WHERE layer = 0 AND score > 0), v AS (SELECT vec_id, score FROM s WHERE layer = 1 AND score > 0)
+WITH {_UNITS}, b AS (SELECT vec_id, score FROM s WHERE layer = 0), v AS (SELECT vec_id + 1 AS vec_id, score FROM s WHERE layer = 1)
 SELECT coalesce(b.vec_id, v.vec_id) AS example_key, round_even(v.score - b.score, 4) + 0 AS delta_score,
        CASE WHEN b.vec_id IS NULL OR v.vec_id IS NULL THEN 'skipped' ELSE 'ok' END AS status FROM b FULL JOIN v USING (vec_id)
 """)
 def patch_compare(spark, sf_dir):
+    """Each vector against its predecessor: the first and the one after the last have one side only."""
     scored = _layer_scores(spark, sf_dir)
-    base, variant = scored.where("layer = 0 and score > 0"), scored.where("layer = 1 and score > 0")
+    base, variant = scored.where("layer = 0"), scored.where("layer = 1").withColumn("example_key", F.col("example_key") + 1)
     found = patch.compare(base, variant, "example_key", ["score"])
     ok = F.coalesce(F.col("status"), F.lit("skipped"))
     return found.select("example_key", rounded(F.col("delta_score")).alias("delta_score"), ok.alias("status"))
