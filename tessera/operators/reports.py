@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine_or_null, mean_vectors, scale, unit
 
+#: Tiles of points in a table of pairs.
+_TILES = 8
+
 
 def best(rows: DataFrame, metric: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """The row of each group with the greatest metric; the first in order of equal ones, none where all are null."""
@@ -102,11 +105,15 @@ def paired_deltas(rows: DataFrame, keys: Sequence[str], side: str, value: str, b
 def pair_table(points: DataFrame, name: str, vector: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, a, b, cosine for each pair a < b of named vectors of a group.
 
-    Meant for class means and the like: groups of bounded size. Pairs are made by an equi-join on the group.
+    Points are dealt in tiles, and each tile meets each other one in a join of its own, so that the pairs of one group are spread over tasks.
     """
-    group = [F.col(k) for k in keys] or [F.lit(0).alias("_g")]
-    side = lambda n, v: points.select(*group, F.col(name).alias(n), F.col(vector).alias(v))
-    both = side("a", "_x").join(side("b", "_y"), list(keys) or ["_g"]).where("a < b")
+    part = F.pmod(F.xxhash64(name), F.lit(_TILES)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(_TILES - 1)))
+
+    def side(own: str, other: str, n: str, v: str) -> DataFrame:
+        return points.select(*keys, F.col(name).alias(n), F.col(vector).alias(v), part.alias(own), every.alias(other))
+
+    both = side("_one", "_two", "a", "_x").join(side("_two", "_one", "b", "_y"), [*keys, "_one", "_two"]).where("a < b")
     return both.select(*keys, "a", "b", cosine_or_null(F.col("_x"), F.col("_y")).alias("cosine"))
 
 
