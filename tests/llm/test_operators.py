@@ -206,6 +206,28 @@ def simhash(text, size=3):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(grams))
 
 
+def second_print(text, size=5):
+    """simhash() of other hashes of the same shingles."""
+    mask = (1 << 64) - 1
+    w = [x.encode() for x in WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))]
+    grams = [b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] or ([b" ".join(w)] if w else [])
+    total = [0] * 64
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g, 42) ^ BASE
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * factor & mask
+        h ^= h >> 33
+        for b in range(64):
+            total[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * total[b] > len(grams)) if grams else 0
+
+
+def near_prints(prints, seconds, i, j):
+    """Whether two fingerprints are near enough for their texts to be compared."""
+    bits = (prints[i] ^ prints[j]).bit_count()
+    return bits <= simhash_dedup.RADIUS and bits + (seconds[i] ^ seconds[j]).bit_count() <= simhash_dedup.BOTH
+
+
 def grouped(prints, ids, radius):
     parent = list(range(len(prints)))
 
@@ -253,6 +275,7 @@ def test_simhash_dedup(spark, docs, empty):
     for table in (more, spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)):
         data = sorted(((r["doc_id"], r["text"]) for r in table.collect()), key=lambda r: (r[0] is None, r[0] or 0))
         prints, sets = [simhash(t, 5) for _, t in data], [set_of(t, 5) for _, t in data]
+        seconds = [second_print(t) for _, t in data]
         parent = list(range(len(data)))
 
         def find(x):
@@ -262,7 +285,7 @@ def test_simhash_dedup(spark, docs, empty):
 
         for i in range(len(data)):
             for j in range(i):
-                near = (prints[i] ^ prints[j]).bit_count() <= simhash_dedup.RADIUS
+                near = near_prints(prints, seconds, i, j)
                 if near and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                     a, b = sorted((find(i), find(j)))
                     parent[b] = a
@@ -287,7 +310,8 @@ def test_similar_texts_lie_within_the_radius():
         x, y = (set(simhash_dedup.shingles(t, 5).tolist()) for t in (a, b))
         if 0.8 <= len(x & y) / len(x | y) <= 0.83:
             tried += 1
-            met += (simhash_dedup.simhash(a, 5) ^ simhash_dedup.simhash(b, 5)).bit_count() <= simhash_dedup.RADIUS
+            one, two = (simhash_dedup._prints(t, 5, True) for t in (a, b))
+            met += near_prints((one[0], two[0]), (one[1], two[1]), 0, 1)
     assert met >= 0.93 * tried
 
 
@@ -616,6 +640,31 @@ def test_substring_dedup(spark, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_of_whole_tables(spark):
+    """The query's rows against all shared 50-word runs of the table, and every passage against the text of its partner."""
+    docs = {r["doc_id"]: [w.lower() for w in WORD.findall(r["text"] or "")] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = substring_dedup.query(spark, "/root/testdata/sf0.001").collect()
+    covered = {}
+    for r in got:
+        assert 50 <= r["n_words"] == r["end_word"] - r["start_word"] and 0 <= r["start_word"] and r["end_word"] <= len(docs[r["doc_id"]]) and r["partner_id"] != r["doc_id"]
+        covered.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    where = {}
+    for i, w in docs.items():
+        for at in range(len(w) - 49):
+            where.setdefault(tuple(w[at : at + 50]), []).append((i, at))
+    shared = [(i, at) for places in where.values() if len({i for i, _ in places}) > 1 for i, at in places]
+    assert len(shared) > 500
+    lost = {(i, at) for i, at in shared if not covered.get(i, set()).issuperset(range(at, at + 50))}
+    assert not lost
+    for r in got:
+        passage = docs[r["doc_id"]][r["start_word"] : r["end_word"]]
+        partner = docs[r["partner_id"]]
+        runs = {tuple(partner[i : i + 5]) for i in range(len(partner) - 4)}
+        assert any(tuple(passage[i : i + 5]) in runs for i in range(len(passage) - 4))
+    first = {min(i for i, _ in places) for places in where.values() if len({i for i, _ in places}) > 1}
+    assert all(i in covered for i in first)
+
+
 def test_substring_dedup_finds_edited_passages(spark):
     rng = random.Random(14)
     rows, want = [], []

@@ -14,7 +14,7 @@ import corpus_pipeline
 from tessera.llm import language_id, line_dedup, line_prints, quality_rules, sentence_pieces, simhash_dedup, source_mix, substring_dedup
 from tessera.llm.piece_model import SPACE, CharacterMap, PieceModel
 from tessera.llm.words import hashed_words
-from test_operators import WORD, _chained, double_array, rules, simhash, words
+from test_operators import WORD, _chained, double_array, near_prints, rules, second_print, simhash, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,6 +89,7 @@ def test_pipeline_by_stage(spark, tmp_path):
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
     prints, sets = [simhash(t, 5) for _, t, _ in cut], [shingles(t) for _, t, _ in cut]
+    seconds = [second_print(t) for _, t, _ in cut]
     parent = list(range(len(cut)))
 
     def find(x):
@@ -98,7 +99,7 @@ def test_pipeline_by_stage(spark, tmp_path):
 
     for i in range(len(cut)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= simhash_dedup.RADIUS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if near_prints(prints, seconds, i, j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
     groups = {}
     for i, r in enumerate(cut):
