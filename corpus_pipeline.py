@@ -32,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: links of at most 14 bits between fingerprints of five-word shingles,
+    """One document of each group of near duplicates: links of at most 15 bits between fingerprints of five-word shingles,
     checked by a shingle similarity of 0.8."""
     return simhash_dedup(docs)
 
