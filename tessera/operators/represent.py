@@ -69,12 +69,10 @@ def concept_space(rows: DataFrame, concept: str, min_examples: int = 1, keys: li
     """keys, concept, raw_vector (its mean less the unweighted mean of all concepts' means), vector, norm, count.
 
     Concepts with fewer examples go before the mean of means is taken; dropped_concepts() lists them. neutral has orthonormal components whose part is taken away from
-    the raw vectors: one matrix, or one for each value of the first key; a value without one keeps its vectors. No concept left is an error.
+    the raw vectors: one matrix, or one for each value of the first key; a value without one keeps its vectors. If no concept is left, there are no rows.
     """
     keys = list(keys)
     means = centroids(rows, concept, keys).where(F.col("count") >= min_examples)
-    if means.isEmpty():
-        raise ValueError(f"no concept has {min_examples} examples")
     center = mean_vectors(means, keys, "values", "_n").select(*keys, F.col("values").alias("_center"))
     both = means.join(center, keys) if keys else means.withColumn("_center", F.lit(_one(center, "_center")))
     raw = minus(F.col("values"), F.col("_center"))

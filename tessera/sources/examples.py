@@ -18,8 +18,8 @@ from tessera.functions.text import fill_template
 #: Parts of a list that is joined with every row of another one.
 _DEALT = 16
 
-#: Rows of a sample for each range that is to be found.
-_SAMPLED = 40
+#: Rows of a sample for each range that is to be found, and rows of a range, at least.
+_SAMPLED, _LEAST = 40, 2000
 
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*")
 
@@ -131,7 +131,7 @@ def _literal(value, kind: T.DataType) -> Column:
 
 
 def range_part(rows: DataFrame, order: Sequence[str], parts: int | None = None) -> Column:
-    """The number, from 0, of the range of the order columns that a row lies in; about `parts` ranges with as many rows each.
+    """The number, from 0, of the range of the order columns that a row lies in; about `parts` ranges with as many rows each, fewer for few rows.
 
     Bounds are taken once, from a sample that is counted and bounded, and are literals of the expression. So a row has one
     range wherever the expression is used, rows that are equal in the order columns share it, and whatever the sample,
@@ -140,7 +140,8 @@ def range_part(rows: DataFrame, order: Sequence[str], parts: int | None = None)
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = rows.select(*order)
     total = keys.count()
-    if parts < 2 or not total:
+    parts = min(parts, total // _LEAST)
+    if parts < 2:
         return F.lit(0)
     sample = keys.sample(min(1.0, _SAMPLED * parts / total), seed=17).orderBy(*order).collect()
     bounds = list(dict.fromkeys(tuple(sample[i * len(sample) // parts]) for i in range(1, parts))) if sample else []
