@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import dot, doubles, minus, scale
+from tessera.functions.vectors import dot, doubles
 from tessera.sources.examples import number_rows, ranked
 
 
@@ -99,15 +101,33 @@ def fit_probe(rows: DataFrame, label: str, positive, reg: float = 1e-4) -> dict:
 
 
 def residual_rows(rows: DataFrame, nuisance: np.ndarray) -> DataFrame:
-    """rows with the values' part in the span of the nuisance directions (rows of a matrix) taken away."""
+    """rows with the values' part in the span of the nuisance directions (rows of a matrix) taken away.
+
+    A batch of rows is one matrix product with the orthonormal basis. Null values stay null; values of another length, or with a null
+    element, have no such part and become nulls.
+    """
     q = np.linalg.svd(nuisance, full_matrices=False)
     basis = q[2][q[1] > 1e-10 * max(q[1].max(), 1e-300)]
-    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    values = doubles("values")
-    left = values
-    for b in basis:  # orthonormal, so that each part is that of the values themselves
-        left = minus(left, scale(lit(b), dot(values, lit(b))))
-    return rows.withColumn("values", left)
+    if not len(basis):
+        return rows.withColumn("values", doubles("values"))
+
+    @F.arrow_udf("array<double>")
+    def left(vectors: pa.Array) -> pa.Array:
+        return pa.array(_residuals(vectors, basis), pa.list_(pa.float64()))
+
+    return rows.withColumn("values", left(doubles("values")))
+
+
+def _residuals(vectors: pa.Array, basis: np.ndarray) -> list[np.ndarray | list | None]:
+    """Each vector less its part in the span of the basis."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    owner = pc.list_parent_indices(vectors).to_numpy()
+    gaps = np.bincount(owner[vectors.flatten().is_null().to_numpy(zero_copy_only=False)], minlength=len(vectors)) > 0
+    whole = (sizes == basis.shape[1]) & ~gaps
+    x = vectors.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).reshape(-1, basis.shape[1])
+    with np.errstate(invalid="ignore"):
+        done = iter(x - (x @ basis.T) @ basis)
+    return [next(done) if ok else None if size < 0 else [None] * max(size, basis.shape[1]) for ok, size in zip(whole.tolist(), sizes.tolist())]
 
 
 def text_counts(rows: DataFrame, key: str, text: str, n_max: int = 2) -> DataFrame:
