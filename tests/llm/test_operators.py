@@ -760,3 +760,18 @@ def test_character_map_takes_the_longest_prefix():
     for text in (b"abz", b"abcd", b"abc", b"zz", "é!".encode(), b"x", b"a"):
         best = max((k for k in entries if text.startswith(k)), key=len, default=None)
         assert table.longest(text, 0) == (None if best is None else (len(best), entries[best]))
+
+
+def test_lines_are_rows_once(spark):
+    """A line is one row, with both of its fingerprints, and only lines that are similar to another are grouped."""
+    rng = random.Random(3)
+    lines = [next(x for x in iter(lambda: words(rng, 4), None) if len(x) < 20), next(x for x in iter(lambda: words(rng, 9), None) if 39 <= len(x) < 48)]
+    table = line_dedup.line_table(spark.createDataFrame([(7, "\n".join(lines + lines[:1]))], "row long, text string")).orderBy("line").collect()
+    assert [(r["line"], r["again"], r["q0"] is None) for r in table] == [(0, False, True), (1, False, False), (2, True, True)]
+    for r, line in zip(table, lines):
+        found = line_prints.lines_of(line)
+        unsigned = lambda names: [r[n] >> half & 0xFFFFFFFF for n in names for half in (0, 32)]
+        assert unsigned(line_dedup._P) == found.prints[0].tolist() and (r["q0"] is None or unsigned(line_dedup._Q) == found.more_prints[0].tolist())
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd", k=rng.randrange(12))) for _ in range(2))
+        assert line_dedup._surplus(a, b) <= line_dedup.edit_distance(a, b)
