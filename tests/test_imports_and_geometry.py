@@ -91,7 +91,7 @@ def test_neutral_projector(spark):
 
 
 def test_residuals_of_many_directions(spark):
-    """A row costs about as much as its products: where each element worked them out anew, 3000 rows took over a minute of CPU time."""
+    """A row costs about as much as its products, which were once worked out anew for each element."""
     rng = np.random.default_rng(8)
     x, nuisance = rng.normal(size=(3000, 64)), rng.normal(size=(25, 64))
     nuisance[3] = nuisance[2] * 2
