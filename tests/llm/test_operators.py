@@ -297,6 +297,66 @@ def test_simhash_dedup(spark, docs, empty):
     assert simhash_dedup.simhash_dedup(empty).count() == 0
 
 
+def test_texts_of_one_fingerprint(spark):
+    """Similar texts are found where their nearest neighbours aren't similar: all three have the fingerprint of what they repeat."""
+    rng = random.Random(21)
+    often, end, other = words(rng, 11), words(rng, 60).split(), words(rng, 60)
+    near = " ".join(end[:30] + ["zz"] + end[31:])
+    rows = [(1, f"{often} " * 100 + other), (2, f"{often} " * 100 + " ".join(end)), (3, f"{often} " * 100 + near)]
+    assert len({simhash(t, 5) for _, t in rows}) == 1
+    got = simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in got.orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_least_hashes():
+    """Texts of the similarity have one of the least hashes of their shingles in common; unrelated ones, which are not compared, have none."""
+    rng = random.Random(22)
+    for size in [1, 2, 3, 4, 5, 6, 9, 10, 11, 40, 41, 200]:
+        for _ in range(40):
+            one = [rng.getrandbits(64) for _ in range(size)]
+            lost = rng.randint(0, size // 4)
+            two = one[lost:] + [rng.getrandbits(64) for _ in range(rng.randint(0, size // 5))]
+            a, b = (simhash_dedup._least([np.array(x, np.uint64)], 0.8).tolist() for x in (one, two))
+            if len(set(one) & set(two)) >= 0.8 * len(set(one) | set(two)):
+                assert set(a) & set(b)
+    keys = []
+    for _ in range(200):
+        seen = []
+        simhash_dedup._prints(words(rng, 80), 5, True, seen)
+        keys += simhash_dedup._least(seen, 0.8).tolist()
+    assert len(keys) == len(set(keys)) == 200 * 16
+
+
+@pytest.mark.parametrize("few, run, tile", [(90, 1 << 14, 2048), (4, 1 << 14, 7), (2, 20, 5)])
+def test_checked_links(spark, monkeypatch, few, run, tile):
+    """What the links that stand the check connect, by brute force, also where the nearest links don't."""
+    for name, value in (("_FEW", few), ("_RUN", run), ("FAR_TILE", tile)):
+        monkeypatch.setattr(simhash_dedup, name, value)
+    rng = random.Random(23)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    heads = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(6)]
+    rows = [(i, flip(a, rng.randint(0, 9)), flip(b, rng.randint(0, 9)), rng.sample(range(8), rng.randint(1, 3))) for i in range(90) for a, b in [heads[i * i % 6]]]
+    found = spark.createDataFrame([(i, signed(a), signed(b), [*keys, 200 + i]) for i, a, b, keys in rows], "row long, fp long, fp2 long, keys array<long>").repartition(3)
+    prints, seconds = [r[1] for r in rows], [r[2] for r in rows]
+    near = {(i, j) for i in range(90) for j in range(i + 1, 90) if set(rows[i][3]) & set(rows[j][3]) and near_prints(prints, seconds, i, j)}
+
+    def roots(pairs):
+        to = list(range(90))
+        for i, j in pairs:
+            a, b = sorted((to[i], to[j]))
+            to = [a if x == b else x for x in to]
+        return to
+
+    for check, passes in (("true", lambda i, j: True), ("src % 5 = dst % 5", lambda i, j: i % 5 == j % 5), ("false", lambda i, j: False)):
+        got = [tuple(r) for r in simhash_dedup.checked_links(found, 15, 28, lambda d: d.where(check), Scratch(spark, "t")).collect()]
+        want = {p for p in near if passes(*p)}
+        assert set(got) <= want and roots(got) == roots(want)
+        assert len(got) == len(set(got)) and (few < 90 or set(got) == want)
+        assert simhash_dedup.checked_links(found.where("false"), 15, 28, lambda d: d.where(check), Scratch(spark, "t")).count() == 0
+    assert 1 < len(set(roots(near))) < 90
+
+
 def test_similar_texts_lie_within_the_radius():
     """Of texts whose five-word shingles have 0.8 to 0.83 in common, nine of ten and more."""
     rng, met, tried = random.Random(40), 0, 0
